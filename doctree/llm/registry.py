@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, secrets, sharding, url_filter
+from . import exact_dedup, mixing, packing, secrets, sharding, substring_dedup, url_filter
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_sharding": sharding.op7_sharding,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op10_packing": packing.op10_packing,
 }
 
