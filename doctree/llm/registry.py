@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, secrets, sharding, substring_dedup, url_filter
+from . import exact_dedup, fingerprints, mixing, packing, secrets, sharding, substring_dedup, url_filter
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_mixing": mixing.op2_mixing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_sharding": sharding.op7_sharding,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
