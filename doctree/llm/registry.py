@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, mixing, packing, secrets, sharding, substring_dedup, url_filter
+from . import exact_dedup, fingerprints, mixing, packing, secrets, sharding, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_mixing": mixing.op2_mixing,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_url_filter": url_filter.op6_url_filter,

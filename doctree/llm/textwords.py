@@ -71,11 +71,20 @@ class Words:
         self.start = np.flatnonzero(inside & ~before)
         self.end = np.flatnonzero(inside & ~after) + 1
         self.doc = np.searchsorted(self.bounds, self.start, "right") - 1
-        sums = np.zeros(size + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * _power(_BASE, size), out=sums[1:])
-        self.hash = mix64((sums[self.end] - sums[self.start]) * _power(_BASE_INVERSE, size)[self.start] + (self.end - self.start).astype(np.uint64))
+        self._sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(_BYTE[self.data] * _power(_BASE, size), out=self._sums[1:])
+        self.hash = self._hash(self.start, self.end)
         self.count = np.bincount(self.doc, minlength=n)
 
+    def _hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A hash of the bytes from start to end, wherever they are."""
+        return mix64((self._sums[end] - self._sums[start]) * _power(_BASE_INVERSE, max(1, len(self.data)))[start] + (end - start).astype(np.uint64))
+
+    def prefixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(word, hash) of the first ``size`` bytes of all longer words; told apart from whole words."""
+        longer = np.flatnonzero(self.end - self.start > size)
+        return longer, ~self._hash(self.start[longer], self.start[longer] + size)
+
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(first word, hash) of all windows of ``width`` words inside one text."""
         n = len(self.hash) - width + 1
