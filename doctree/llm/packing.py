@@ -10,7 +10,7 @@ the last is laid out as sequences of powers of two, which need no padding.
 from __future__ import annotations
 
 import heapq
-import zlib
+import os
 
 import numpy as np
 import pandas as pd
@@ -24,7 +24,10 @@ END_ID = 1
 GROUP_DOCS = 1024
 #: Cost of n tokens: LINEAR * n + QUADRATIC * n^2; the ratio is that of a layer with width 1024 (12 d^2 n against 2 d n^2).
 LINEAR, QUADRATIC = 12 * 1024**2, 2 * 1024
-CACHED_WORDS = 1 << 18
+#: Words that a task remembers; twice as many while an older set is still in use.
+CACHED_WORDS = 300_000
+TRAILING = ",.;:!?|"
+SPLIT = "<|endoftext|>"
 
 
 def vocabulary() -> str:
@@ -40,27 +43,66 @@ def cost(n: int) -> int:
 def word_ids(vocab: str):
     """A function from a list of texts to their ids as little-endian uint32 bytes.
 
-    The vocabulary drops white space and splits at it, so words are encoded apart and remembered;
-    texts with a special token's string are encoded whole.
+    The vocabulary drops white space and splits there, and between a letter and a mark that follows
+    it, so words are encoded apart, without their trailing marks, and remembered. New words go
+    through the tokenizer together, with a special token between them. Texts with a special token's
+    string are encoded whole.
     """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocab)
-    known: dict[str, bytes] = {}
+    split_id = tokenizer.token_to_id(SPLIT)
+    young: dict[str, bytes] = {"": b""}
+    old: dict[str, bytes] = {}
+
+    def learn(words: list[str]) -> None:
+        for at in range(0, len(words), 2048):
+            part = words[at : at + 2048]
+            ids = np.asarray(tokenizer.encode_batch_fast([SPLIT.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == split_id)
+            whole = ids.tobytes()
+            for w, a, b in zip(part, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True):
+                young[w] = whole[4 * a : 4 * b]
+
+    def look_up(words: set[str]) -> None:
+        """Afterwards all the words are in ``young``."""
+        nonlocal young, old
+        if len(young) > CACHED_WORDS:
+            young, old = {"": b""}, young
+        new, ends = [], []
+        for w in words:
+            if w in young:
+                continue
+            if w in old:
+                young[w] = old[w]
+                continue
+            core = w.rstrip(TRAILING)
+            if core and core != w and core.isalpha():
+                ends.append((w, core, w[len(core) :]))
+            else:
+                new.append(w)
+        new = set(new)
+        for _, core, tail in ends:
+            for part in (core, tail):
+                if part not in young and part not in new:
+                    if part in old:
+                        young[part] = old[part]
+                    else:
+                        new.add(part)
+        learn(list(new))
+        for w, core, tail in ends:
+            young[w] = young[core] + young[tail]
 
     def encode(texts: list[str]) -> list[bytes]:
-        out, split = [], [None if "<|" in t else t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        new = list({w for words in split if words is not None for w in words} - known.keys())
-        if len(known) + len(new) > CACHED_WORDS:
-            known.clear()
-            new = list({w for words in split if words is not None for w in words})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                known[w] = np.asarray(e.ids, "<u4").tobytes()
-        for t, words in zip(texts, split, strict=True):
-            out.append(np.asarray(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if words is None else b"".join([known[w] for w in words]))
-        return out
+        split = [None if "<|" in t else t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        words: set[str] = set()
+        words.update(*[w for w in split if w is not None])
+        look_up(words)
+        return [
+            np.asarray(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w is None else b"".join(map(young.__getitem__, w))
+            for t, w in zip(texts, split, strict=True)
+        ]
 
     return encode
 
