@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, mixing, packing, secrets, sharding, substring_dedup, toxicity, url_filter
+from . import exact_dedup, fingerprints, mixing, near_dedup, packing, secrets, sharding, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_sharding": sharding.op7_sharding,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_packing": packing.op10_packing,
 }
 
