@@ -41,7 +41,7 @@ def title_slugs_match(title: Column, slug: Column) -> Column:
 def numeric_id(page_id: Column) -> Column:
     """The id as a number, null unless it is all digits and fits an unsigned 64-bit number."""
     n = F.when(page_id.rlike(r"^[0-9]{1,20}\z"), page_id).try_cast("decimal(20,0)")
-    return F.when(n <= F.lit(2**64 - 1).cast("decimal(20,0)"), n)
+    return F.when(n <= F.lit(str(2**64 - 1)).cast("decimal(20,0)"), n)
 
 
 def page_id_order(page_id: Column) -> Column:

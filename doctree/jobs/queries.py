@@ -155,7 +155,7 @@ def document_slugs(spark, sf_dir):
     return docs.select("doc_id", sl.slugify(title, F.col("doc_id").cast("string")).alias("slug"))
 
 
-@query(CAT + """SELECT page_id, (SELECT string_agg(upper(x[1]) || x[2:], ' ' ORDER BY i) FROM (SELECT unnest(list_filter(string_split(replace(regexp_replace(slug, '^(.+)-[0-9]{6}$', '\\1'), '-', ' '), ' '), w -> w <> '')) AS x, generate_subscripts(list_filter(string_split(replace(regexp_replace(slug, '^(.+)-[0-9]{6}$', '\\1'), '-', ' '), ' '), w -> w <> ''), 1) AS i)) AS title FROM u""")
+@query(CAT + """SELECT page_id, (SELECT string_agg(upper(x[1]) || x[2:], ' ' ORDER BY i) FROM (SELECT unnest(list_filter(string_split(replace(regexp_replace(slug, '^(.+)-[0-9]{6}$', '\\1'), '-', ' '), ' '), lambda w: w <> '')) AS x, generate_subscripts(list_filter(string_split(replace(regexp_replace(slug, '^(.+)-[0-9]{6}$', '\\1'), '-', ' '), ' '), lambda w: w <> ''), 1) AS i)) AS title FROM u""")
 def reverse_slugify(spark, sf_dir):
     named = hi.disambiguate_siblings(catalog(spark, sf_dir), text_ids=False)
     return named.select("page_id", sl.reverse_slugify(F.concat("slug", F.lit(".md"))).alias("title"))
@@ -283,12 +283,12 @@ def audit_link_symmetry(spark, sf_dir):
     return li.resolve_markdown_links(md, paths, tree).select("scope_id", "page_id", "target_page_id")
 
 
-@query(LINKS + "SELECT scope_id, page_id, 'f' || page_id || '.png' AS filename, CASE WHEN CAST(page_id AS INT) % 5 = 0 THEN 'missing' WHEN CAST(page_id AS INT) % 3 = 0 THEN 'new' WHEN CAST(page_id AS INT) % 2 = 0 THEN 'unchanged' ELSE 'new_version' END AS action FROM l JOIN paths USING (scope_id, page_id)")
+@query(LINKS + "SELECT scope_id, page_id, 'f' || page_id || '.png' AS filename, CASE WHEN TRY_CAST(page_id AS INT) % 5 = 0 THEN 'missing' WHEN TRY_CAST(page_id AS INT) % 3 = 0 THEN 'new' WHEN TRY_CAST(page_id AS INT) % 2 = 0 THEN 'unchanged' ELSE 'new_version' END AS action FROM l JOIN paths USING (scope_id, page_id)")
 def attachment_upload_plan(spark, sf_dir):
     _, paths, links = _geo_all(spark, sf_dir)
     held = links.select("scope_id", "page_id", F.concat(F.lit("f"), "page_id", F.lit(".png")).alias("filename"))
     refs = li.attachment_download_plan(held, paths, "docs/", "docs/_files")
-    n = F.col("page_id").cast("int")
+    n = F.col("page_id").try_cast("int")
     local = refs.where(n % 5 != 0).select("scope_id", "file", F.sha2("filename", 256).alias("sha"))
     remote = refs.where(n % 3 != 0).select("scope_id", "page_id", "filename", F.when(n % 2 == 0, F.sha2("filename", 256)).otherwise(F.lit("old")).alias("sha"))
     return li.attachment_upload_plan(refs, local, remote).drop("file")
@@ -425,7 +425,7 @@ def order_pull(spark, sf_dir):
     return sy.order_pull(_plan(spark, sf_dir)).select("scope_id", "page_id", "action", "phase")
 
 
-@query(PLAN + ", s AS (SELECT scope_id, from_path, to_path FROM plan WHERE action = 'rename') SELECT scope_id, 1 AS phase, from_path, to_path FROM s WHERE NOT EXISTS (SELECT 1 FROM s a JOIN s b ON a.to_path = b.from_path)")
+@query(PLAN + ", sr AS (SELECT scope_id, from_path, to_path FROM plan WHERE action = 'rename') SELECT scope_id, 1 AS phase, from_path, to_path FROM sr WHERE NOT EXISTS (SELECT 1 FROM sr a JOIN sr b ON a.to_path = b.from_path)")
 def stage_renames(spark, sf_dir):
     return sy.stage_renames(_plan(spark, sf_dir).where("action = 'rename'").select("scope_id", "from_path", "to_path"))
 
@@ -457,3 +457,50 @@ def build_push_ops(spark, sf_dir):
 def retry_set(spark, sf_dir):
     d = work_table(sn.diff_snapshots(base(spark, sf_dir), head(spark, sf_dir)), "diffs")
     return sy.retry_set(d, d.where("action = 'M'")).select("scope_id", "action", "path")
+
+
+# --- sources and streaming --------------------------------------------------------------------------
+
+
+@query("""SELECT event_id, action, path, old_path FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'D' WHEN 2 THEN 'R' END AS action, CASE WHEN event_id % 4 = 2 THEN 'new/' || event_id || '.md' ELSE 'docs/' || event_id || '.md' END AS path, CASE WHEN event_id % 4 = 2 THEN 'docs/' || event_id || '.md' END AS old_path FROM events) WHERE action IS NOT NULL""")
+def parse_name_status(spark, sf_dir):
+    from doctree.sources.wiki import parse_name_status as parse
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    file = F.concat(F.lit("docs/"), F.col("event_id").cast("string"), F.lit(".md"))
+    k = F.col("event_id") % 4
+    line = F.when(k == 0, F.concat(F.lit("A\t"), file)).when(k == 1, F.concat(F.lit("D\t"), file)).when(k == 2, F.concat(F.lit("R100\t"), file, F.lit("\tnew/"), F.col("event_id").cast("string"), F.lit(".md"))).otherwise(F.concat(F.lit("X\t"), file))
+    rows = parse(e.select(line.alias("value")))
+    return rows.withColumn("event_id", F.regexp_extract("path", r"/([0-9]+)\.md", 1).cast("long"))
+
+
+@query("""SELECT page_id, '{"version":{"number":' || (page_id % 5 + 2) || '},"title":"T' || page_id || '","type":"page",' || CASE WHEN page_id % 2 = 0 THEN '"ancestors":[{"id":"1"}],' ELSE '' END || '"body":{"storage":{"value":"<p>' || page_id || '</p>","representation":"storage"}}}' AS payload FROM pages""")
+def update_payloads(spark, sf_dir):
+    from doctree.sources.wiki import update_payloads as payloads
+
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    n = F.col("page_id").cast("string")
+    ops = p.select("page_id", (F.col("page_id") % 5 + 2).cast("int").alias("version"), F.concat(F.lit("T"), n).alias("title"), F.when(F.col("page_id") % 2 == 0, "1").otherwise("").alias("parent_page_id"), F.concat(F.lit("<p>"), n, F.lit("</p>")).alias("storage"))
+    return payloads(ops).select("page_id", "payload")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE l_linenumber % 5 WHEN 0 THEN 'ok' WHEN 1 THEN 'conflict' WHEN 2 THEN 'not_found' WHEN 3 THEN 'attachment_unchanged' ELSE 'error' END AS outcome FROM lineitem")
+def classify_responses(spark, sf_dir):
+    from doctree.sources.wiki import classify_responses as classify
+
+    item = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber")
+    k = F.col("l_linenumber") % 5
+    status = F.when(k == 0, 204).when(k == 1, 409).when(k == 2, 404).otherwise(400)
+    body = F.when(k == 3, "Same CONTENT as before").otherwise("bad request")
+    return classify(item.withColumn("status", status).withColumn("body", body), ["same content"]).select("l_orderkey", "l_linenumber", "outcome")
+
+
+@query("""SELECT 'u' || user_id % 10 AS scope_id, CAST(user_id AS VARCHAR) AS page_id, CAST(max(event_id % 50) AS INT) AS version, '---\nconfluence_page_id: "' || user_id || '"\nconfluence_version: ' || max(event_id % 50) || '\n---\n\n' || arg_max(event_type, (event_id % 50) * 100000000 + event_id) || '\n' AS content FROM events WHERE event_id % 50 > 0 GROUP BY user_id""")
+def upsert_mirror(spark, sf_dir):
+    """Page versions from events, in two batches, the second one twice: the mirror holds each page's last version."""
+    from doctree.streaming.pull import MIRROR, upsert
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 50 > 0")
+    snaps = e.select(F.concat(F.lit("u"), (F.col("user_id") % 10).cast("string")).alias("scope_id"), F.col("user_id").cast("string").alias("page_id"), F.concat(F.lit("docs/"), F.col("user_id").cast("string"), F.lit(".md")).alias("path"), (F.col("event_id") % 50).cast("int").alias("version"), F.concat("event_type", F.lit("\n")).alias("body"), F.col("event_id").alias("seq"))
+    first = upsert(spark.createDataFrame([], MIRROR), snaps.where("version < 25"))
+    return upsert(upsert(first, snaps), snaps).select("scope_id", "page_id", "version", "content")

@@ -52,8 +52,9 @@ def resolve_markdown_links(links: DataFrame, paths: DataFrame, tree: DataFrame)
     t = F.col("target")
     inner = links.where((F.coalesce(t, F.lit("")) != "") & ~t.contains("://") & ~t.startswith("#") & ~t.startswith("mailto:"))
     inner = inner.withColumn("to_path", join_clean(dirname(F.col("path")), F.substring_index("target", "#", 1)))
-    pages = paths.select("scope_id", F.col("path").alias("to_path"), "page_id").join(tree.select("scope_id", "page_id", "title"), ["scope_id", "page_id"])
-    return inner.join(pages, ["scope_id", "to_path"]).select(*[inner[c] for c in links.columns], F.col("page_id").alias("target_page_id"), F.col("title").alias("target_title"))
+    titles = tree.select("scope_id", F.col("page_id").alias("target_page_id"), F.col("title").alias("target_title"))
+    pages = paths.select("scope_id", F.col("path").alias("to_path"), F.col("page_id").alias("target_page_id")).join(titles, ["scope_id", "target_page_id"])
+    return inner.join(pages, ["scope_id", "to_path"]).select(*links.columns, "target_page_id", "target_title")
 
 
 def referenced_attachments(images: DataFrame, attachments_dir: str) -> DataFrame:

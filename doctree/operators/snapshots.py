@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from doctree.functions.tables import work_table
+
 AT = ["scope_id", "path"]
 
 
@@ -26,7 +28,7 @@ def diff_snapshots(base: DataFrame, head: DataFrame, suffix: str = ".md") -> Dat
 def detect_renames(diffs: DataFrame, base: DataFrame, head: DataFrame, min_similarity: float = 0.5, rounds: int = 3) -> DataFrame:
     """diffs with deletions and additions paired to R (path, old_path): equal contents first, by path order; then files
     that share at least ``min_similarity`` of their bytes in lines, best first, by rounds of mutual best. Pairs arise from
-    shared lines only, and lines that many files have are weighed last: see below."""
+    shared lines only."""
     gone = diffs.where("action = 'D'").select(*AT).join(base.select(*AT, "content"), AT)
     came = diffs.where("action = 'A'").select(*AT).join(head.select(*AT, "content"), AT)
     same = lambda d, name: d.select("scope_id", F.col("path").alias(name), F.sha2("content", 256).alias("sha")).withColumn("n", F.row_number().over(Window.partitionBy("scope_id", "sha").orderBy(name)))
@@ -41,10 +43,12 @@ def detect_renames(diffs: DataFrame, base: DataFrame, head: DataFrame, min_simil
     shared = lines(rest_gone, "old_path").join(lines(rest_came, "new_path"), ["scope_id", "h", "bytes"])
     scored = shared.groupBy("scope_id", "old_path", "old_path_size", "new_path", "new_path_size").agg(F.sum(F.least("old_path_n", "new_path_n") * F.col("bytes")).alias("common"))
     scored = scored.withColumn("score", F.col("common") / (F.greatest("old_path_size", "new_path_size") + 1)).where(F.col("score") >= min_similarity).select("scope_id", "old_path", "new_path", "score")
+    scored = work_table(scored, "scores")
     found = equal
     for _ in range(rounds):
         best = lambda side, other: F.row_number().over(Window.partitionBy("scope_id", side).orderBy(F.desc("score"), other))
         mutual = scored.withColumn("a", best("old_path", "new_path")).withColumn("b", best("new_path", "old_path")).where("a = 1 and b = 1").select("scope_id", "old_path", F.col("new_path").alias("path"))
+        mutual = work_table(mutual, "renames")
         found = found.unionByName(mutual.select("scope_id", "old_path", "path"))
         scored = scored.join(mutual.select("scope_id", "old_path"), ["scope_id", "old_path"], "left_anti").join(mutual.select("scope_id", F.col("path").alias("new_path")), ["scope_id", "new_path"], "left_anti")
     plain = diffs.select("scope_id", "action", "path", F.lit(None).cast("string").alias("old_path"))
