@@ -56,7 +56,7 @@ def url_query_escape(s: Column) -> Column:
 
 
 def strip_ext(name: Column) -> Column:
-    return F.regexp_replace(name, r"(?s)\.[^./]*\z", "")
+    return F.regexp_replace(name, r"(?s)\A(.+)\.[^.]*\z", "$1")
 
 
 def prefix_blockquote(s: Column) -> Column:

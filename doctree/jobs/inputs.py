@@ -62,3 +62,14 @@ def spark_input(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 def duck(sql: str) -> str:
     """The same SELECT for DuckDB, where the tables are views."""
     return TABLES.sub(r"\1", sql)
+
+_X = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_N = "CAST(doc_id AS STRING)"
+#: Wiki pages of the documents: a heading, a paragraph a line, links, an image, tasks, a table, code, a panel, a fence.
+CORPUS_PAGES = f"""SELECT lang AS scope_id, {_N} AS page_id, concat('Page ', {_N}) AS title, concat('<h2>Page ', {_N}, ' &amp; co</h2><p>', replace({_X}, '\n', '</p><p>'), '</p>',
+'<p><a href="https://x.example/', {_N}, '?a=1&amp;b=2" title="t">out <b>there</b></a> <ac:link><ri:page ri:content-id="', CAST((7 * doc_id + 3) % 1000 AS STRING), '" ri:space-key="S"/><ac:link-body>see <strong>it</strong></ac:link-body></ac:link></p>',
+'<ac:image ac:width="', CAST(doc_id % 100 AS STRING), '"><ri:attachment ri:filename="f', {_N}, '.png"/></ac:image>',
+'<ac:task-list><ac:task><ac:task-status>', CASE WHEN doc_id % 2 = 0 THEN 'complete' ELSE 'incomplete' END, '</ac:task-status><ac:task-body>do <em>', {_N}, '</em></ac:task-body></ac:task></ac:task-list>',
+'<table><tbody><tr><th>k</th><th style="text-align: right;">v</th></tr><tr><td>', {_N}, '</td></tr></tbody></table><hr/>',
+'<ac:structured-macro ac:name="code"><ac:parameter ac:name="language">Python</ac:parameter><ac:plain-text-body><![CDATA[x < ', {_N}, ']]></ac:plain-text-body></ac:structured-macro>',
+'<ac:structured-macro ac:name="', CASE WHEN doc_id % 3 = 0 THEN 'info' ELSE 'warning' END, '"><ac:parameter ac:name="title">T', {_N}, '</ac:parameter><ac:rich-text-body><p>mind ', {_N}, '</p></ac:rich-text-body></ac:structured-macro>') AS body FROM {{documents}}"""

@@ -504,3 +504,112 @@ def upsert_mirror(spark, sf_dir):
     snaps = e.select(F.concat(F.lit("u"), (F.col("user_id") % 10).cast("string")).alias("scope_id"), F.col("user_id").cast("string").alias("page_id"), F.concat(F.lit("docs/"), F.col("user_id").cast("string"), F.lit(".md")).alias("path"), (F.col("event_id") % 50).cast("int").alias("version"), F.concat("event_type", F.lit("\n")).alias("body"), F.col("event_id").alias("seq"))
     first = upsert(spark.createDataFrame([], MIRROR), snaps.where("version < 25"))
     return upsert(upsert(first, snaps), snaps).select("scope_id", "page_id", "version", "content")
+
+
+# --- what bodies hold -------------------------------------------------------------------------------
+
+
+def corpus(spark, sf_dir):
+    return spark_input(spark, sf_dir, inp.CORPUS_PAGES)
+
+
+@query("SELECT lang AS scope_id, CAST(doc_id AS VARCHAR) AS page_id, k.kind, CASE WHEN k.kind = 'external' THEN 'https://x.example/' || doc_id || '?a=1&b=2' END AS href, CASE WHEN k.kind = 'page' THEN CAST((7 * doc_id + 3) % 1000 AS VARCHAR) END AS content_id, CASE WHEN k.kind = 'page' THEN 'see it' ELSE 'out there' END AS text FROM documents, (VALUES ('external'), ('page')) k(kind)")
+def extract_links(spark, sf_dir):
+    from doctree.operators.extract import extract_links as extract
+
+    return extract(corpus(spark, sf_dir)).select("scope_id", "page_id", "kind", "href", "content_id", "text")
+
+
+@query("SELECT lang AS scope_id, CAST(doc_id AS VARCHAR) AS page_id, 'f' || doc_id || '.png' AS filename, 'f' || doc_id AS alt, CAST(doc_id % 100 AS VARCHAR) AS width FROM documents")
+def extract_images(spark, sf_dir):
+    from doctree.operators.extract import extract_images as extract
+
+    return extract(corpus(spark, sf_dir)).select("scope_id", "page_id", "filename", "alt", F.col("attrs")["ac:width"].alias("width"))
+
+
+@query("SELECT lang AS scope_id, CAST(doc_id AS VARCHAR) AS page_id, r AS row, c AS col, CAST(r AS INT) = 0 AS header, CASE WHEN r = 0 AND c = 1 THEN 'right' END AS align, CASE WHEN r = 0 AND c = 0 THEN 'k' WHEN r = 0 THEN 'v' WHEN c = 0 THEN CAST(doc_id AS VARCHAR) ELSE '' END AS text FROM documents, range(2) a(r), range(2) b(c)")
+def extract_tables(spark, sf_dir):
+    from doctree.operators.extract import extract_tables as extract
+
+    return extract(corpus(spark, sf_dir)).drop("ordinal")
+
+
+@query("SELECT lang AS scope_id, CAST(doc_id AS VARCHAR) AS page_id, doc_id % 2 = 0 AS done, 'do ' || doc_id AS text FROM documents")
+def extract_tasks(spark, sf_dir):
+    from doctree.operators.extract import extract_tasks as extract
+
+    return extract(corpus(spark, sf_dir)).drop("ordinal")
+
+
+@query("SELECT lang AS scope_id, CAST(doc_id AS VARCHAR) AS page_id, CASE WHEN doc_id % 3 = 0 THEN 'INFO' ELSE 'ERROR' END AS label, 'T' || doc_id AS title, 'mind ' || doc_id AS text FROM documents")
+def extract_panels(spark, sf_dir):
+    from doctree.operators.extract import extract_panels as extract
+
+    return extract(corpus(spark, sf_dir)).drop("ordinal")
+
+
+@query("SELECT lang AS scope_id, k.construct, k.handling, count(*) * k.n AS n FROM documents, (VALUES ('h2', 'native', 1), ('ac:image', 'native', 1), ('ac:link', 'native', 1), ('a', 'native', 1), ('macro:code', 'native', 1), ('tr', 'native', 2), ('ri:page', 'part', 1)) k(construct, handling, n) GROUP BY lang, k.construct, k.handling, k.n")
+def construct_census(spark, sf_dir):
+    from doctree.operators.extract import construct_census as census
+
+    return census(corpus(spark, sf_dir)).where(F.col("construct").isin("h2", "ac:image", "ac:link", "a", "macro:code", "tr", "ri:page"))
+
+
+@query("SELECT lang AS scope_id, k.kind, count(*) + CASE WHEN k.kind = 'para' THEN sum(len(string_split(text, chr(10)))) + count(*) ELSE 0 END AS n FROM documents, (VALUES ('heading'), ('para'), ('image'), ('table'), ('hr'), ('code')) k(kind) GROUP BY lang, k.kind")
+def extract_blocks(spark, sf_dir):
+    """Blocks of each kind by tree; a panel's paragraph counts."""
+    from doctree.operators.extract import extract_blocks as extract
+
+    return extract(corpus(spark, sf_dir)).groupBy("scope_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT lang AS scope_id, concat('p', doc_id) AS path, k.kind, sha256(text) AS xml FROM documents, (VALUES ('block'), ('inline')) k(kind)")
+def extract_fences(spark, sf_dir):
+    from doctree.operators.extract import extract_fences as extract
+
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    content = F.concat(F.lit("Before\n\n"), tx.encode_block_fence(F.col("text")), F.lit("\n\nin "), tx.encode_inline_fence(F.col("text")), F.lit(" line\n"))
+    files = d.select(F.col("lang").alias("scope_id"), F.concat(F.lit("p"), "doc_id").alias("path"), content.alias("content"))
+    return extract(files).select("scope_id", "path", "kind", F.sha2("xml", 256).alias("xml"))
+
+
+# --- conversion -------------------------------------------------------------------------------------
+
+
+def _converted(spark, sf_dir):
+    from doctree.operators.convert import storage_to_markdown as convert
+
+    broken = F.when(F.col("page_id").cast("int") % 50 == 7, F.concat("body", F.lit("<p class"))).otherwise(F.col("body"))
+    pages = corpus(spark, sf_dir).withColumn("version", (F.col("page_id").cast("int") % 7 + 1).cast("int")).withColumn("body", broken)
+    paths = pages.select("scope_id", "page_id", F.concat(F.lit("docs/"), "scope_id", F.lit("/page-"), "page_id", F.lit(".md")).alias("path"))
+    order = pages.select("scope_id", "page_id", F.col("page_id").cast("long").alias("bfs_ord"))
+    return convert(pages, pages.select("scope_id", "page_id", "title"), order, paths, "https://wiki")
+
+
+MD = r"""d AS (SELECT *, CAST(doc_id AS VARCHAR) AS n, CAST((7 * doc_id + 3) % 1000 AS VARCHAR) AS t, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(regexp_replace(x, '([\\`*_\[\]<>])', '\\\1', 'g'), '[ \t\r]+', ' ', 'g'))), lambda x: x <> '') AS lines FROM documents),
+md AS (SELECT d.lang AS scope_id, d.n AS page_id, d.doc_id, '## Page ' || d.n || ' & co' || chr(10) || chr(10) || CASE WHEN len(d.lines) > 0 THEN array_to_string(d.lines, chr(10) || chr(10)) || chr(10) || chr(10) ELSE '' END
+  || '[out **there**](https://x.example/' || d.n || '?a=1&b=2)<!--gfl:meta title="t"--> [see it](' || CASE WHEN e.doc_id IS NULL THEN 'https://wiki/spaces/S/pages/' || d.t ELSE 'page-' || d.t || '.md' END || ')' || chr(10) || chr(10)
+  || '![f' || d.n || '](../_attachments/' || d.lang || '/page-' || d.n || '/f' || d.n || '.png)<!--gfl:meta ac:width="' || d.doc_id % 100 || '"-->' || chr(10) || chr(10)
+  || '- [' || CASE WHEN d.doc_id % 2 = 0 THEN 'x' ELSE ' ' END || '] do *' || d.n || '*' || chr(10) || chr(10) || '| k | v |' || chr(10) || '| --- | ---: |' || chr(10) || '| ' || d.n || ' |  |' || chr(10) || chr(10) || '---' || chr(10) || chr(10)
+  || '```python' || chr(10) || 'x < ' || d.n || chr(10) || '```' || chr(10) || chr(10) || '> [!' || CASE WHEN d.doc_id % 3 = 0 THEN 'INFO' ELSE 'ERROR' END || ']<!--gfl:meta title="T' || d.n || '"-->' || chr(10) || '> mind ' || d.n || chr(10) AS md
+  FROM d LEFT JOIN d e ON e.n = d.t AND e.lang = d.lang)
+"""
+
+
+@query(f"WITH {MD} SELECT scope_id, page_id, CASE WHEN doc_id % 50 <> 7 THEN sha256(md) END AS md FROM md")
+def storage_to_markdown(spark, sf_dir):
+    return _converted(spark, sf_dir).select("scope_id", "page_id", F.sha2("md", 256).alias("md"))
+
+
+@query(f"""WITH {MD} SELECT scope_id, page_id, sha256('---\nconfluence_page_id: "' || page_id || '"\nconfluence_version: ' || (doc_id % 7 + 1) || '\n---\n\n' || md) AS content FROM md WHERE doc_id % 50 <> 7""")
+def render_pages(spark, sf_dir):
+    from doctree.operators.convert import render_pages as render
+
+    return render(_converted(spark, sf_dir)).select("scope_id", "page_id", F.sha2("content", 256).alias("content"))
+
+
+@query("SELECT lang AS scope_id, CAST(doc_id AS VARCHAR) AS page_id FROM documents WHERE doc_id % 50 = 7")
+def conversion_errors(spark, sf_dir):
+    from doctree.operators.convert import conversion_errors as errors
+
+    return errors(_converted(spark, sf_dir)).select("scope_id", "page_id")
