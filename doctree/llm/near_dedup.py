@@ -10,6 +10,10 @@ about one hash a shingle.
 Signatures are cut into bands; an equi-join on bands gives candidate pairs, whose similarity is then
 computed exactly from the shingle sets. Documents with equal sets are one node from the start, so
 copies are never paired with each other. Classes are the connected components of the links.
+
+A bucket of many nodes doesn't give all its pairs. Its nodes are paired with its central node, and a node
+that ends up in another component than the centre is joined with all nodes of large buckets on the
+rarest shingles of either: sets that overlap enough share one of those, so no link is lost.
 """
 
 from __future__ import annotations
@@ -28,7 +32,8 @@ SIMILARITY = 0.8
 K = 128
 BAND_ROWS = 4
 SALTS = 64
-#: Buckets up to this size give all their pairs; larger ones are linked through their central document and cut finer.
+#: Buckets up to this size give all their pairs; larger ones are linked through their central document, and what that
+#: leaves open is joined exactly, by prefixes of rare shingles.
 PAIR_BUCKET = 32
 BASE_RANK = 0.5
 
@@ -143,30 +148,55 @@ def _pairs(members: DataFrame, key: list[str], least: float) -> DataFrame:
     return a.join(b, cond).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
 
 
-def _sized(members: DataFrame, key: list[str]) -> DataFrame:
-    """Members of buckets with two nodes or more, and the bucket's size."""
-    return members.join(members.groupBy(*key).agg(F.count(F.lit(1)).alias("m")).where("m > 1"), key)
+def live_bands(nodes: DataFrame) -> DataFrame:
+    """(band, node, n, m): the bands that two nodes or more share; ``nodes``: (node, n, bands)."""
+    held = nodes.select("node", "n", F.explode("bands").alias("band"))
+    sizes = held.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    return held.join(sizes, "band").select("band", "node", "n", "m")
 
 
-def candidate_pairs(nodes: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Distinct pairs (a < b) of nodes that share a band; ``nodes``: (node, n, bands)."""
-    count = K // BAND_ROWS
-    held = nodes.select("node", "n", "bands", F.posexplode("bands").alias("i", "band"))
-    held = held.select("node", "n", "band", F.get("bands", (F.col("i") + 1) % count).alias("next"))
-    live = work_table(_sized(held, ["band"]), "bands")
-    small, large = live.where(F.col("m") <= PAIR_BUCKET), live.where(F.col("m") > PAIR_BUCKET)
-    found = _pairs(small, ["band"], least)
-    # The node in the fullest buckets is the likely original of the others, and the same one in all of them.
+def centres(large: DataFrame) -> DataFrame:
+    """(band, centre, cn): of a large bucket's nodes the one in the fullest buckets, which is the likely original
+    of the others and the same in most of their buckets."""
     known = large.join(large.groupBy("node").agg(F.sum("m").alias("fame")), "node")
-    centre = known.groupBy("band").agg(F.max(F.struct("fame", "node", "n")).alias("c")).select("band", F.col("c.node").alias("centre"), F.col("c.n").alias("cn"))
+    return known.groupBy("band").agg(F.max(F.struct("fame", "node", "n")).alias("c")).select("band", F.col("c.node").alias("centre"), F.col("c.n").alias("cn"))
+
+
+def candidate_pairs(live: DataFrame, centre: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Distinct pairs (a < b): all pairs of the small buckets, and each node of a large one with its centre."""
+    small, large = live.where(F.col("m") <= PAIR_BUCKET), live.where(F.col("m") > PAIR_BUCKET)
     star = large.join(centre, "band").where((F.col("node") != F.col("centre")) & (F.col("n") >= F.col("cn") * least) & (F.col("cn") >= F.col("n") * least))
-    found = found.unionByName(star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")))
-    finer = _sized(large.drop("m"), ["band", "next"])
-    found = found.unionByName(_pairs(finer.where(F.col("m") <= PAIR_BUCKET), ["band", "next"], least))
-    lead = finer.where(F.col("m") > PAIR_BUCKET)
-    lead = lead.join(lead.groupBy("band", "next").agg(F.min(F.struct(F.xxhash64("node"), "node")).alias("c")).select("band", "next", F.col("c.node").alias("centre")), ["band", "next"]).where("node != centre")
-    found = found.unionByName(lead.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")))
-    return found.distinct()
+    return _pairs(small, ["band"], least).unionByName(star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))).distinct()
+
+
+def open_nodes(live: DataFrame, centre: DataFrame, comps: DataFrame) -> DataFrame:
+    """Nodes of large buckets that are not in the component of each bucket's centre."""
+    large = live.where(F.col("m") > PAIR_BUCKET).select("band", "node").join(centre, "band")
+    own = large.join(comps, "node", "left").select("node", "centre", F.coalesce("comp", "node").alias("own"))
+    other = own.join(comps.withColumnsRenamed({"node": "centre", "comp": "c_comp"}), "centre", "left")
+    return other.where(F.col("own") != F.coalesce("c_comp", "centre")).select("node").distinct()
+
+
+def rare_pairs(sets: DataFrame, wanted: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Distinct pairs (a < b) of ``sets`` (node, shingles), one of them wanted, that may overlap by ``least``: they share one
+    of the n - ceil(least n) + 1 shingles of each that the fewest sets hold."""
+
+    def spread(batches):
+        for batch in batches:
+            size = np.array([len(x) // 8 for x in batch.column(1).to_pylist()], np.int64)
+            h = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
+            at = np.repeat(np.arange(batch.num_rows), size)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(size[at]), pa.array(h)], ["node", "n", "h"])
+
+    rows = sets.select("node", "shingles").mapInArrow(spread, "node long, n long, h long")
+    rows = rows.join(rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")), "h")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "h"))
+    lead = rows.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).where("df > 1").select("node", "n", "h")
+    lead = work_table(lead, "prefixes")
+    a, b = lead.join(wanted, "node", "left_semi").alias("a"), lead.alias("b")
+    near = (F.col("a.node") != F.col("b.node")) & (F.col("a.n") >= F.col("b.n") * least) & (F.col("b.n") >= F.col("a.n") * least)
+    met = a.join(b, (F.col("a.h") == F.col("b.h")) & near)
+    return met.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
 
 
 def node_sets(docs: DataFrame) -> DataFrame:
@@ -234,11 +264,19 @@ def find_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     local = rows.where("n > 0").groupBy("node", "n", "salt").agg(F.min(F.struct(order.alias("o"), "bands")).alias("best"), F.count(F.lit(1)).alias("times"))
     nodes = local.groupBy("node", "n").agg(F.min("best").alias("best"), F.sum("times").alias("times"), F.collect_set("salt").alias("used"))
     nodes = work_table(nodes.select("node", "n", F.col("best.o").alias("o"), F.col("best.bands").alias("bands"), "times", "used"), "nodes")
-    pairs = work_table(candidate_pairs(nodes.select("node", "n", "bands"), least), "pairs")
-    involved = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
+    live = work_table(live_bands(nodes.select("node", "n", "bands")), "bands")
+    centre = work_table(centres(live.where(F.col("m") > PAIR_BUCKET)), "centres")
+    pairs = work_table(candidate_pairs(live, centre, least), "pairs")
+    crowd = live.where(F.col("m") > PAIR_BUCKET).select("node")
+    involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowd).distinct()
     ids = nodes.join(involved, "node", "left_semi").select(F.col("o.doc_id").alias("key")).distinct()
     sets = work_table(node_sets(docs.join(ids, F.col("doc_id").eqNullSafe(F.col("key")), "left_semi")), "sets")
-    comps = components(links(pairs, sets, least))
+    edges = work_table(links(pairs, sets, least), "edges")
+    comps = components(edges)
+    wanted = work_table(open_nodes(live, centre, comps), "open")
+    if not wanted.isEmpty():
+        more = rare_pairs(sets.join(crowd.distinct(), "node", "left_semi"), wanted, least).join(pairs, ["a", "b"], "left_anti")
+        comps = components(edges.unionByName(links(more, sets, least)))
     told = nodes.select("node", "o", "times", "used").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     first = F.min(F.struct("o", "node"))
     classes = told.groupBy("comp").agg(first.alias("first"), F.sum("times").alias("class_size"))

@@ -278,7 +278,9 @@ def near_classes(rows, least):
     return sorted(((i, min(ids[root(k)])[2], len(ids[root(k)])) for k, (i, _) in enumerate(sets)), key=repr)
 
 
-def test_near_dedup(spark, docs):
+@pytest.mark.parametrize("bucket", [near_dedup.PAIR_BUCKET, 3])
+def test_near_dedup(spark, docs, bucket, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PAIR_BUCKET", bucket)
     r = random.Random(5)
     rows = [(i, t) for i, t, *_ in odd_rows()]
     for c in range(3):
