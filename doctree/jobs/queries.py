@@ -613,3 +613,65 @@ def conversion_errors(spark, sf_dir):
     from doctree.operators.convert import conversion_errors as errors
 
     return errors(_converted(spark, sf_dir)).select("scope_id", "page_id")
+
+
+# --- whole workloads --------------------------------------------------------------------------------
+
+
+@query(CAT + r"""SELECT scope_id, page_id, path, sha256('---' || chr(10) || 'confluence_page_id: "' || page_id || '"' || chr(10) || 'confluence_version: ' || version || chr(10) || '---' || chr(10) || chr(10) || regexp_replace(title, '([\\`*_\[\]<>])', '\\\1', 'g') || chr(10)) AS content FROM t JOIN paths USING (scope_id, page_id)""")
+def export_scope(spark, sf_dir):
+    from doctree.operators.export import export_scope as export
+
+    pages = catalog(spark, sf_dir).withColumn("body", F.concat(F.lit("<p>"), tx.xml_escape(F.col("title")), F.lit("</p>")))
+    return export(pages, roots(pages), "docs", text_ids=False).select("scope_id", "page_id", "path", F.sha2("content", 256).alias("content"))
+
+
+@query(CAT + "SELECT scope_id, page_id, path, CAST(version AS INT) AS version FROM t JOIN paths USING (scope_id, page_id)")
+def apply_pull_plan(spark, sf_dir):
+    """A lagging mirror with its plan applied holds what the tree holds."""
+    tree, paths, files = mirror(spark, sf_dir)
+    files = work_table(files, "files")
+    plan = work_table(sy.plan_pull(tree, paths, sy.scan_managed_files(files, "docs")), "plan")
+    content = fm.apply_front_matter(fm.front_matter(F.col("page_id"), F.col("version")), F.lit("Body.\n"))
+    done = sn.apply_pull_plan(files, plan, tree.select("scope_id", "page_id", content.alias("content")))
+    return sy.scan_managed_files(done, "docs").select("scope_id", "page_id", "path", "version")
+
+
+@query(GEO + "SELECT scope_id, path, count(*) AS n, 'shared' AS problem FROM paths GROUP BY ALL HAVING count(*) > 1")
+def audit_paths(spark, sf_dir):
+    paths = work_table(hi.paths_of(tree_of(geo(spark, sf_dir)), "docs"), "paths")
+    return hi.audit_paths(paths, "docs").join(paths.groupBy("scope_id", "path").agg(F.count(F.lit(1)).alias("n")), ["scope_id", "path"])
+
+
+@query("SELECT lang AS scope_id, 'docs/' || lang || '/p' || doc_id % 50 || '.md' AS path, 'f' || doc_id % 7 || '.png' AS filename, 'docs/_files/' || (max(doc_id) % 3) || '/f' || doc_id % 7 || '.png' AS file FROM documents WHERE doc_id % 5 <> 0 GROUP BY lang, doc_id % 50, doc_id % 7")
+def referenced_attachments(spark, sf_dir):
+    """Images by document; several documents share a page, and the last reference of a name wins."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    n = F.col("doc_id")
+    name = F.concat((n % 3).cast("string"), F.lit("/f"), (n % 7).cast("string"), F.lit(".png"))
+    src = F.when(n % 5 == 0, F.concat(F.lit("https://x.example/"), name)).when(n % 2 == 0, F.concat(F.lit("../_files/"), name)).otherwise(F.concat(F.lit("docs/_files/"), name))
+    path = F.concat(F.lit("docs/"), "lang", F.lit("/p"), (n % 50).cast("string"), F.lit(".md"))
+    return li.referenced_attachments(d.select(F.col("lang").alias("scope_id"), path.alias("path"), n.alias("ordinal"), src.alias("src")), "docs/_files")
+
+
+@query("SELECT c_mktsegment AS scope_id, 'docs/_files/a' || c_custkey AS from_dir, 'docs/_files/b/a' || c_custkey AS to_dir FROM customer WHERE c_custkey % 2 = 1")
+def attachment_moves(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    n = F.col("c_custkey").cast("string")
+    flat = F.concat(F.lit("docs/a"), n, F.lit(".md"))
+    to = F.when(F.col("c_custkey") % 2 == 1, F.concat(F.lit("docs/b/a"), n, F.lit("/index.md"))).otherwise(F.concat(F.lit("docs/a"), n, F.lit("/index.md")))
+    return sy.attachment_moves(c.select(F.col("c_mktsegment").alias("scope_id"), flat.alias("from_path"), to.alias("to_path")), "docs/", "docs/_files")
+
+
+@query("SELECT c_mktsegment AS scope_id, 'p' || c_custkey AS from_path, 'p' || (c_custkey + 10) AS to_path FROM customer WHERE EXISTS (SELECT 1 FROM customer o WHERE o.c_mktsegment = customer.c_mktsegment AND o.c_custkey = customer.c_custkey + 10)")
+def rename_collisions(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    p = lambda x: F.concat(F.lit("p"), x.cast("string"))
+    return sy.rename_collisions(c.select(F.col("c_mktsegment").alias("scope_id"), p(F.col("c_custkey")).alias("from_path"), p(F.col("c_custkey") + 10).alias("to_path"))).select("scope_id", "from_path", "to_path")
+
+
+@query("SELECT o_orderpriority AS scope_id, count(*) FILTER (o_orderstatus NOT IN ('O', 'P')) = 0 AS noop FROM orders GROUP BY ALL")
+def plan_is_noop(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    action = F.when(F.col("o_orderstatus") == "O", "orphaned").when(F.col("o_orderstatus") == "P", "unknown").otherwise("update")
+    return sy.plan_is_noop(o.select(F.col("o_orderpriority").alias("scope_id"), action.alias("action")))

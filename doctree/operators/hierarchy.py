@@ -121,3 +121,10 @@ def path_to_page(paths: DataFrame, tree: DataFrame) -> DataFrame:
 
 def path_conflicts(paths: DataFrame) -> DataFrame:
     return paths.groupBy("scope_id", "path").agg(F.count(F.lit(1)).alias("pages")).where("pages > 1")
+
+
+def audit_paths(paths: DataFrame, local_root: str) -> DataFrame:
+    """(scope_id, path, problem): paths that two pages share, or with segments that no slug makes."""
+    base = local_root.rstrip("/")
+    unsafe = paths.where(~F.col("path").rlike(rf"^{base}(/[a-z0-9-]+)*(/[a-z0-9-]+|/index)\.md$")).select("scope_id", "path", F.lit("unsafe").alias("problem"))
+    return path_conflicts(paths).select("scope_id", "path", F.lit("shared").alias("problem")).unionByName(unsafe)
