@@ -675,3 +675,9 @@ def plan_is_noop(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     action = F.when(F.col("o_orderstatus") == "O", "orphaned").when(F.col("o_orderstatus") == "P", "unknown").otherwise("update")
     return sy.plan_is_noop(o.select(F.col("o_orderpriority").alias("scope_id"), action.alias("action")))
+
+
+@query(CAT + "SELECT scope_id, page_id, parent_page_id FROM t")
+def parent_pages(spark, sf_dir):
+    """The directories of a full export lead back to the tree's parents."""
+    return sy.parent_pages(work_table(hi.paths_of(tree_of(catalog(spark, sf_dir)), "docs"), "paths"), "docs")

@@ -154,3 +154,16 @@ def next_versions(ops: DataFrame, pages: DataFrame) -> DataFrame:
 def retry_set(diffs: DataFrame, successes: DataFrame) -> DataFrame:
     """Diffs without a success come again."""
     return diffs.join(successes.select("scope_id", "path").distinct(), ["scope_id", "path"], "left_anti")
+
+
+def parent_pages(managed: DataFrame, local_root: str) -> DataFrame:
+    """managed (scope_id, path, page_id) -> (scope_id, page_id, parent_page_id): for each file the page of the nearest directory
+    above it that has an index page; null for the root page and for files outside the root."""
+    root = local_root.rstrip("/")
+    own_dir = F.when(basename(F.col("path")) == "index.md", dirname(dirname(F.col("path")))).otherwise(dirname(F.col("path")))
+    inside = managed.where(F.col("path").startswith(root + "/") & (F.col("path") != f"{root}/index.md")).withColumn("dir", own_dir)
+    parts = F.split("dir", "/")
+    above = inside.select(*KEY, F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("depth", "at"))
+    index = managed.where(F.col("path").endswith("/index.md")).select("scope_id", dirname(F.col("path")).alias("at"), F.col("page_id").alias("index_id"))
+    found = above.join(index, ["scope_id", "at"]).groupBy(*KEY).agg(F.max_by("index_id", "depth").alias("parent_page_id"))
+    return managed.select(*KEY).join(found, KEY, "left")
