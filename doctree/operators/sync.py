@@ -10,7 +10,7 @@ from doctree.functions.paths import attachment_dir, basename, dirname
 from doctree.functions.slugs import reverse_slugify, title_slugs_match
 
 KEY = ["scope_id", "page_id"]
-STAGING = ".gfl-staging"
+STAGING = ".rename-staging"
 
 
 def scan_managed_files(files: DataFrame, local_root: str) -> DataFrame:

@@ -95,7 +95,7 @@ def test_duplicate_ids_take_the_last_in_walk_order(spark):
 def test_staged_renames(spark):
     schema = "scope_id string, from_path string, to_path string"
     swap = sy.stage_renames(spark.createDataFrame([("s", "a", "b"), ("s", "b", "a"), ("t", "x", "y")], schema))
-    assert rows(swap, "scope_id", "phase", "from_path", "to_path") == [("s", 1, "a", ".gfl-staging/0.md"), ("s", 1, "b", ".gfl-staging/1.md"), ("s", 2, ".gfl-staging/0.md", "b"), ("s", 2, ".gfl-staging/1.md", "a"), ("t", 1, "x", "y")]
+    assert rows(swap, "scope_id", "phase", "from_path", "to_path") == [("s", 1, "a", ".rename-staging/0.md"), ("s", 1, "b", ".rename-staging/1.md"), ("s", 2, ".rename-staging/0.md", "b"), ("s", 2, ".rename-staging/1.md", "a"), ("t", 1, "x", "y")]
 
 
 def test_diff_and_renames(spark):
