@@ -23,7 +23,8 @@ def build_tree(pages: DataFrame, roots: DataFrame, max_depth: int = 10_000) -> D
     """
     has_slug = "slug" in pages.columns
     slug = F.col("slug") if has_slug else F.lit(None).cast("string")
-    narrow = pages.select(*KEY, "title", "parent_page_id", "version", "position", slug.alias("slug"))
+    # Written once: every level reads it, and slugs and whatever made the pages are not worked out again.
+    narrow = work_table(pages.select(*KEY, "title", "parent_page_id", "version", "position", slug.alias("slug")), "pages")
     level = narrow.join(roots.select(*KEY), KEY, "left_semi").select(
         *narrow.columns, F.lit(0).alias("depth"), F.array().cast("array<string>").alias("ancestors"), F.array().cast("array<long>").alias("positions"), F.array().cast("array<string>").alias("slugs")
     )
