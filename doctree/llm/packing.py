@@ -40,23 +40,46 @@ def cost(n: int) -> int:
     return LINEAR * n + QUADRATIC * n * n
 
 
+#: What a Python worker has learned stays for its next tasks.
+_encoders: dict = {}
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that a byte-level vocabulary writes for each byte: printable bytes stand for themselves, the others
+    for the code points from 256 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in plain else next(others)) for b in range(256)}
+
+
 def word_ids(vocab: str):
     """A function from a list of texts to their ids as little-endian uint32 bytes.
 
     The vocabulary drops white space and splits there, and between a letter and a mark that follows
-    it, so words are encoded apart, without their trailing marks, and remembered. New words go
-    through the tokenizer together, with a special token between them. Texts with a special token's
-    string are encoded whole.
+    it, so words are encoded apart, without their trailing marks, and remembered. A new word of Latin
+    letters needs no more than lower case and the byte alphabet before its merges; other new words go
+    through the whole tokenizer together, with a special token between them. Texts with a special
+    token's string are encoded whole.
     """
+    if vocab in _encoders:
+        return _encoders[vocab]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocab)
-    split_id = tokenizer.token_to_id(SPLIT)
+    merges, split_id, letters = tokenizer.model, tokenizer.token_to_id(SPLIT), _byte_letters()
     young: dict[str, bytes] = {"": b""}
     old: dict[str, bytes] = {}
 
-    def learn(words: list[str]) -> None:
+    def learn(words: set[str]) -> None:
+        rest = []
+        for w in words:
+            if w.isalpha() and max(w) < "\u0100":
+                spelled = w.lower() if w.isascii() else w.lower().encode().decode("latin-1").translate(letters)
+                young[w] = np.array([x.id for x in merges.tokenize(spelled)], "<u4").tobytes()
+            else:
+                rest.append(w)
+        words = rest
         for at in range(0, len(words), 2048):
             part = words[at : at + 2048]
             ids = np.asarray(tokenizer.encode_batch_fast([SPLIT.join(part)], add_special_tokens=False)[0].ids, "<u4")
@@ -90,7 +113,7 @@ def word_ids(vocab: str):
                         young[part] = old[part]
                     else:
                         new.add(part)
-        learn(list(new))
+        learn(new)
         for w, core, tail in ends:
             young[w] = young[core] + young[tail]
 
@@ -104,6 +127,7 @@ def word_ids(vocab: str):
             for t, w in zip(texts, split, strict=True)
         ]
 
+    _encoders[vocab] = encode
     return encode
 
 
