@@ -25,7 +25,7 @@ GROUP_DOCS = 1024
 #: Cost of n tokens: LINEAR * n + QUADRATIC * n^2; the ratio is that of a layer with width 1024 (12 d^2 n against 2 d n^2).
 LINEAR, QUADRATIC = 12 * 1024**2, 2 * 1024
 #: Words that a task remembers; twice as many while an older set is still in use.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 TRAILING = ",.;:!?|"
 SPLIT = "<|endoftext|>"
 
