@@ -25,32 +25,84 @@ def diff_snapshots(base: DataFrame, head: DataFrame, suffix: str = ".md") -> Dat
     return both.select("scope_id", action.alias("action"), "path").where("action is not null")
 
 
-def detect_renames(diffs: DataFrame, base: DataFrame, head: DataFrame, min_similarity: float = 0.5, rounds: int = 3) -> DataFrame:
-    """diffs with deletions and additions paired to R (path, old_path): equal contents first, by path order; then files
-    that share at least ``min_similarity`` of their bytes in lines, best first, by rounds of mutual best. Pairs arise from
-    shared lines only."""
-    gone = diffs.where("action = 'D'").select(*AT).join(base.select(*AT, "content"), AT)
-    came = diffs.where("action = 'A'").select(*AT).join(head.select(*AT, "content"), AT)
-    same = lambda d, name: d.select("scope_id", F.col("path").alias(name), F.sha2("content", 256).alias("sha")).withColumn("n", F.row_number().over(Window.partitionBy("scope_id", "sha").orderBy(name)))
-    equal = same(gone, "old_path").join(same(came, "new_path"), ["scope_id", "sha", "n"]).select("scope_id", "old_path", F.col("new_path").alias("path"))
-    rest_gone = gone.join(equal.select("scope_id", F.col("old_path").alias("path")), AT, "left_anti")
-    rest_came = came.join(equal.select(*AT), AT, "left_anti")
+def _line_counts(files: DataFrame, name: str) -> DataFrame:
+    """(scope_id, <name>, <name>_size, h, bytes, <name>_n) of each file's distinct lines; sizes and bytes count line ends."""
+    rows = files.select("scope_id", F.col("path").alias(name), (F.octet_length("content") + 1).alias(f"{name}_size"), F.explode(F.split("content", "\n")).alias("line"))
+    return rows.groupBy("scope_id", name, f"{name}_size", F.xxhash64("line").alias("h"), (F.octet_length("line") + 1).alias("bytes")).agg(F.count(F.lit(1)).alias(f"{name}_n"))
+
+
+def rename_scores(gone: DataFrame, came: DataFrame, least: float) -> DataFrame:
+    """(scope_id, old_path, new_path, score) of all pairs of files (scope_id, path, content) that share at least ``least`` of
+    the larger one's bytes in lines. Each file's lines are put in order of the pairs they would make, and it is looked up by
+    the first ones only, until the rest weigh less than ``least`` of it: pairs that score enough share one of those."""
+    line = ["scope_id", "h", "bytes"]
+    old, new = work_table(_line_counts(gone, "old_path"), "lines"), work_table(_line_counts(came, "new_path"), "lines")
+    held = lambda d, n: d.groupBy(*line).agg(F.count(F.lit(1)).alias(n))
+    met = held(old, "old_files").join(held(new, "new_files"), line).select(*line, (F.col("old_files") * F.col("new_files")).alias("pairs"))
+
+    def lead(d: DataFrame, name: str) -> DataFrame:
+        order = Window.partitionBy("scope_id", name).orderBy("pairs", "h", "bytes").rowsBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.sum(F.col(f"{name}_n") * F.col("bytes")).over(order), F.lit(0))
+        rows = d.join(met, line, "left").withColumn("pairs", F.coalesce("pairs", F.lit(0))).withColumn("before", before)
+        return rows.where((F.col("pairs") > 0) & (F.col(f"{name}_size") - F.col("before") >= F.col(f"{name}_size") * least - 1e-6)).select(*line, name, f"{name}_size")
+
+    sizes = F.least("old_path_size", "new_path_size") >= F.greatest("old_path_size", "new_path_size") * least - 1e-6
+    pairs = lead(old, "old_path").join(lead(new, "new_path"), line).where(sizes).select("scope_id", "old_path", "new_path").distinct()
+    shared = pairs.join(old, ["scope_id", "old_path"]).join(new, ["scope_id", "new_path", "h", "bytes"])
+    scored = shared.groupBy("scope_id", "old_path", "old_path_size", "new_path", "new_path_size").agg(F.sum(F.least("old_path_n", "new_path_n") * F.col("bytes")).alias("common"))
+    return scored.withColumn("score", F.col("common") / F.greatest("old_path_size", "new_path_size")).where(F.col("score") >= least).select("scope_id", "old_path", "new_path", "score")
 
-    def lines(d: DataFrame, name: str) -> DataFrame:
-        rows = d.select("scope_id", F.col("path").alias(name), F.octet_length("content").alias(f"{name}_size"), F.explode(F.split("content", "\n")).alias("line"))
-        return rows.groupBy("scope_id", name, f"{name}_size", F.xxhash64("line").alias("h"), (F.octet_length("line") + 1).alias("bytes")).agg(F.count(F.lit(1)).alias(f"{name}_n"))
 
-    shared = lines(rest_gone, "old_path").join(lines(rest_came, "new_path"), ["scope_id", "h", "bytes"])
-    scored = shared.groupBy("scope_id", "old_path", "old_path_size", "new_path", "new_path_size").agg(F.sum(F.least("old_path_n", "new_path_n") * F.col("bytes")).alias("common"))
-    scored = scored.withColumn("score", F.col("common") / (F.greatest("old_path_size", "new_path_size") + 1)).where(F.col("score") >= min_similarity).select("scope_id", "old_path", "new_path", "score")
+def _in_order(scored: DataFrame) -> DataFrame:
+    """(scope_id, old_path, path): each scope's pairs are read once, best first, and taken where both sides are free."""
+
+    def run(batches):
+        scope, old, new = None, set(), set()
+        for pdf in batches:
+            keep = []
+            for s, o, n in zip(pdf["scope_id"], pdf["old_path"], pdf["new_path"], strict=True):
+                if s != scope:
+                    scope, old, new = s, set(), set()
+                keep.append(o not in old and n not in new)
+                if keep[-1]:
+                    old.add(o)
+                    new.add(n)
+            yield pdf.loc[keep, ["scope_id", "old_path", "new_path"]].rename(columns={"new_path": "path"})
+
+    rows = scored.repartition("scope_id").sortWithinPartitions("scope_id", F.desc("score"), "old_path", "new_path")
+    return rows.mapInPandas(run, "scope_id string, old_path string, path string")
+
+
+def match_best(scored: DataFrame) -> DataFrame:
+    """(scope_id, old_path, path): pairs taken one to one, best score first, equal scores by old and new path, until none is
+    left. Pairs that are best for both sides are taken at once, round after round, while that halves what is left; chains
+    and ties, which give few such pairs a round, are then taken in order."""
     scored = work_table(scored, "scores")
-    found = equal
-    for _ in range(rounds):
+    found, left = scored.limit(0).select("scope_id", "old_path", F.col("new_path").alias("path")), scored.count()
+    while left:
         best = lambda side, other: F.row_number().over(Window.partitionBy("scope_id", side).orderBy(F.desc("score"), other))
         mutual = scored.withColumn("a", best("old_path", "new_path")).withColumn("b", best("new_path", "old_path")).where("a = 1 and b = 1").select("scope_id", "old_path", F.col("new_path").alias("path"))
         mutual = work_table(mutual, "renames")
-        found = found.unionByName(mutual.select("scope_id", "old_path", "path"))
+        found = found.unionByName(mutual)
         scored = scored.join(mutual.select("scope_id", "old_path"), ["scope_id", "old_path"], "left_anti").join(mutual.select("scope_id", F.col("path").alias("new_path")), ["scope_id", "new_path"], "left_anti")
+        scored = work_table(scored, "scores")
+        before, left = left, scored.count()
+        if left > before / 2:
+            return found.unionByName(work_table(_in_order(scored), "renames"))
+    return found
+
+
+def detect_renames(diffs: DataFrame, base: DataFrame, head: DataFrame, min_similarity: float = 0.5) -> DataFrame:
+    """diffs with deletions and additions paired to R (path, old_path): equal contents first, by path order; then files
+    that share at least ``min_similarity`` of their bytes in lines, best first, equal scores by old and new path, until no
+    pair is left. Pairs arise from shared lines only."""
+    gone = diffs.where("action = 'D'").select(*AT).join(base.select(*AT, "content"), AT)
+    came = diffs.where("action = 'A'").select(*AT).join(head.select(*AT, "content"), AT)
+    same = lambda d, name: d.select("scope_id", F.col("path").alias(name), F.sha2("content", 256).alias("sha")).withColumn("n", F.row_number().over(Window.partitionBy("scope_id", "sha").orderBy(name)))
+    equal = same(gone, "old_path").join(same(came, "new_path"), ["scope_id", "sha", "n"]).select("scope_id", "old_path", F.col("new_path").alias("path"))
+    rest_gone = gone.join(equal.select("scope_id", F.col("old_path").alias("path")), AT, "left_anti")
+    rest_came = came.join(equal.select(*AT), AT, "left_anti")
+    found = equal.unionByName(match_best(rename_scores(rest_gone, rest_came, min_similarity)))
     plain = diffs.select("scope_id", "action", "path", F.lit(None).cast("string").alias("old_path"))
     plain = plain.join(found.select(*AT).withColumn("action", F.lit("A")), ["scope_id", "path", "action"], "left_anti")
     plain = plain.join(found.select("scope_id", F.col("old_path").alias("path")).withColumn("action", F.lit("D")), ["scope_id", "path", "action"], "left_anti")

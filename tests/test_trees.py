@@ -1,4 +1,6 @@
+import collections
 import os
+import random
 
 from pyspark.sql import functions as F
 
@@ -111,6 +113,37 @@ def test_diff_and_renames(spark):
     assert rows(sn.audit_converged(base, head), "converged", "differing") == [(False, 6)]
 
 
+def test_renames_are_all_found(spark):
+    def best(gone, came):
+        lines = lambda text: collections.Counter(text.split("\n"))
+        pairs = []
+        for o, x in gone.items():
+            for n, y in came.items():
+                common = sum(k * (len(w.encode()) + 1) for w, k in (lines(x) & lines(y)).items()) / (max(len(x.encode()), len(y.encode())) + 1)
+                if common >= 0.5:
+                    pairs.append((-common, o, n))
+        taken = {}
+        for _, o, n in sorted(pairs):
+            if o not in taken and n not in taken.values():
+                taken[o] = n
+        return taken
+
+    r = random.Random(5)
+    body = "---\n\nfill in the goals of this page\nand the people who own it\n"
+    noise = lambda k: "\n".join(r.choice(["---", "", "a b", "lorem", "ipsum dolor", f"own {r.random()}"]) for _ in range(k))
+    gone = {"t": {f"old/{i:02}.md": f"{body}{i:02} was\n" for i in range(9)}, "u": {f"o{i}": body + "x" * i for i in range(1, 14, 2)}, "v": {f"o{i:02}": noise(r.randint(1, 9)) for i in range(40)}}
+    came = {"t": {f"new/{i:02}.md": f"{body}{i:02} now\n" for i in range(8)}, "u": {f"n{i}": body + "y" * i for i in range(2, 13, 2)}, "v": {f"n{i:02}": noise(r.randint(1, 9)) for i in range(40)}}
+    gone["v"] |= {f"p{i}": f"---\n\nfirst {i}\nsecond {i}\n" for i in range(6)}
+    came["v"] |= {f"q{i}": f"---\n\nfirst {i}\nsecond {i}\nthird\n" for i in range(6)}
+    base, head = (spark.createDataFrame([(s, p, c) for s, files in side.items() for p, c in files.items()], FILES) for side in (gone, came))
+    diffs = sn.diff_snapshots(base, head, "")
+    got = sn.detect_renames(diffs, base, head)
+    want = [(s, o, n) for s in "tuv" for o, n in best(gone[s], came[s]).items()]
+    assert len([x for x in want if x[0] == "t"]) == 8 and len([x for x in want if x[0] == "u"]) == 6
+    assert rows(got.where("action = 'R'"), "scope_id", "old_path", "path") == sorted(want)
+    assert got.count() == diffs.count() - len(want)
+
+
 def test_merge(spark):
     old = "1\n2\n3\n4\n5\n6\n"
     base = spark.createDataFrame([("s", p, old) for p in "abcde"], FILES)
