@@ -53,6 +53,8 @@ _SYMBOL[97:123] = np.arange(1, 27)
 _SYMBOL[128:] = OTHER
 _LEET_BYTES = np.zeros(256, bool)
 _LEET_BYTES[[ord(c) for c in LEET if ord(c) < 128]] = True
+NOT_LETTERS = SEPARATORS | {c for c in LEET if not c.isalpha()}
+APART = re.compile("[" + re.escape("".join(sorted(SEPARATORS))) + "]+")
 
 
 def _buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -100,9 +102,10 @@ def _symbol(c: str) -> int:
 def restore(token: str, lm: np.ndarray) -> str:
     """The cheapest reading of a lower-case token: each character may stay, a sign may stand for a
     letter, a separator between characters may be dropped, and a letter that comes three times or more
-    may be dropped down to one. Where separators stand between all characters they are dropped."""
-    if len(token) > 4 and all(c in SEPARATORS for c in token[1:-1:2]) and not any(c in SEPARATORS for c in token[::2]):
-        token = token[::2]
+    may be dropped down to one. Where separators stand between all characters, one or more, they are dropped."""
+    single = [x for x in APART.split(token) if x]
+    if len(single) > 2 and all(len(x) == 1 for x in single):
+        token = "".join(single)
     runs = [m.span() for m in RUNS.finditer(token)]
     lattice: dict[tuple[int, int, str], tuple[float, str]] = {(EDGE, EDGE, ""): (0.0, "")}
     for i, c in enumerate(token):
@@ -127,6 +130,19 @@ def restore(token: str, lm: np.ndarray) -> str:
     return min(((cost + lm[a, b, EDGE], out) for (a, b, _), (cost, out) in lattice.items()), default=(0.0, token))[1]
 
 
+def _wide(d: np.ndarray, signs) -> np.ndarray:
+    """Which bytes belong to those of the signs that take more than one."""
+    flag = np.zeros(len(d), bool)
+    for raw in (c.encode() for c in signs if ord(c) >= 128):
+        at = np.flatnonzero(d == raw[0])
+        at = at[at + len(raw) <= len(d)]
+        for k in range(1, len(raw)):
+            at = at[d[at + k] == raw[k]]
+        for k in range(len(raw)):
+            flag[at + k] = True
+    return flag
+
+
 def disguised(words: Words) -> np.ndarray:
     """Indexes of words that may hide another: signs or separators inside letters, or a letter three times."""
     d = words.data
@@ -134,27 +150,31 @@ def disguised(words: Words) -> np.ndarray:
     triple = np.zeros(len(d), bool)
     if len(d) > 2:
         triple[2:] = letter[2:] & (d[2:] == d[1:-1]) & (d[1:-1] == d[:-2]) & (d[2:] < 128)
-    inner = np.zeros(len(d), bool)  # neither letter nor sign, with letters or signs on both sides
-    if len(d) > 2:
-        mark = letter | leet
-        inner[1:-1] = ~mark[1:-1] & mark[:-2] & mark[2:]
+    mark = letter | leet
+    if len(d) and d.max() >= 128:
+        leet = leet | _wide(d, LEET)
+        mark = (mark | leet) & ~_wide(d, SEPARATORS)
+    begins = mark.copy()  # of runs of letters and signs; blanks stand between words
+    begins[1:] &= ~mark[:-1]
 
     def each(flag):
         total = np.concatenate(([0], np.cumsum(flag, dtype=np.int64)))
         return total[words.end] - total[words.start]
 
     letters = each(letter)
-    return np.flatnonzero((letters > 0) & ((each(leet) > 0) | (each(inner) > 1)) | (each(triple) > 0))
+    return np.flatnonzero((letters > 0) & ((each(leet) > 0) | (each(begins) > 1)) | (each(triple) > 0))
 
 
 def spelled(words: Words) -> list[tuple[int, int]]:
     """Runs (first, last) of three or more words of one character in one text."""
     size = words.end - words.start
     single = (size == 1) | (size == 2)
-    if not single.any():
+    if not (single | (size == 3)).any():
         return []
     two = np.flatnonzero(size == 2)
     single[two] = words.data[words.start[two]] >= 0xC0  # one character of two bytes
+    three = np.flatnonzero(size == 3)
+    single[three] = words.data[words.start[three]] >= 0xE0
     same = np.zeros(len(single), bool)
     same[1:] = single[1:] & single[:-1] & (words.doc[1:] == words.doc[:-1])
     first = np.flatnonzero(single & ~same)
@@ -179,7 +199,7 @@ class Reader:
         """Letter runs of the texts, lower-case."""
         data, bounds = _buffer(texts)
         low = _LOWER[data]
-        low[~_IS_LETTER[low]] = 32
+        low[~_IS_LETTER[low] | _wide(low, NOT_LETTERS)] = 32
         return Words(_as_strings(low, bounds))
 
     def read(self, texts: pa.Array) -> "Found":
@@ -191,8 +211,11 @@ class Reader:
         spans = [(raw.start[i], raw.end[i], raw.doc[i]) for i in disguised(raw)] + [(raw.start[a], raw.end[b], raw.doc[a]) for a, b in spelled(raw)]
         if spans:
             whole = raw.data.tobytes()
-            again = self.letters(pa.array([self._restored(whole[a:b].decode("utf-8", "replace")) for a, b, _ in spans], pa.string()))
-            parts.append((again, np.array([s[2] for s in spans], np.int64)[again.doc]))
+            tokens = [whole[a:b].decode("utf-8", "replace") for a, b, _ in spans]
+            other = [(x, s[2]) for t, s in zip(tokens, spans, strict=True) if (x := self._restored(t)) != t]  # words that stay as they are count once
+            if other:
+                again = self.letters(pa.array([x for x, _ in other], pa.string()))
+                parts.append((again, np.array([row for _, row in other], np.int64)[again.doc]))
         return Found(parts, plain.count)
 
 

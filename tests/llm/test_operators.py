@@ -333,6 +333,25 @@ def test_toxicity_learns_and_restores(spark):
     assert kept.columns == df.columns and {x["doc_id"] for x in kept.collect()} == {i for i, x in got.items() if not x["predicted"]}
 
 
+def test_toxicity_sees_each_disguise_alone(spark):
+    r = random.Random(3)
+    bad = ["grumble", "snarlbo", "vexify"]
+    rows, marks = [], []
+    for i in range(600):
+        w = prose(5000 + i, 60).split()
+        if i % 4 == 0:
+            for _ in range(4):
+                w[r.randrange(60)] = r.choice(bad)
+        rows.append((i, " ".join(w)))
+        marks.append((i, 0, int(i % 4 == 0)))
+    hidden = ["gru-mble", "g.rumble", "snar_lbo", "g--r--u--m--b--l--e", "v-.exify", "gru\u200bmble", "gr\u00adumble", "snar£bo", "v€xify", "gr\u00b5mble", "v € x i f y", "grumble\u200b", "\u200bgrumble", "grumble€"]
+    plain = ["grumble", "nice-one", "a.dot", "b\u200bread", "no€ll"]
+    rows += [(9000 + k, f"to {x} note") for k, x in enumerate(hidden + plain)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x["predicted"] for x in toxicity.score_toxicity(df, spark.createDataFrame(marks, "doc_id long, quality int, toxic int")).collect()}
+    assert [x for k, x in enumerate(hidden + plain) if got[9000 + k]] == [*hidden, "grumble"]
+
+
 def test_viterbi_reads_signs_and_spacing():
     counts = np.full((toxicity.SYMBOLS,) * 3, 0.2)
     for w in ["idiot", "stupid", "loser", "worthless", "the", "and", "that"] * 50:
