@@ -299,9 +299,19 @@ def keep_one_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = rows.join(kept, F.col("__id").eqNullSafe(F.col("__kept_id")), "left_semi")
     if gone.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi").isEmpty():
         return out.select("row.*")
-    # Some id has rows that stay and rows that go: tell them apart by their text.
-    one = F.row_number().over(Window.partitionBy("__id", F.xxhash64(F.col(f"row.{text_col}"))).orderBy(F.lit(1)))
-    return out.withColumn("__n", one).where("__n = 1").select("row.*")
+    # Some id has rows that stay and rows that go: tell them apart by their shingle sets. Texts without shingles all stay.
+
+    def nodes(texts: pd.Series) -> pd.DataFrame:
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+        parts = [_node(*shingles(part.column(0))[:2], part.num_rows) for part in chunks(batch)]
+        return pd.DataFrame({k: np.concatenate([x[i] for x in parts]) if parts else np.zeros(0, np.int64) for i, k in enumerate(("node", "n"))})
+
+    stay = found.where("kept").select(F.col("doc_id").alias("__kept_id"), F.col("node").alias("__kept_node")).distinct()
+    out = out.withColumn("__text", F.coalesce(F.col(f"row.{text_col}").cast("string"), F.lit("")))
+    out = out.withColumn("__set", F.pandas_udf(nodes, "node long, n long")("__text"))
+    out = out.join(stay, F.col("__id").eqNullSafe(F.col("__kept_id")) & (F.col("__set.node") == F.col("__kept_node")), "left_semi")
+    one = F.row_number().over(Window.partitionBy("__id", "__set.node").orderBy(F.xxhash64("__text")))
+    return out.withColumn("__one", one).where("__one = 1 or __set.n = 0").select("row.*")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -278,6 +278,17 @@ def near_classes(rows, least):
     return sorted(((i, min(ids[root(k)])[2], len(ids[root(k)])) for k, (i, _) in enumerate(sets)), key=repr)
 
 
+def test_near_dedup_keeps_the_marked_rows_of_an_id(spark):
+    near, other = prose(70, 200), prose(71, 200)
+    rows = [(1, near), (1, near + " x"), (1, near + " y"), (3, other), (3, near + " z"), (3, other + "  "), (4, near + " w"), (5, " "), (5, ""), (5, None), (6, near), (None, other + " v"), (None, prose(72, 50))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.keep_one_each(df).collect()
+    want = near_dedup.find_near_duplicates(df).where("kept")
+    assert sorted(((r["doc_id"] for r in got)), key=repr) == sorted((r["doc_id"] for r in want.collect()), key=repr) == [1, 3, 5, 5, 5, None]
+    texts = [r["text"] for r in got]
+    assert sum((t or "").startswith(near) for t in texts) == 1 and sum((t or "").startswith(other) for t in texts) == 1 and prose(72, 50) in texts
+
+
 @pytest.mark.parametrize("bucket", [near_dedup.PAIR_BUCKET, 3])
 def test_near_dedup(spark, docs, bucket, monkeypatch):
     monkeypatch.setattr(near_dedup, "PAIR_BUCKET", bucket)
