@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,13 +83,26 @@ def test_packing_round_trip(spark, docs):
         assert at == capacity and (capacity == 2048 or capacity & (capacity - 1) == 0)
 
 
-def test_word_ids_match_the_tokenizer():
+def test_word_ids_match_the_tokenizer(monkeypatch):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.vocabulary())
-    texts = ["Hello, world's end.", "ÀÉ'll \u0130x ΑΣ, ΑΣ. a\u0301b", "x <|endoftext|> y", "a\u00a0b\u2003c\x1cd\x85e", "12,345.67 ,,, a1b2!!", "", "  \r\n\x0b", "日本語、です。", "don't 'tis we're"]
-    got = packing.word_ids(packing.vocabulary())(texts)
-    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    texts = ["Hello, world's end.", "ÀÉ'll \u0130x ΑΣ, ΑΣ. a\u0301b", "x <|endoftext|> y", "a\u00a0b\u2003c\x1cd\x85e", "12,345.67 ,,, a1b2!!", "", "  \r\n\x0b", "日本語、です。", "don't 'tis we're", "<|", "a <|startoftext|>", "aaaaaaa ÀÉÿ×÷ß", "x" * 3000, "ab'12s'"]
+    texts += [prose(i, 30).title() + "".join(map(chr, range(33, 127))) for i in range(5)]
+    r = random.Random(11)
+    blocks = [(32, 127), (9, 14), (160, 592), (768, 880), (913, 1300), (0x600, 0x700), (0x2000, 0x2070), (0x4E00, 0x4F00), (0xFF00, 0xFF60), (0x1F600, 0x1F640)]
+    for _ in range(400):
+        texts.append("".join(chr(r.randint(*b) if b[1] - b[0] > 1 else b[0]) for b in r.choices(blocks, [12, 3, 6, 1, 2, 1, 1, 1, 1, 1], k=r.randint(0, 60))))
+    want = [t.encode(x, add_special_tokens=False).ids + [packing.END_ID] for x in texts]
+    for longest in (packing.MERGED_BYTES, 5):
+        monkeypatch.setattr(packing, "MERGED_BYTES", longest)
+        encode = packing.Encoder(packing.vocabulary())
+        for lo in range(0, len(texts), 100):
+            ids, ends = encode(pa.array(texts[lo : lo + 100]))
+            got = [x.tolist() for x in np.split(ids, ends[:-1])]
+            assert got == want[lo : lo + 100] and ends[-1] == len(ids)
+    ids, ends = encode(pa.array([], pa.string()))
+    assert len(ids) == len(ends) == 0
 
 
 def test_place_takes_the_cheapest_sequence():
