@@ -32,10 +32,10 @@ def _power(base: int, n: int) -> np.ndarray:
     """base^0 .. base^(n-1) modulo 2^64, remembered."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        out = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
+        out = np.full(max(n, 1 << 19), base, np.uint64)
         out[0] = 1
         have = np.multiply.accumulate(out)
-        if n <= 4 * CHUNK_BYTES:
+        if n <= CHUNK_BYTES + 1:
             _powers[base] = have
     return have[:n]
 

@@ -15,7 +15,6 @@ from __future__ import annotations
 import math
 import re
 
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -23,22 +22,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, text_of, work_table
+from .common import read_table, release_memory, text_of, work_table
 from .textwords import Words, chunks
 
 #: At most about so many labelled rows are learned from; they are picked by a hash of their id.
 TRAIN_ROWS = 40_000
-#: At most so many words go on to the count of independent documents, those with the most evidence.
-LEXICON = 20_000
 HELD_OUT = 5
-CACHE = 1 << 17
+#: Restored words that a task remembers.
+CACHE = 1 << 16
+#: A slice of texts takes about 600 bytes a word while it is read.
+SLICE_BYTES = 1 << 19
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 OTHER, EDGE, SYMBOLS = 27, 0, 28
 #: Features of a word: the word, and its first so many bytes.
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: What a sign may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "µ": "u"}
-SEPARATORS = set(" .-_*~'`,/\\:;#^=​­")
+SEPARATORS = set(" .-_*~'`,/\\:;#^=\u200b\u00ad")
 LEET_COST, KEEP_COST, DROP_COST, REPEAT_COST = 1.0, 4.0, 0.7, 0.7
 
 RUNS = re.compile(r"(.)\1{2,}")
@@ -73,13 +73,14 @@ def character_counts(docs: DataFrame) -> DataFrame:
     def run(batches):
         total = np.zeros(SYMBOLS**3, np.int64)
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, limit=SLICE_BYTES):
                 data, _ = _buffer(part.column(part.schema.get_field_index("text")))
                 s = _SYMBOL[_LOWER[data]]
                 if len(s) > 2:
                     total += np.bincount((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:], minlength=len(total))
         code = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total[code])], ["code", "n"])
+        release_memory()
 
     return docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
@@ -99,7 +100,7 @@ def _symbol(c: str) -> int:
     return OTHER if c.isalpha() else EDGE
 
 
-def restore(token: str, lm: np.ndarray) -> str:
+def restore(token: str, lm: list | np.ndarray) -> str:
     """The cheapest reading of a lower-case token: each character may stay, a sign may stand for a
     letter, a separator between characters may be dropped, and a letter that comes three times or more
     may be dropped down to one. Where separators stand between all characters, one or more, they are dropped."""
@@ -109,7 +110,7 @@ def restore(token: str, lm: np.ndarray) -> str:
     runs = [m.span() for m in RUNS.finditer(token)]
     lattice: dict[tuple[int, int, str], tuple[float, str]] = {(EDGE, EDGE, ""): (0.0, "")}
     for i, c in enumerate(token):
-        in_run = any(a < i < b for a, b in runs)
+        in_run = bool(runs) and any(a < i < b for a, b in runs)
         nxt: dict[tuple[int, int, str], tuple[float, str]] = {}
 
         def offer(key, cost, out, nxt=nxt):
@@ -118,16 +119,16 @@ def restore(token: str, lm: np.ndarray) -> str:
 
         for (a, b, last), (cost, out) in lattice.items():
             s = _symbol(c)
-            offer((b, s, c), cost + lm[a, b, s] + (KEEP_COST if c in LEET else 0.0), out + c)
+            offer((b, s, c), cost + lm[a][b][s] + (KEEP_COST if c in LEET else 0.0), out + c)
             for letter in LEET.get(c, ""):
                 s = _symbol(letter)
-                offer((b, s, letter), cost + lm[a, b, s] + LEET_COST, out + letter)
+                offer((b, s, letter), cost + lm[a][b][s] + LEET_COST, out + letter)
             if c in SEPARATORS and b != EDGE:
                 offer((a, b, last), cost + DROP_COST, out)
             elif in_run and (c == last or last and last in LEET.get(c, "")):
                 offer((a, b, last), cost + REPEAT_COST, out)
         lattice = nxt
-    return min(((cost + lm[a, b, EDGE], out) for (a, b, _), (cost, out) in lattice.items()), default=(0.0, token))[1]
+    return min(((cost + lm[a][b][EDGE], out) for (a, b, _), (cost, out) in lattice.items()), default=(0.0, token))[1]
 
 
 def _wide(d: np.ndarray, signs) -> np.ndarray:
@@ -186,7 +187,7 @@ class Reader:
     """The words that texts are scored by: hashes of letter runs, in the texts and in their restored words."""
 
     def __init__(self, lm: np.ndarray):
-        self.lm, self.known = lm, {}
+        self.lm, self.known = lm.tolist(), {}  # lists are faster to read one by one
 
     def _restored(self, token: str) -> str:
         if token not in self.known:
@@ -272,12 +273,12 @@ def _signed(h: np.ndarray) -> np.ndarray:
 
 
 def word_evidence(train: DataFrame, lm: np.ndarray) -> DataFrame:
-    """(word, bad, good): labelled documents with the word, by label; ``train``: (doc_id, text, toxic)."""
+    """(word, bad, good): labelled documents with the word, by label; ``train``: (key, text, toxic)."""
 
     def run(batches):
         reader = Reader(lm)
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, limit=SLICE_BYTES):
                 toxic = part.column(2).to_numpy(zero_copy_only=False) == 1
                 found = reader.read(part.column(1))
                 row, word = found.row, found.word
@@ -286,30 +287,36 @@ def word_evidence(train: DataFrame, lm: np.ndarray) -> DataFrame:
                 bad = np.bincount(at, weights=toxic[pair[0].astype(np.int64)], minlength=len(hashes)).astype(np.int64)
                 n = np.bincount(at, minlength=len(hashes))
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(hashes)), pa.array(bad), pa.array(n - bad)], ["word", "bad", "good"])
+        del reader
+        release_memory()
 
-    rows = train.select("doc_id", "text", "toxic").mapInArrow(run, "word long, bad long, good long")
+    rows = train.select("key", "text", "toxic").mapInArrow(run, "word long, bad long, good long")
     return rows.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
 
 def independent_evidence(train: DataFrame, lm: np.ndarray, lexicon: np.ndarray) -> DataFrame:
-    """(word, bad, good) of the lexicon's words, counting documents that are the first with both the word
-    and its neighbour before, and the word and its neighbour after."""
+    """(word, bad, good) of the lexicon's words, counting documents that are the first, by a hash of their text, with both
+    the word and its neighbour before, and the word and its neighbour after. ``train``: (key, text, toxic)."""
 
     def run(batches):
         reader = Reader(lm)
         for batch in batches:
-            for part in chunks(batch):
-                ids, toxic = part.column(0).to_numpy(zero_copy_only=False), part.column(2).to_numpy(zero_copy_only=False)
+            for part in chunks(batch, limit=SLICE_BYTES):
+                keys, toxic = part.column(0).to_numpy(), part.column(2).to_numpy()
                 found = reader.read(part.column(1))
                 hit = np.flatnonzero(lexicon[np.minimum(np.searchsorted(lexicon, found.word), len(lexicon) - 1)] == found.word)
                 row = found.row[hit]
-                yield pa.RecordBatch.from_arrays([*(pa.array(_signed(x[hit])) for x in (found.word, found.before, found.after)), pa.array(ids[row]), pa.array(toxic[row].astype(np.int64))], ["word", "before", "after", "doc_id", "toxic"])
-
-    rows = train.select("doc_id", "text", "toxic").mapInArrow(run, "word long, before long, after long, doc_id long, toxic long").distinct()
+                told = [pa.array(_signed(x[hit])) for x in (found.word, found.before, found.after)]
+                told += [pa.array(keys[row]), pa.array(toxic[row].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(told, ["word", "before", "after", "key", "toxic"])
+
+    rows = train.select("key", "text", "toxic").mapInArrow(run, "word long, before long, after long, key long, toxic long")
+    rows = work_table(rows.distinct(), "pairs")
+    # The least key of each word and neighbour, combined before it is shuffled: a neighbour may be very common.
+    first = rows
     for side in ("before", "after"):
-        rows = rows.withColumn(f"first_{side}", F.min("doc_id").over(Window.partitionBy("word", side)))
-    first = rows.where((F.col("doc_id") == F.col("first_before")) & (F.col("doc_id") == F.col("first_after")))
-    once = first.groupBy("word", "doc_id").agg(F.max("toxic").alias("toxic"))
+        first = first.join(rows.groupBy("word", side).agg(F.min("key").alias("key")), ["word", side, "key"], "left_semi")
+    once = first.groupBy("word", "key").agg(F.max("toxic").alias("toxic"))
     return once.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
 
 
@@ -362,11 +369,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         return none
     part = min(1.0, TRAIN_ROWS / n)
     picked = told.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 20)) < int(part * (1 << 20)))  # about TRAIN_ROWS rows at most
-    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")
+    rows = docs.join(F.broadcast(picked), "doc_id").select(F.xxhash64("text").alias("key"), "text", "toxic")
+    rows = work_table(rows, "sample")  # about TRAIN_ROWS texts, read three times
     counts = work_table(word_evidence(rows, lm), "words").withColumn("n", F.col("bad") + F.col("good")).withColumn("surprise", _surprise("bad", "n", share))
     least = math.log(1 + counts.count()) + 2  # so many words are tried that one may look telling by chance
-    best = counts.where((F.col("bad") >= 3) & (F.col("surprise") > least)).orderBy(F.desc("surprise"), "word").limit(LEXICON)
-    lexicon = np.sort(np.array([r["word"] for r in best.select("word").collect()], np.int64).view(np.uint64))  # LEXICON numbers at most
+    best = counts.where((F.col("bad") >= 3) & (F.col("surprise") > least)).select("word")
+    # Words of the sample whose evidence beats chance, one number each: the sample bounds them.
+    lexicon = np.sort(best.toPandas()["word"].to_numpy(np.int64).view(np.uint64))
     if not len(lexicon):
         return none
     found = independent_evidence(rows, lm, lexicon).withColumn("n", F.col("bad") + F.col("good")).withColumn("surprise", _surprise("bad", "n", share)).collect()
@@ -379,11 +388,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     def signals(batches):
         reader = Reader(lm)
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, limit=SLICE_BYTES):
                 x = reader.read(part.column(1)).signals(words, weights)
                 yield pa.RecordBatch.from_arrays([part.column(2), *map(pa.array, x.T)], ["toxic", *"abcde"])
 
-    seen = rows.mapInArrow(signals, "toxic int, a double, b double, c double, d double, e double").orderBy("toxic", *"abcde").toPandas()  # about TRAIN_ROWS rows at most
+    seen = rows.mapInArrow(signals, "toxic int, a double, b double, c double, d double, e double").toPandas()  # about TRAIN_ROWS rows
+    seen = seen.sort_values(["toxic", *"abcde"])  # the same sums in each run
     return Model(lm, words, weights, fit(seen[list("abcde")].to_numpy(float), seen["toxic"].to_numpy(float)))
 
 
@@ -393,8 +403,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         reader = Reader(model.lm)
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, limit=SLICE_BYTES):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.scores(reader, part.column(1)))], ["doc_id", "score"])
+        del reader
+        release_memory()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
@@ -422,7 +434,7 @@ def keep_clean(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     def scores(texts: pd.Series) -> pd.Series:
         reader, batch = Reader(model.lm), pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
-        return pd.Series(np.concatenate([model.scores(reader, part.column(0)) for part in chunks(batch)]) if len(texts) else [])
+        return pd.Series(np.concatenate([model.scores(reader, part.column(0)) for part in chunks(batch, limit=SLICE_BYTES)]) if len(texts) else [])
 
     return df.where(F.pandas_udf(scores, "double")(text_of(df, text_col)) < most)
 
