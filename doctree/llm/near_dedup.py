@@ -12,8 +12,9 @@ computed exactly from the shingle sets. Documents with equal sets are one node f
 copies are never paired with each other. Classes are the connected components of the links.
 
 A bucket of many nodes doesn't give all its pairs. Its nodes are paired with its central node, and a node
-that ends up in another component than the centre is joined with all nodes of large buckets on the
-rarest shingles of either: sets that overlap enough share one of those, so no link is lost.
+that ends up in another component than the centre is joined with the nodes of large buckets that are in
+other components, on the rarest shingles of either and only where sizes and places allow enough
+overlap: sets that overlap enough meet so, and no link is lost.
 """
 
 from __future__ import annotations
@@ -148,11 +149,19 @@ def _pairs(members: DataFrame, key: list[str], least: float) -> DataFrame:
     return a.join(b, cond).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
 
 
+def salted_join(rows: DataFrame, told: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """rows join told (one row a key) on ``key``, where one key may have very many rows: what is told about a
+    key first goes to each (key, salt) in use, by the distinct ones, and from there to the rows of that salt."""
+    salt = F.pmod(F.xxhash64(F.lit(5), by), F.lit(SALTS)).cast("int").alias("__salt")
+    used = rows.select(key, salt).distinct().join(told, key)
+    return rows.select("*", salt).join(used, [key, "__salt"], how).drop("__salt")
+
+
 def live_bands(nodes: DataFrame) -> DataFrame:
     """(band, node, n, m): the bands that two nodes or more share; ``nodes``: (node, n, bands)."""
     held = nodes.select("node", "n", F.explode("bands").alias("band"))
     sizes = held.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    return held.join(sizes, "band").select("band", "node", "n", "m")
+    return salted_join(held, sizes, "band", "node").select("band", "node", "n", "m")
 
 
 def centres(large: DataFrame) -> DataFrame:
@@ -165,21 +174,29 @@ def centres(large: DataFrame) -> DataFrame:
 def candidate_pairs(live: DataFrame, centre: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Distinct pairs (a < b): all pairs of the small buckets, and each node of a large one with its centre."""
     small, large = live.where(F.col("m") <= PAIR_BUCKET), live.where(F.col("m") > PAIR_BUCKET)
-    star = large.join(centre, "band").where((F.col("node") != F.col("centre")) & (F.col("n") >= F.col("cn") * least) & (F.col("cn") >= F.col("n") * least))
+    star = salted_join(large, centre, "band", "node").where((F.col("node") != F.col("centre")) & (F.col("n") >= F.col("cn") * least) & (F.col("cn") >= F.col("n") * least))
     return _pairs(small, ["band"], least).unionByName(star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))).distinct()
 
 
 def open_nodes(live: DataFrame, centre: DataFrame, comps: DataFrame) -> DataFrame:
     """Nodes of large buckets that are not in the component of each bucket's centre."""
-    large = live.where(F.col("m") > PAIR_BUCKET).select("band", "node").join(centre, "band")
-    own = large.join(comps, "node", "left").select("node", "centre", F.coalesce("comp", "node").alias("own"))
-    other = own.join(comps.withColumnsRenamed({"node": "centre", "comp": "c_comp"}), "centre", "left")
-    return other.where(F.col("own") != F.coalesce("c_comp", "centre")).select("node").distinct()
-
-
-def rare_pairs(sets: DataFrame, wanted: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Distinct pairs (a < b) of ``sets`` (node, shingles), one of them wanted, that may overlap by ``least``: they share one
-    of the n - ceil(least n) + 1 shingles of each that the fewest sets hold."""
+    of_centre = centre.join(comps.withColumnsRenamed({"node": "centre", "comp": "c_comp"}), "centre", "left")
+    of_centre = of_centre.select("band", F.coalesce("c_comp", "centre").alias("c_comp"))
+    large = salted_join(live.where(F.col("m") > PAIR_BUCKET).select("band", "node"), of_centre, "band", "node")
+    own = large.join(comps, "node", "left").where(F.coalesce("comp", "node") != F.col("c_comp"))
+    return own.select("node").distinct()
+
+
+def rare_pairs(sets: DataFrame, wanted: DataFrame, comps: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Distinct pairs (a < b) of ``sets`` (node, shingles) in different components, one of them wanted, that may overlap by
+    ``least``.
+
+    Shingles are put in one order, the rarest first. A pair that overlaps enough has a first shingle in common,
+    and all it shares comes from there on in both: at place i a set of n shingles can only reach sets of
+    up to (n - i) (1 + least) / least - n shingles. So a set's shingles count up to the place from
+    which it reaches no set of at least ``least`` times its size, and both sides must reach each other.
+    Shingles whose sets are all of one component make no pairs.
+    """
 
     def spread(batches):
         for batch in batches:
@@ -189,14 +206,20 @@ def rare_pairs(sets: DataFrame, wanted: DataFrame, least: float = SIMILARITY) ->
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(size[at]), pa.array(h)], ["node", "n", "h"])
 
     rows = sets.select("node", "shingles").mapInArrow(spread, "node long, n long, h long")
-    rows = rows.join(rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")), "h")
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "h"))
-    lead = rows.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).where("df > 1").select("node", "n", "h")
-    lead = work_table(lead, "prefixes")
-    a, b = lead.join(wanted, "node", "left_semi").alias("a"), lead.alias("b")
-    near = (F.col("a.node") != F.col("b.node")) & (F.col("a.n") >= F.col("b.n") * least) & (F.col("b.n") >= F.col("a.n") * least)
-    met = a.join(b, (F.col("a.h") == F.col("b.h")) & near)
-    return met.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+    rows = salted_join(rows, rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")), "h", "node")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("df", "h")) - 1
+    reach = F.floor((F.col("n") - F.col("place")) * ((1 + least) / least) - F.col("n") + 1e-6)
+    lead = rows.withColumn("place", place).where("df > 1").withColumn("reach", reach).where(F.col("reach") >= F.col("n") * least - 1e-6)
+    lead = lead.join(comps, "node", "left").select("node", "n", "h", "reach", F.coalesce("comp", "node").alias("comp"))
+    lead = work_table(lead.join(wanted.withColumn("open", F.lit(True)), "node", "left"), "prefixes")
+    # Of each shingle: who can be met there at all.
+    told = [F.min("comp").alias("one"), F.max("comp").alias("other"), F.count("open").alias("opens"), F.min("n").alias("low"), F.max("reach").alias("high")]
+    met = lead.groupBy("h").agg(*told).where("one != other and opens > 0").drop("opens")
+    lead = salted_join(lead, met, "h", "node").where("reach >= low and n <= high").drop("one", "other", "low", "high")
+    a, b = lead.where("open").alias("a"), lead.alias("b")
+    near = (F.col("a.comp") != F.col("b.comp")) & (F.col("a.n") <= F.col("b.reach")) & (F.col("b.n") <= F.col("a.reach"))
+    pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & near)
+    return pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
 
 
 def node_sets(docs: DataFrame) -> DataFrame:
@@ -237,10 +260,12 @@ def components(edges: DataFrame) -> DataFrame:
     both = work_table(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = work_table(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("comp")).withColumnRenamed("a", "node"), "labels")
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("near"))
+        # The centre of a star is at many links' ends, and a large component is many nodes' label.
+        met = salted_join(both, labels.withColumnRenamed("node", "b"), "b", "a")
+        near = met.groupBy("a").agg(F.min("comp").alias("near"))
         stepped = labels.join(near, labels["node"] == near["a"]).select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
-        up = labels.select(F.col("node").alias("at"), F.col("comp").alias("above"))
-        jumped = stepped.join(up, stepped["comp"] == up["at"], "left").select("node", "was", F.least("comp", F.coalesce("above", "comp")).alias("comp"))
+        above = labels.select(F.col("node").alias("comp"), F.col("comp").alias("above"))
+        jumped = salted_join(stepped, above, "comp", "node", "left").select("node", "was", F.least("comp", F.coalesce("above", "comp")).alias("comp"))
         new = work_table(jumped, "labels")
         labels = new.select("node", "comp")
         if new.where("was != comp").isEmpty():
@@ -275,12 +300,13 @@ def find_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     comps = components(edges)
     wanted = work_table(open_nodes(live, centre, comps), "open")
     if not wanted.isEmpty():
-        more = rare_pairs(sets.join(crowd.distinct(), "node", "left_semi"), wanted, least).join(pairs, ["a", "b"], "left_anti")
+        more = rare_pairs(sets.join(crowd.distinct(), "node", "left_semi"), wanted, comps, least).join(pairs, ["a", "b"], "left_anti")
+        more = work_table(more, "pairs")
         comps = components(edges.unionByName(links(more, sets, least)))
     told = nodes.select("node", "o", "times", "used").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     first = F.min(F.struct("o", "node"))
     classes = told.groupBy("comp").agg(first.alias("first"), F.sum("times").alias("class_size"))
-    back = told.select("node", "comp", F.explode("used").alias("salt")).join(classes, "comp")
+    back = salted_join(told.select("node", "comp", F.explode("used").alias("salt")), classes, "comp", "node")
     back = back.select("node", "salt", F.col("first.o.doc_id").alias("class_id"), F.col("first.node").alias("first_node"), "class_size")
     found = rows.where("n > 0").select("doc_id", "node", "salt").join(back, ["node", "salt"])
     nth = F.row_number().over(Window.partitionBy("node", "salt", "doc_id").orderBy(F.lit(1)))

@@ -31,7 +31,7 @@ HELD_OUT = 5
 #: Restored words that a task remembers.
 CACHE = 1 << 16
 #: A slice of texts takes about 600 bytes a word while it is read.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 OTHER, EDGE, SYMBOLS = 27, 0, 28
 #: Features of a word: the word, and its first so many bytes.
