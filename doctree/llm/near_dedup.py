@@ -19,6 +19,8 @@ overlap: sets that overlap enough meet so, and no link is lost.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -36,6 +38,8 @@ SALTS = 64
 #: Buckets up to this size give all their pairs; larger ones are linked through their central document, and what that
 #: leaves open is joined exactly, by prefixes of rare shingles.
 PAIR_BUCKET = 32
+#: Rounds in which sets of large buckets that cannot be linked are left out before their shingles are joined.
+PRUNINGS = 2
 BASE_RANK = 0.5
 
 
@@ -187,39 +191,75 @@ def open_nodes(live: DataFrame, centre: DataFrame, comps: DataFrame) -> DataFram
     return own.select("node").distinct()
 
 
-def rare_pairs(sets: DataFrame, wanted: DataFrame, comps: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Distinct pairs (a < b) of ``sets`` (node, shingles) in different components, one of them wanted, that may overlap by
-    ``least``.
+def _reach(n: str, place: str, least: float) -> F.Column:
+    """The largest set that one of n shingles can overlap enough, if all they share comes from ``place`` on."""
+    return F.floor((F.col(n) - F.col(place)) * ((1 + least) / least) - F.col(n) + 1e-6)
+
+
+def _able(there: DataFrame) -> DataFrame:
+    """Of (band, node, n, reach, comp, open) the rows that, by sizes and reaches, some set of another component in their
+    bucket may meet where one of both is open. A bucket's sets are told by classes of nearly equal size."""
+    size_class = F.floor(F.log("n") / math.log(1.01)).alias("size_class")
+    told = [F.min("n").alias("n"), F.max("reach").alias("reach"), F.min("comp").alias("one"), F.max("comp").alias("other")]
+    classes = there.groupBy("band", "open", size_class).agg(*told)
+    sides = classes.groupBy("band").agg(F.collect_list(F.struct("open", "n", "reach", "one", "other")).alias("sides"))  # some hundred at most
+
+    def met(e):
+        other = (e["one"] != F.col("comp")) | (e["other"] != F.col("comp"))
+        return (e["open"] | F.col("open")) & other & (e["n"] <= F.col("reach")) & (F.col("n") <= e["reach"])
+
+    return salted_join(there, sides, "band", "node").where(F.exists("sides", met)).select(*there.columns)
+
+
+def rare_pairs(sets: DataFrame, large: DataFrame, comps: DataFrame, wanted: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Distinct pairs (a < b) of ``sets`` (node, n, shingles) in different components, one of them wanted, that may overlap
+    by ``least``; ``large``: (band, node) of the large buckets.
 
     Shingles are put in one order, the rarest first. A pair that overlaps enough has a first shingle in common,
     and all it shares comes from there on in both: at place i a set of n shingles can only reach sets of
-    up to (n - i) (1 + least) / least - n shingles. So a set's shingles count up to the place from
-    which it reaches no set of at least ``least`` times its size, and both sides must reach each other.
-    Shingles whose sets are all of one component make no pairs.
+    up to (n - i) (1 + least) / least - n shingles. Shingles of one or two sets come first and need no join:
+    those of two name a pair each, and their number alone rules out most sets, those that no set of another
+    component in one of their buckets can reach. The others meet by their shingles up to the last place of any use.
     """
 
     def spread(batches):
         for batch in batches:
-            size = np.array([len(x) // 8 for x in batch.column(1).to_pylist()], np.int64)
-            h = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
-            at = np.repeat(np.arange(batch.num_rows), size)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(size[at]), pa.array(h)], ["node", "n", "h"])
-
-    rows = sets.select("node", "shingles").mapInArrow(spread, "node long, n long, h long")
-    rows = salted_join(rows, rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")), "h", "node")
-    place = F.row_number().over(Window.partitionBy("node").orderBy("df", "h")) - 1
-    reach = F.floor((F.col("n") - F.col("place")) * ((1 + least) / least) - F.col("n") + 1e-6)
-    lead = rows.withColumn("place", place).where("df > 1").withColumn("reach", reach).where(F.col("reach") >= F.col("n") * least - 1e-6)
-    lead = lead.join(comps, "node", "left").select("node", "n", "h", "reach", F.coalesce("comp", "node").alias("comp"))
-    lead = work_table(lead.join(wanted.withColumn("open", F.lit(True)), "node", "left"), "prefixes")
+            size = np.array([len(x) // 8 for x in batch.column(2).to_pylist()], np.int64)
+            h = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
+            at = pa.array(np.repeat(np.arange(batch.num_rows), size))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(h)], ["node", "n", "h"])
+
+    def rows_of(some: DataFrame) -> DataFrame:
+        return some.select("node", "n", "shingles").mapInArrow(spread, "node long, n long, h long")
+
+    ends = [F.min("node").alias("node"), F.max("node").alias("other")]
+    counts = work_table(rows_of(sets).groupBy("h").agg(F.count(F.lit(1)).alias("df"), *ends), "counts")
+    twos = counts.where("df = 2").select("node", "other")
+    own = counts.where("df <= 2").select("node").unionAll(twos.select("other")).groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    known = sets.select("node", "n").join(own, "node", "left").join(comps, "node", "left").join(wanted.withColumn("open", F.lit(True)), "node", "left")
+    known = known.select("node", "n", F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("comp", "node").alias("comp"), F.coalesce("open", F.lit(False)).alias("open"))
+    known = work_table(known.withColumn("reach", _reach("n", "own", least)), "known")
+    there = large.join(known.where(F.col("reach") >= F.col("n") * least - 1e-6), "node")
+    for _ in range(PRUNINGS):
+        there = work_table(_able(there), "able")
+    able = there.select("node").distinct()
+    rows = rows_of(sets.join(able, "node", "left_semi"))
+    rows = salted_join(rows, counts.where("df > 2").select("h", "df"), "h", "node").join(known.drop("n", "reach"), "node")
+    place = F.col("own") + F.row_number().over(Window.partitionBy("node").orderBy("df", "h")) - 1
+    lead = rows.withColumn("place", place).withColumn("reach", _reach("n", "place", least)).where(F.col("reach") >= F.col("n") * least - 1e-6)
+    lead = work_table(lead.select("node", "n", "h", "reach", "comp", "open"), "prefixes")
     # Of each shingle: who can be met there at all.
-    told = [F.min("comp").alias("one"), F.max("comp").alias("other"), F.count("open").alias("opens"), F.min("n").alias("low"), F.max("reach").alias("high")]
-    met = lead.groupBy("h").agg(*told).where("one != other and opens > 0").drop("opens")
-    lead = salted_join(lead, met, "h", "node").where("reach >= low and n <= high").drop("one", "other", "low", "high")
+    told = [F.min("comp").alias("one"), F.max("comp").alias("other"), F.count_if("open").alias("opens"), F.min("n").alias("low"), F.max("reach").alias("high")]
+    met = lead.groupBy("h").agg(*told).where("one != other and opens > 0").drop("opens", "one", "other")
+    lead = salted_join(lead, met, "h", "node").where("reach >= low and n <= high").drop("low", "high")
     a, b = lead.where("open").alias("a"), lead.alias("b")
     near = (F.col("a.comp") != F.col("b.comp")) & (F.col("a.n") <= F.col("b.reach")) & (F.col("b.n") <= F.col("a.reach"))
-    pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & near)
-    return pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+    pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & near).select("a.node", F.col("b.node").alias("other"))
+    of_a = known.select("node", "comp", "open")
+    of_b = of_a.withColumnsRenamed({"node": "other", "comp": "o_comp", "open": "o_open"})
+    twos = twos.distinct().join(of_a, "node").join(of_b, "other").where("comp != o_comp and (open or o_open)")
+    pairs = pairs.unionByName(twos.select("node", "other"))
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 def node_sets(docs: DataFrame) -> DataFrame:
@@ -300,7 +340,9 @@ def find_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     comps = components(edges)
     wanted = work_table(open_nodes(live, centre, comps), "open")
     if not wanted.isEmpty():
-        more = rare_pairs(sets.join(crowd.distinct(), "node", "left_semi"), wanted, comps, least).join(pairs, ["a", "b"], "left_anti")
+        large = live.where(F.col("m") > PAIR_BUCKET).select("band", "node")
+        crowd_sets = sets.join(crowd.distinct(), "node", "left_semi").join(nodes.select("node", "n"), "node")
+        more = rare_pairs(crowd_sets, large, comps, wanted, least).join(pairs, ["a", "b"], "left_anti")
         more = work_table(more, "pairs")
         comps = components(edges.unionByName(links(more, sets, least)))
     told = nodes.select("node", "o", "times", "used").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
