@@ -35,26 +35,76 @@ def apply_front_matter(fm: Column, body: Column) -> Column:
     return F.when(is_empty_front_matter(fm), body).otherwise(F.concat(head, F.when(body == "", "").otherwise(F.concat(F.lit("\n"), body))))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+#: White space that is cut off around keys and values.
+_EDGES = r"\A[\s\x0B\x85\p{Z}]+|[\s\x0B\x85\p{Z}]+\z"
+#: The short escapes of a quoted value.
+ESCAPES = {"a": "\a", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v", "\\": "\\", '"': '"'}
+_ESCAPE = r'\\(?:[abfnrtv\\"]|x[0-7][0-9A-Fa-f]|u(?![Dd][89A-Fa-f])[0-9A-Fa-f]{4})'
+_QUOTED = rf'\A"(?:[^"\\\n]|{_ESCAPE})*"\z'
+
+
+def _trimmed(value: Column) -> Column:
+    return F.regexp_replace(value, _EDGES, "")
+
+
+def _unquoted(value: Column) -> Column:
+    """The value of a well-formed quoted string, piece by piece; other values as they are."""
+    pieces = F.regexp_extract_all(F.substr(value, F.lit(2), F.length(value) - 2), F.lit(rf"{_ESCAPE}|[^\\]+"), F.lit(0))
+    short = F.create_map(*[F.lit(x) for pair in ESCAPES.items() for x in pair])
+
+    def piece(x: Column) -> Column:
+        code = F.lpad(F.substr(x, F.lit(3)), 4, "0")
+        is_code = x.startswith("\\u") | x.startswith("\\x")
+        plain = F.when(is_code, F.decode(F.unhex(code), "UTF-16BE")).otherwise(short[F.substr(x, F.lit(2))])
+        return F.when(x.startswith("\\"), plain).otherwise(x)
+
+    return F.when(value.rlike(_QUOTED), F.array_join(F.transform(pieces, piece), "")).otherwise(value)
+
+
+def _fields(inner: Column, body: Column, closed: Column, whole: Column) -> Column:
+    """struct(fm, body, error) of an opened block's lines."""
+    lines = F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, "\n"))
+    parted = F.transform(lines, lambda x: F.struct(
+        F.when(x.contains(":"), _trimmed(F.substring_index(x, ":", 1))).otherwise("").alias("key"),
+        _trimmed(F.regexp_replace(x, r"(?s)\A[^:]*:", "")).alias("value"), x.alias("line"),
+    ))
+
+    def read(parts: Column) -> Column:
+        of = lambda name: F.transform(F.filter(parts, lambda x: x["key"] == name), lambda x: x["value"])
+        ids, versions = of(PAGE_ID), of(VERSION)
+        extra = F.transform(F.filter(parts, lambda x: ~x["key"].isin(PAGE_ID, VERSION)), lambda x: x["line"])
+        is_quoted = lambda v: (F.length(v) >= 2) & v.startswith('"') & v.endswith('"')
+        number = lambda v: F.when(v.rlike(r"\A[+-]?[0-9]+\z"), v).try_cast("int")
+        bad = ~closed | F.exists(ids, lambda v: is_quoted(v) & ~v.rlike(_QUOTED)) | F.exists(versions, lambda v: number(v).isNull())
+        page_id = F.coalesce(_unquoted(F.try_element_at(ids, F.lit(-1))), F.lit(""))
+        version = F.coalesce(number(F.try_element_at(versions, F.lit(-1))), F.lit(0))
+        fm = F.when(bad, front_matter(F.lit(""), F.lit(0))).otherwise(front_matter(page_id, version, extra))
+        return F.struct(fm.alias("fm"), F.when(bad, whole).otherwise(body).alias("body"), bad.alias("error"))
+
+    return _let(parted, read)
+
+
 def extract_front_matter(md: Column) -> Column:
     """struct(fm, body, error). Without a block the body is the text. With an unclosed block, a version that
-    isn't a number or a bad quoted id, error is set and the body is the whole text."""
-    s = F.regexp_replace(F.regexp_replace(md, "^\ufeff", ""), "\r\n", "\n")
-    shape = r"(?s)\A---\n(.*?)(?:(?<=\n))---(?:\n(.*))?\z"
-    opened, closed = s.startswith("---\n"), s.rlike(shape)
-    inner = F.regexp_replace(F.regexp_extract(s, shape, 1), r"\n+\z", "")
-    body = F.regexp_replace(F.regexp_extract(s, shape, 2), r"\A\n+", "")
-    lines = F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, "\n"))
-    key = lambda x: F.when(x.contains(":"), F.trim(F.substring_index(x, ":", 1))).otherwise("")
-    value = lambda x: F.trim(F.regexp_replace(x, r"(?s)\A[^:]*:", ""))
-    of = lambda name: F.transform(F.filter(lines, lambda x: key(x) == name), value)
-    ids, versions = of(PAGE_ID), of(VERSION)
-    extra = F.filter(lines, lambda x: ~key(x).isin(PAGE_ID, VERSION))
-    is_quoted = lambda v: (F.length(v) >= 2) & v.startswith('"') & v.endswith('"')
-    good_quote = lambda v: v.rlike(r'\A"(?:[^"\\\n]|\\["\\])*"\z')
-    unquoted = lambda v: F.when(is_quoted(v), F.regexp_replace(F.regexp_replace(v, r'\A"|"\z', ""), r'\\(["\\])', "$1")).otherwise(v)
-    number = lambda v: F.when(v.rlike(r"\A[+-]?[0-9]+\z"), v).try_cast("int")
-    bad = ~closed | F.exists(ids, lambda v: is_quoted(v) & ~good_quote(v)) | F.exists(versions, lambda v: number(v).isNull())
-    page_id = F.coalesce(F.try_element_at(F.transform(ids, unquoted), F.lit(-1)), F.lit(""))
-    version = F.coalesce(F.try_element_at(F.transform(versions, number), F.lit(-1)), F.lit(0))
-    fm = F.when(opened & ~bad, front_matter(page_id, version, extra)).otherwise(front_matter(F.lit(""), F.lit(0)))
-    return F.struct(fm.alias("fm"), F.when(opened & ~bad, body).when(opened, md).otherwise(s).alias("body"), (opened & bad).alias("error"))
+    isn't a number or a bad quoted id, error is set and the body is the whole text.
+
+    Only the block at the top meets regular expressions line by line, and each part is worked out once.
+    """
+    shape = r"(?s)\A---\n(.*?)(?:(?<=\n))---(?:\n.*)?\z"
+
+    def parts(s: Column) -> Column:
+        def cut(block: Column) -> Column:
+            # A closed block is opening, lines and closing; the lines between end with a line feed or are none.
+            closed = s.rlike(shape)
+            rest = F.substr(s, F.length(block) + 9)  # after both marks and the line feed
+            return _fields(F.regexp_replace(block, r"\n+\z", ""), F.regexp_replace(rest, r"\A\n+", ""), closed, md)
+
+        plain = F.struct(front_matter(F.lit(""), F.lit(0)).alias("fm"), s.alias("body"), F.lit(False).alias("error"))
+        return F.when(s.startswith("---\n"), _let(F.regexp_extract(s, shape, 1), cut)).otherwise(plain)
+
+    return _let(F.regexp_replace(F.regexp_replace(md, "^\ufeff", ""), "\r\n", "\n"), parts)

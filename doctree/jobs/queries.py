@@ -108,11 +108,16 @@ def children_of(spark, sf_dir):
     return hi.children_of(tree_of(geo(spark, sf_dir))).select("scope_id", "page_id", F.array_join("children", ",").alias("children"))
 
 
-@query(GEO + "SELECT scope_id, page_id, title FROM t WHERE page_id IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier)")
+_SUPPLIER_IDS = """
+SELECT r_name AS scope_id, CAST(s_suppkey AS STRING) AS page_id FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
+UNION ALL SELECT r_name, CAST(5000000 + s_suppkey AS STRING) FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
+"""
+
+
+@query(GEO + f"SELECT scope_id, page_id, title FROM t SEMI JOIN ({duck(_SUPPLIER_IDS)}) i USING (scope_id, page_id)")
 def lookup_pages(spark, sf_dir):
-    ids = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("string").alias("page_id"))
-    pages = geo(spark, sf_dir)
-    return hi.lookup_pages(tree_of(pages), pages.select("scope_id").distinct().join(ids)).select("scope_id", "page_id", "title")
+    ids = spark_input(spark, sf_dir, _SUPPLIER_IDS)
+    return hi.lookup_pages(tree_of(geo(spark, sf_dir)), ids).select("scope_id", "page_id", "title")
 
 
 @query(GEO + "SELECT scope_id, count(*) AS pages FROM t GROUP BY scope_id")
@@ -495,13 +500,13 @@ def classify_responses(spark, sf_dir):
     return classify(item.withColumn("status", status).withColumn("body", body), ["same content"]).select("l_orderkey", "l_linenumber", "outcome")
 
 
-@query("""SELECT 'u' || user_id % 10 AS scope_id, CAST(user_id AS VARCHAR) AS page_id, CAST(max(event_id % 50) AS INT) AS version, '---\nconfluence_page_id: "' || user_id || '"\nconfluence_version: ' || max(event_id % 50) || '\n---\n\n' || arg_max(event_type, (event_id % 50) * 100000000 + event_id) || '\n' AS content FROM events WHERE event_id % 50 > 0 GROUP BY user_id""")
+@query("""SELECT 'u' || user_id % 10 AS scope_id, CAST(user_id AS VARCHAR) AS page_id, CAST(max(1 + event_id % 50) AS INT) AS version, '---\nconfluence_page_id: "' || user_id || '"\nconfluence_version: ' || max(1 + event_id % 50) || '\n---\n\n' || arg_max(event_type, (event_id % 50) * 100000000 + event_id) || '\n' AS content FROM events GROUP BY user_id""")
 def upsert_mirror(spark, sf_dir):
     """Page versions from events, in two batches, the second one twice: the mirror holds each page's last version."""
     from doctree.streaming.pull import MIRROR, upsert
 
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 50 > 0")
-    snaps = e.select(F.concat(F.lit("u"), (F.col("user_id") % 10).cast("string")).alias("scope_id"), F.col("user_id").cast("string").alias("page_id"), F.concat(F.lit("docs/"), F.col("user_id").cast("string"), F.lit(".md")).alias("path"), (F.col("event_id") % 50).cast("int").alias("version"), F.concat("event_type", F.lit("\n")).alias("body"), F.col("event_id").alias("seq"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    snaps = e.select(F.concat(F.lit("u"), (F.col("user_id") % 10).cast("string")).alias("scope_id"), F.col("user_id").cast("string").alias("page_id"), F.concat(F.lit("docs/"), F.col("user_id").cast("string"), F.lit(".md")).alias("path"), (1 + F.col("event_id") % 50).cast("int").alias("version"), F.concat("event_type", F.lit("\n")).alias("body"), F.col("event_id").alias("seq"))
     first = upsert(spark.createDataFrame([], MIRROR), snaps.where("version < 25"))
     return upsert(upsert(first, snaps), snaps).select("scope_id", "page_id", "version", "content")
 
@@ -548,19 +553,38 @@ def extract_panels(spark, sf_dir):
     return extract(corpus(spark, sf_dir)).drop("ordinal")
 
 
-@query("SELECT lang AS scope_id, k.construct, k.handling, count(*) * k.n AS n FROM documents, (VALUES ('h2', 'native', 1), ('ac:image', 'native', 1), ('ac:link', 'native', 1), ('a', 'native', 1), ('macro:code', 'native', 1), ('tr', 'native', 2), ('ri:page', 'part', 1)) k(construct, handling, n) GROUP BY lang, k.construct, k.handling, k.n")
+@query(f"""
+WITH p AS ({duck(inp.CORPUS_PAGES)}), t AS (SELECT scope_id, unnest(regexp_extract_all(body, '<[A-Za-z][^<>]*>')) AS tag FROM p),
+e AS (SELECT scope_id, lower(regexp_extract(tag, '^<([A-Za-z][A-Za-z0-9:-]*)', 1)) AS element, regexp_extract(tag, ' ac:name="([^"]*)"', 1) AS macro FROM t)
+SELECT scope_id, CASE WHEN element = 'ac:structured-macro' THEN 'macro:' || macro ELSE element END AS construct,
+       CASE WHEN element = 'ac:structured-macro' THEN CASE WHEN macro = 'code' THEN 'native' ELSE 'admonition' END
+            WHEN element[:3] IN ('ri:') OR element IN ('ac:parameter', 'ac:rich-text-body', 'ac:plain-text-body', 'ac:link-body', 'ac:task-status', 'ac:task-body') THEN 'part' ELSE 'native' END AS handling,
+       count(*) AS n
+FROM e GROUP BY ALL
+""")
 def construct_census(spark, sf_dir):
     from doctree.operators.extract import construct_census as census
 
-    return census(corpus(spark, sf_dir)).where(F.col("construct").isin("h2", "ac:image", "ac:link", "a", "macro:code", "tr", "ri:page"))
-
-
-@query("SELECT lang AS scope_id, k.kind, count(*) + CASE WHEN k.kind = 'para' THEN sum(len(string_split(text, chr(10)))) + count(*) ELSE 0 END AS n FROM documents, (VALUES ('heading'), ('para'), ('image'), ('table'), ('hr'), ('code')) k(kind) GROUP BY lang, k.kind")
+    return census(corpus(spark, sf_dir))
+
+
+@query(r"""
+WITH l AS (SELECT lang AS scope_id, doc_id, string_split(text, chr(10)) AS lines FROM documents),
+p AS (SELECT scope_id, doc_id, len(lines) AS n, unnest(range(len(lines))) AS i, unnest(lines) AS line FROM l),
+k AS (
+  SELECT scope_id, doc_id, i + 1 AS ordinal, 'para' AS kind, trim(regexp_replace(line, '[ \t\r\n]+', ' ', 'g'), ' ') AS text FROM p
+  UNION ALL SELECT scope_id, doc_id, 0, 'heading', 'Page ' || doc_id || ' & co' FROM l UNION ALL SELECT scope_id, doc_id, len(lines) + 1, 'para', 'out there see it' FROM l
+  UNION ALL SELECT scope_id, doc_id, len(lines) + 2, 'image', '' FROM l UNION ALL SELECT scope_id, doc_id, len(lines) + 3, 'table', 'kv' || doc_id FROM l
+  UNION ALL SELECT scope_id, doc_id, len(lines) + 4, 'hr', '' FROM l UNION ALL SELECT scope_id, doc_id, len(lines) + 5, 'code', 'x < ' || doc_id FROM l
+  UNION ALL SELECT scope_id, doc_id, len(lines) + 6, 'para', 'mind ' || doc_id FROM l
+)
+SELECT scope_id, CAST(doc_id AS VARCHAR) AS page_id, CAST(ordinal AS INT) AS ordinal, kind, CASE WHEN kind = 'heading' THEN 2 END AS level, CASE WHEN kind = 'code' THEN 'python' END AS lang, sha256(text) AS text FROM k
+""")
 def extract_blocks(spark, sf_dir):
-    """Blocks of each kind by tree; a panel's paragraph counts."""
+    """All blocks, a panel's paragraph too; texts as digests."""
     from doctree.operators.extract import extract_blocks as extract
 
-    return extract(corpus(spark, sf_dir)).groupBy("scope_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return extract(corpus(spark, sf_dir)).withColumn("text", F.sha2("text", 256))
 
 
 @query("SELECT lang AS scope_id, concat('p', doc_id) AS path, k.kind, sha256(text) AS xml FROM documents, (VALUES ('block'), ('inline')) k(kind)")

@@ -5,16 +5,18 @@ The level loop carries narrow columns only; bodies are joined afterwards by thos
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from doctree.functions.slugs import collision_suffix, page_id_order, slugify
-from doctree.functions.tables import work_table
+from doctree.functions.tables import numbered, work_table
 
 KEY = ["scope_id", "page_id"]
 
 
-def build_tree(pages: DataFrame, roots: DataFrame, max_depth: int = 10_000) -> DataFrame:
+def build_tree(pages: DataFrame, roots: DataFrame) -> DataFrame:
     """Pages reachable from the roots (scope_id, page_id), with depth, ancestors (root first, without the page) and
     positions (those of the chain), level by level; a page that is its own ancestor is not followed.
 
@@ -30,7 +32,7 @@ def build_tree(pages: DataFrame, roots: DataFrame, max_depth: int = 10_000) -> D
     )
     level = work_table(level, "level")
     levels = [level]
-    for depth in range(1, max_depth):
+    for depth in count(1):  # until a level is empty: no page is followed twice in one chain
         above = level.select("scope_id", F.col("page_id").alias("parent_page_id"), F.col("ancestors").alias("up"), F.col("positions").alias("at"), F.col("slugs").alias("over"))
         below = narrow.join(above, ["scope_id", "parent_page_id"]).select(
             *narrow.columns, F.lit(depth).alias("depth"), F.concat("up", F.array("parent_page_id")).alias("ancestors"),
@@ -48,12 +50,12 @@ def build_tree(pages: DataFrame, roots: DataFrame, max_depth: int = 10_000) -> D
 
 def walk_bfs(tree: DataFrame) -> DataFrame:
     """(scope_id, page_id, bfs_ord): level by level, then by the parent's order, then by position. Rows are numbered
-    inside a level and set off by the levels above, so no window holds a whole tree."""
+    by ranges of a level and set off by the levels above, so no window holds a whole tree or level."""
     sizes = tree.groupBy("scope_id", "depth").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("scope_id").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("scope_id", "depth", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("scope_id", "depth").orderBy("positions", "page_id")
-    return tree.withColumn("n", F.row_number().over(inside)).join(sizes, ["scope_id", "depth"]).select(*KEY, (F.col("before") + F.col("n")).alias("bfs_ord"))
+    rows = numbered(tree.select(*KEY, "depth", "positions"), ["scope_id", "depth"], ["positions", "page_id"], "n")
+    return rows.join(sizes, ["scope_id", "depth"]).select(*KEY, (F.col("before") + F.col("n")).alias("bfs_ord"))
 
 
 def ancestors(tree: DataFrame) -> DataFrame:

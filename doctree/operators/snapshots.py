@@ -133,17 +133,18 @@ def apply_pull_plan(mirror: DataFrame, plan: DataFrame, rendered: DataFrame) ->
 
 
 def _merge3(base: str, ours: str, theirs: str) -> tuple[str | None, bool]:
-    """Both sides' line edits of one text, or (None, True) where they touch the same lines."""
-    old, edits = base.splitlines(True), []
+    """Both sides' line edits of one text, or (None, True) where they touch the same or neighbouring lines. An edit that both
+    sides made alike counts once."""
+    old, edits = base.splitlines(True), set()
     for side in (ours, theirs):
         new = side.splitlines(True)
-        edits.append([(i, j, new[a:b]) for tag, i, j, a, b in difflib.SequenceMatcher(None, old, new, autojunk=False).get_opcodes() if tag != "equal"])
+        codes = difflib.SequenceMatcher(None, old, new, autojunk=False).get_opcodes()
+        edits |= {(i, j, tuple(new[a:b])) for tag, i, j, a, b in codes if tag != "equal"}
     out, at = [], 0
-    merged = sorted({(i, j, tuple(x)) for e in edits for i, j, x in e})
-    for n, (i, j, x) in enumerate(merged):
-        if i < at or n and i == merged[n - 1][0] and merged[n - 1][:2] != (i, j) or n and merged[n - 1][0] == i and merged[n - 1][1] == j:
+    for n, (i, j, x) in enumerate(sorted(edits)):
+        if n and i <= at:  # one side's edits never touch each other
             return None, True
-        out += old[at:i] + list(x)
+        out += [*old[at:i], *x]
         at = j
     return "".join(out + old[at:]), False
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doctree.functions.frontmatter import extract_front_matter, has_front_matter
 from doctree.functions.paths import attachment_dir, basename, dirname
 from doctree.functions.slugs import reverse_slugify, title_slugs_match
+from doctree.functions.tables import numbered
 
 KEY = ["scope_id", "page_id"]
 STAGING = ".rename-staging"
@@ -73,19 +74,52 @@ def rename_collisions(renames: DataFrame) -> DataFrame:
 def stage_renames(renames: DataFrame) -> DataFrame:
     """(scope_id, phase, from_path, to_path): in two phases through a staging directory for scopes with a
     collision, else directly. Staging names are numbered by the source path."""
-    staged = rename_collisions(renames).select("scope_id").distinct().withColumn("staged", F.lit(True))
-    number = F.row_number().over(Window.partitionBy("scope_id").orderBy("from_path")) - 1
-    rows = renames.withColumn("i", number).join(staged, "scope_id", "left")
-    mid = F.concat(F.lit(f"{STAGING}/"), F.col("i").cast("string"), F.lit(".md"))
+    staged = rename_collisions(renames).select("scope_id").distinct()
+    columns = ["scope_id", "from_path", "to_path"]
+    number = numbered(renames.join(staged, "scope_id", "left_semi").select(*columns), ["scope_id"], ["from_path", "to_path"], "i")
+    direct = renames.join(staged, "scope_id", "left_anti").select("scope_id", F.lit(1).alias("phase"), "from_path", "to_path")
+    mid = F.concat(F.lit(f"{STAGING}/"), (F.col("i") - 1).cast("string"), F.lit(".md"))
     move = lambda phase, a, b: F.struct(F.lit(phase).alias("phase"), a.alias("from_path"), b.alias("to_path"))
     a, b = F.col("from_path"), F.col("to_path")
-    return rows.select("scope_id", F.inline(F.when(F.col("staged"), F.array(move(1, a, mid), move(2, mid, b))).otherwise(F.array(move(1, a, b)))))
+    return number.select("scope_id", F.inline(F.array(move(1, a, mid), move(2, mid, b)))).unionByName(direct)
 
 
-def attachment_moves(renames: DataFrame, local_root: str, attachments_dir: str) -> DataFrame:
-    """(scope_id, from_dir, to_dir) of renames that move a page's attachment directory."""
+def attachment_moves(renames: DataFrame, local_root: str, attachments_dir: str, existing: DataFrame | None = None) -> DataFrame:
+    """(scope_id, from_dir, to_dir) of renames that move a page's attachment directory; with ``existing`` (scope_id, dir), only of
+    directories that are there."""
     of = lambda c: attachment_dir(F.col(c), F.lit(local_root), F.lit(attachments_dir))
-    return renames.select("scope_id", of("from_path").alias("from_dir"), of("to_path").alias("to_dir")).where("from_dir <> to_dir").distinct()
+    moves = renames.select("scope_id", of("from_path").alias("from_dir"), of("to_path").alias("to_dir")).where("from_dir <> to_dir").distinct()
+    if existing is None:
+        return moves
+    return moves.join(existing.select("scope_id", F.col("dir").alias("from_dir")), ["scope_id", "from_dir"], "left_semi").select(*moves.columns)
+
+
+def attachment_removals(deletes: DataFrame, local_root: str, attachments_dir: str, existing: DataFrame) -> DataFrame:
+    """(scope_id, dir): attachment directories, among the existing ones (scope_id, dir), of pages whose files (scope_id, path)
+    are deleted."""
+    own = attachment_dir(F.col("path"), F.lit(local_root), F.lit(attachments_dir))
+    return deletes.select("scope_id", own.alias("dir")).distinct().join(existing.select("scope_id", "dir"), ["scope_id", "dir"], "left_semi")
+
+
+def create_parents(missing: DataFrame, pages: DataFrame, root_pages: DataFrame, local_root: str) -> DataFrame:
+    """missing (scope_id, dir, index_path), as of missing_parents -> (scope_id, path, op, title, parent_path, parent_page_id, depth):
+    one page to create for each, parents first by depth.
+
+    The title is made from the directory's name. The parent is the page of the nearest directory above: one that is
+    created too (parent_path), else one that is there, pages (scope_id, path, page_id), else the scope's
+    root page, root_pages (scope_id, page_id).
+    """
+    root = local_root.rstrip("/")
+    up = F.concat(dirname(F.col("dir")), F.lit("/index.md"))
+    depth = F.size(F.split("dir", "/")) - F.lit(root.count("/") + 1)
+    rows = missing.select("scope_id", "dir", F.col("index_path").alias("path"), up.alias("up"), depth.alias("depth"))
+    made = missing.select("scope_id", F.col("index_path").alias("up"), F.col("index_path").alias("parent_path"))
+    held = pages.select("scope_id", F.col("path").alias("up"), F.col("page_id").alias("held_id"))
+    roots = root_pages.select("scope_id", F.col("page_id").alias("root_id"))
+    rows = rows.join(made, ["scope_id", "up"], "left").join(held, ["scope_id", "up"], "left").join(roots, "scope_id", "left")
+    parent = F.when(F.col("parent_path").isNull(), F.coalesce("held_id", "root_id"))
+    title = reverse_slugify(F.concat(basename(F.col("dir")), F.lit(".md")))
+    return rows.select("scope_id", "path", F.lit("create").alias("op"), title.alias("title"), "parent_path", parent.alias("parent_page_id"), "depth")
 
 
 def order_pull(plan: DataFrame) -> DataFrame:

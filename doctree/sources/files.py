@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,19 +22,28 @@ def read_markdown_tree(spark: SparkSession, directory: str, extra_roots: list[st
 
 
 def write_markdown_tree(files: DataFrame, directory: str) -> None:
-    """Write (path, content) as files below a directory that all executors share."""
+    """Write (path, content) as files below a directory that all executors share: a path, or a URI of a file system that
+    Arrow knows. Files are written whole, so a task that runs again writes the same."""
 
     def write(rows):
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(directory)
+        made = set()
         for r in rows:
-            to = os.path.join(directory, r["path"])
-            os.makedirs(os.path.dirname(to), exist_ok=True)
-            with open(to, "w", newline="") as f:
-                f.write(r["content"])
+            to = f"{base.rstrip('/')}/{r['path']}"
+            folder = to.rsplit("/", 1)[0]
+            if folder not in made:
+                store.create_dir(folder, recursive=True)
+                made.add(folder)
+            with store.open_output_stream(to) as f:
+                f.write(r["content"].encode())
 
     files.select("path", "content").foreachPartition(write)
 
 
 def read_attachments(spark: SparkSession, directory: str) -> DataFrame:
-    """(file, sha, bytes) of all files below the directory; the contents are hashed where they are read."""
+    """(file, sha, bytes) of all files below the directory, outside hidden directories; the contents are hashed where they are
+    read."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
     return rows.select(_relative(directory).alias("file"), F.sha2("content", 256).alias("sha"), F.col("length").alias("bytes"))

@@ -10,6 +10,11 @@ CHILDREN = f"parent_page_id string, start long, results array<struct<{PAGE.repla
 ATTACHMENTS = "page_id string, results array<struct<id:string,title:string,_links:struct<download:string>>>"
 #: How machine-made sync commits begin, and how a store says that an attachment has not changed.
 SYNC_PREFIX = "chore(sync): confluence"
+UNCHANGED_MARKS = (
+    "same file name as an existing attachment",
+    "file with the same name already exists",
+    "attachment data has not changed",
+)
 SCOPE = "confluence_root_page_id string, confluence_space_key string, local_root string, attachments_dir string"
 
 
@@ -36,8 +41,9 @@ def read_attachment_listings(spark: SparkSession, path: str, filename: str | Non
     return rows if filename is None else rows.where(F.col("filename") == filename)
 
 
-def read_scopes(spark: SparkSession, path: str) -> DataFrame:
-    return validate_scopes(spark.read.schema(SCOPE).option("multiLine", True).json(path))
+def read_scopes(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Scopes of configuration files, one each; without ``multi_line`` one a line, as write_scopes writes them."""
+    return validate_scopes(spark.read.schema(SCOPE).option("multiLine", multi_line).json(path))
 
 
 def validate_scopes(scopes: DataFrame) -> DataFrame:
@@ -89,7 +95,7 @@ def update_payloads(ops: DataFrame) -> DataFrame:
     return ops.withColumn("payload", F.to_json(body))
 
 
-def classify_responses(responses: DataFrame, unchanged_marks: list[str]) -> DataFrame:
+def classify_responses(responses: DataFrame, unchanged_marks=UNCHANGED_MARKS) -> DataFrame:
     """responses (status, body) -> adds outcome: ok, conflict, not_found, attachment_unchanged or error. ``unchanged_marks`` are
     the phrases (any case) by which the store refuses bytes it already has."""
     s = F.col("status")
