@@ -578,13 +578,13 @@ k AS (
   UNION ALL SELECT scope_id, doc_id, len(lines) + 4, 'hr', '' FROM l UNION ALL SELECT scope_id, doc_id, len(lines) + 5, 'code', 'x < ' || doc_id FROM l
   UNION ALL SELECT scope_id, doc_id, len(lines) + 6, 'para', 'mind ' || doc_id FROM l
 )
-SELECT scope_id, CAST(doc_id AS VARCHAR) AS page_id, CAST(ordinal AS INT) AS ordinal, kind, CASE WHEN kind = 'heading' THEN 2 END AS level, CASE WHEN kind = 'code' THEN 'python' END AS lang, sha256(text) AS text FROM k
+SELECT scope_id, CAST(doc_id AS VARCHAR) AS page_id, CAST(ordinal AS INT) AS ordinal, kind, CASE WHEN kind = 'heading' THEN 2 ELSE 0 END AS level, CASE WHEN kind = 'code' THEN 'python' END AS lang, sha256(text) AS text FROM k
 """)
 def extract_blocks(spark, sf_dir):
     """All blocks, a panel's paragraph too; texts as digests."""
     from doctree.operators.extract import extract_blocks as extract
 
-    return extract(corpus(spark, sf_dir)).withColumn("text", F.sha2("text", 256))
+    return extract(corpus(spark, sf_dir)).withColumn("text", F.sha2("text", 256)).withColumn("level", F.coalesce("level", F.lit(0)))
 
 
 @query("SELECT lang AS scope_id, concat('p', doc_id) AS path, k.kind, sha256(text) AS xml FROM documents, (VALUES ('block'), ('inline')) k(kind)")

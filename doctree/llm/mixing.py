@@ -3,10 +3,11 @@
 A source's documents, in a seeded order, form a stream of words that repeats after its end; the
 stream is cut into blocks of equally many words. The mix is a row of shards of equally many blocks.
 Each shard's seats go to the highest quotients target / (2 k + 1), so it gets an integer quota of
-blocks of each source; the quotas of a shard are the seats of the house that ends with it less those
-of the house that ends before it. A source then hands out its blocks in stream order from a seeded
-start, so what a document gives is the overlap of its place in the stream with what is handed out.
-No block or word becomes a row: the widest table has one narrow row a document.
+blocks of each source: those between the source's seats in the house that ends before the shard and in
+the house that ends with it. A shard takes its quota as the next blocks of the source's seeded stream, from a
+seeded start on; what a document gives is what the shards take of its place in the stream. No block or
+word becomes a row: the widest table has a narrow row for each time a document comes and each shard that
+may take from it.
 """
 
 from __future__ import annotations
@@ -14,18 +15,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, read_table, text_of
+from .common import WORD, read_table, text_of, work_table
 
 BLOCK_WORDS = 16
-SHARD_BLOCKS = 16384
+SHARD_BLOCKS = 1 << 16
 MAX_EPOCHS = 3
-LANES = 256
+#: Documents of one source that are summed in one task, about.
+LANE_ROWS = 100_000
 SEED = 20
 
 
+def _key(value: F.Column) -> F.Column:
+    """A text for joins: null is no other value."""
+    return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit(""))
+
+
 def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size): words in the text, null text 0."""
-    return df.select(df[id_col].alias("doc_id"), df[source_col].cast("string").alias("source"), F.regexp_count(text_of(df, text_col), F.lit(WORD)).cast("long").alias("size"))
+    """(doc_id, source, size, tie): words in the text, null text 0; a hash that tells rows with one id apart by their text."""
+    text = text_of(df, text_col)
+    size = F.regexp_count(text, F.lit(WORD)).cast("long")
+    return df.select(df[id_col].alias("doc_id"), df[source_col].cast("string").alias("source"), size.alias("size"), F.xxhash64(text).alias("tie"))
 
 
 def source_targets(sized: DataFrame, weight_cycle: int = 3, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -53,7 +62,8 @@ def source_targets(sized: DataFrame, weight_cycle: int = 3, max_epochs: int = MA
 
 
 def shard_quotas(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
-    """(shard, source, quota): blocks of each source in each shard, by Sainte-Laguë's method.
+    """(shard, source, low, high, quota): blocks of each source in each shard, by Sainte-Laguë's method; low to high are
+    the blocks' numbers among all of the source's.
 
     A house of n seats gives source s about n t_s / T seats. With S sources the right divisor is so
     near T / n that the seats differ from that by at most S t_s / (2 T) + 1, so only the quotients in
@@ -82,81 +92,114 @@ def shard_quotas(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_block
     won = asked.withColumn("rank", rank).join(sure, ["shard", "last"]).where(F.col("rank") <= F.col("seats") - F.col("won"))
     extra = won.groupBy("shard", "last", "source").agg(F.count(F.lit(1)).alias("extra"))
     seats = rows.select("shard", "last", "source", "sure", F.lit(0).cast("long").alias("extra")).unionByName(extra.withColumn("sure", F.lit(0).cast("long")).select("shard", "last", "source", "sure", "extra"))
-    signed = (F.col("sure") + F.col("extra")) * F.when(F.col("last") == 1, 1).otherwise(-1)
-    return seats.groupBy("shard", "source").agg(F.sum(signed).cast("long").alias("quota"))
+    held = F.col("sure") + F.col("extra")
+    of = lambda last: F.sum(F.when(F.col("last") == last, held).otherwise(0)).cast("long")
+    ranges = seats.groupBy("shard", "source").agg(of(0).alias("low"), of(1).alias("high"))
+    return ranges.withColumn("quota", F.col("high") - F.col("low"))
 
 
-def place(sized: DataFrame, seed: int = SEED, lanes: int = LANES) -> DataFrame:
-    """(doc_id, source, size, first): each document's place in its source's seeded stream.
+def place(sized: DataFrame, seed: int = SEED, lane_rows: int = LANE_ROWS) -> DataFrame:
+    """(doc_id, source, size, tie, first): each document's place in its source's seeded stream.
 
-    The stream order is that of a hash; hash lanes are summed apart and then strung together, so a
-    source with a third of all rows is summed in ``lanes`` tasks.
+    The stream order is that of a hash; hash lanes, as many as the rows need, are summed apart and then strung
+    together, so a source with a third of all rows is summed in many tasks.
     """
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
-    rows = sized.where("size > 0").select("doc_id", "source", "size", order.alias("at"), F.pmod(F.shiftrightunsigned(order, 40), F.lit(lanes)).alias("lane"))
+    lanes = max(16, -(-sized.count() // lane_rows))
+    order = F.xxhash64(F.lit(seed), "doc_id", "size", "tie")
+    lane = F.pmod(F.shiftrightunsigned(order, 24), F.lit(lanes))
+    rows = sized.where("size > 0").select("doc_id", "source", "size", "tie", order.alias("at"), lane.alias("lane"))
     sums = rows.groupBy("source", "lane").agg(F.sum("size").alias("lane_size"))
     strung = Window.partitionBy("source").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("s"), F.col("lane").alias("l"), F.coalesce(F.sum("lane_size").over(strung), F.lit(0)).alias("lane_first"))
     rows = rows.join(sums, rows["source"].eqNullSafe(sums["s"]) & (rows["lane"] == sums["l"]))
-    inside = Window.partitionBy("source", "lane").orderBy("at", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select("doc_id", "source", "size", (F.col("lane_first") + F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("first"))
-
+    inside = Window.partitionBy("source", "lane").orderBy("at", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("lane_first") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    return rows.select("doc_id", "source", "size", "tie", first.alias("first"))
 
-def overlap(low: F.Column, high: F.Column) -> F.Column:
-    """Words of [low, high) in the document's place and its repeats, one source size apart."""
 
-    def below(x):  # words of the document in the unrolled stream before x
-        laps, rest = F.floor(x / F.col("source_size")), F.pmod(x, F.col("source_size"))
-        return laps * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("first")))
+def shard_pieces(placed: DataFrame, targets: DataFrame, quotas: DataFrame, seed: int, block_words: int, shard_blocks: int) -> DataFrame:
+    """(source, first, lap, shard, skip, words): what each shard takes of each document, at place ``first`` of its
+    source's stream, when the stream passes it the ``lap``-th time: ``words`` words after the first ``skip``.
 
-    return below(high) - below(low)
+    A source's n-th block is won in a house of about n T / t_s seats, off by S / 2 + 2 T / t_s at most (see
+    shard_quotas), which names the few shards that may take from a place; an equi-join on source and
+    shard then tells which ones do.
+    """
+    size = F.col("source_size")
+    start = F.when(size > 0, F.floor(F.pmod(F.xxhash64(F.lit(seed), "source"), size) / block_words) * block_words).otherwise(0)
+    whole = targets.agg(F.sum("target").alias("total"), F.count(F.lit(1)).alias("sources"))
+    plan = targets.where("target > 0").join(whole, F.lit(True)).select(_key(F.col("source")).alias("src"), "source_size", start.alias("start"), (F.col("total") / F.col("target")).alias("seats_each"), "sources")
+    rows = placed.select("source", "first", "size", _key(F.col("source")).alias("src")).join(plan, "src")
+    laps = rows.withColumn("lap", F.explode(F.sequence(F.lit(0), F.lit(MAX_EPOCHS))))
+    # Places count from the source's start on; words before the start come with the last lap.
+    at = F.col("first") + F.col("lap") * size - F.col("start")
+    laps = laps.withColumn("at", at).where((F.col("at") + F.col("size") > 0) & (F.col("at") < MAX_EPOCHS * size))
+    slack = F.col("sources") / 2 + 2 * F.col("seats_each") + 1
+    shard = lambda word, off: F.floor(((word / block_words) * F.col("seats_each") + off) / shard_blocks)
+    near = F.sequence(F.greatest(shard(F.col("at"), -slack), F.lit(0)), F.greatest(shard(F.col("at") + F.col("size"), slack), F.lit(0)))
+    asked = laps.select("source", "first", "size", "source_size", "src", "lap", "at", F.explode(near).alias("shard"))
+    taken = quotas.where("quota > 0").select(_key(F.col("source")).alias("src"), "shard", (F.col("low") * block_words).alias("low"), (F.col("high") * block_words).alias("high"))
+    met = asked.join(taken, ["src", "shard"])
+    low = F.greatest("at", "low")
+    high = F.least(F.col("at") + F.col("size"), "high", MAX_EPOCHS * size)
+    met = met.select("source", "first", "lap", "shard", (low - F.col("at")).alias("skip"), (high - low).alias("words"))
+    return met.where("words > 0")
+
+
+def plan_mix(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, block_words: int, shard_blocks: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sizes with places, targets, pieces); documents without words have a null place."""
+    sized = work_table(measure(df, id_col, text_col, source_col), "sizes")
+    targets = work_table(source_targets(sized), "targets")
+    placed = work_table(place(sized, seed), "places")
+    quotas = work_table(shard_quotas(targets, block_words, shard_blocks), "quotas")
+    pieces = shard_pieces(placed, targets, quotas, seed, block_words, shard_blocks)
+    blank = sized.where("size = 0").select("doc_id", "source", "size", "tie", F.lit(None).cast("long").alias("first"))
+    return placed.unionByName(blank), targets, pieces
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, start, given, first, taken.
+    """One row a document: doc_id, source, size, source_size, target, first, taken, shards.
 
-    ``given`` words of the source's stream are handed out from word ``start``; ``first`` is the
-    document's place in the stream; ``taken`` counts the words of the document among them, repeats
-    too, and is never above ``MAX_EPOCHS`` times its size. Null source is a source of its own and
+    ``first`` is the document's place in its source's stream (null without words); ``shards`` are the
+    (shard, words) that take from it, and ``taken`` is their sum, repeats too, never above
+    ``MAX_EPOCHS`` times the size. Null source is a source of its own and
     comes last; null or blank texts have size 0 and give nothing. Rows repeated with one id are
     documents of their own. An empty table gives an empty result. Reruns give the same.
     """
-    sized = measure(df, id_col, text_col, source_col)
-    targets = source_targets(sized)
-    quotas = shard_quotas(targets, block_words, shard_blocks).groupBy("source").agg(F.sum("quota").alias("blocks"))
-    t, q = targets.alias("t"), quotas.alias("q")
-    plan = t.join(q, F.col("t.source").eqNullSafe(F.col("q.source")), "left").select(
-        F.col("t.source").alias("s"), "source_size", "target",
-        F.least(F.coalesce("blocks", F.lit(0)) * block_words, F.col("source_size") * MAX_EPOCHS).alias("given"),
-        F.when(F.col("source_size") > 0, F.floor(F.pmod(F.xxhash64(F.lit(seed), "t.source"), F.col("source_size")) / block_words) * block_words).otherwise(0).alias("start"),
-    )
-    placed = place(sized, seed).unionByName(sized.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("first")))
-    rows = placed.join(plan, placed["source"].eqNullSafe(plan["s"]))
-    taken = F.when(F.col("size") > 0, overlap(F.col("start"), F.col("start") + F.col("given"))).otherwise(0)
-    return rows.select("doc_id", "source", "size", "source_size", "target", "start", "given", "first", taken.cast("long").alias("taken"))
-
-
-def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself, with the input's columns: a document comes once for each full taking of its
-    words, and once more, cut to the taken words (joined by blanks), where a block ends inside it.
+    placed, targets, pieces = plan_mix(df, id_col, text_col, source_col, seed, block_words, shard_blocks)
+    by_shard = pieces.groupBy("source", "first", "shard").agg(F.sum("words").alias("words"))
+    held = F.sort_array(F.collect_list(F.struct("shard", "words")))  # as many as the document's words can fill, and one more a lap
+    told = by_shard.groupBy(_key(F.col("source")).alias("src"), "first").agg(F.sum("words").alias("taken"), held.alias("shards"))
+    per = targets.select(_key(F.col("source")).alias("src"), "source_size", "target")
+    rows = placed.withColumn("src", _key(F.col("source"))).join(told, ["src", "first"], "left").join(per, "src")
+    none = F.array().cast("array<struct<shard:bigint,words:bigint>>")
+    return rows.select("doc_id", "source", "size", "source_size", "target", "first", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("shards", none).alias("shards"))
+
+
+def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
+    """The mix itself, with the input's columns: a document comes whole for each time that shards take all of its words
+    in one lap, and cut to the taken words (joined by blanks) where the source's run of blocks begins or ends inside it.
+    Null and blank texts don't come.
     """
-    no_id = F.lit(-(2**63))
-    plan = mix(df, id_col, text_col, source_col).where("taken > 0")
-    plan = plan.groupBy(F.coalesce("doc_id", no_id).alias("key"), F.col("size").alias("words"), F.coalesce("source", F.lit("")).alias("src")).agg(F.sort_array(F.collect_list(F.struct("first", "taken", "start", "given", "source_size"))).alias("places"))
-    size = F.regexp_count(text_of(df, text_col), F.lit(WORD)).cast("long")
-    rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), F.coalesce(df[id_col].cast("long"), no_id).alias("key"), size.alias("words"), F.coalesce(df[source_col].cast("string"), F.lit("")).alias("src"))
-    nth = F.row_number().over(Window.partitionBy("key", "words", "src").orderBy(F.xxhash64(F.col(f"row.{text_col}"))))
-    joined = rows.withColumn("n", nth).join(plan, ["key", "words", "src"]).withColumn("place", F.try_element_at("places", F.col("n"))).where("place is not null")
-    full, rest = F.floor(F.col("place.taken") / F.col("words")), F.col("place.taken") % F.col("words")
-    # The run of words handed out ends inside the document, or starts inside it.
-    begins = F.pmod(F.col("place.start") - F.col("place.first"), F.col("place.source_size"))
-    skip = F.when(begins < F.col("words"), F.least(begins, F.col("words") - rest)).otherwise(0)
-    words = F.regexp_extract_all(F.col(f"row.{text_col}"), F.lit(WORD), F.lit(0))
-    cut = F.array_join(F.slice(words, (skip + 1).cast("int"), F.greatest(rest, F.lit(1)).cast("int")), " ")
-    whole = F.col(f"row.{text_col}")
-    texts = joined.select("row", full.cast("int").alias("full"), rest.alias("rest"), F.when(rest > 0, cut).alias("cut"))
-    copies = texts.select("row", F.explode(F.concat(F.array_repeat(F.lit(False), F.col("full")), F.when(F.col("rest") > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))).alias("is_cut"), "cut")
-    return copies.select(*[F.when(F.col("is_cut"), F.col("cut")).otherwise(whole).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in df.columns])
+    placed, _, pieces = plan_mix(df, id_col, text_col, source_col, seed, BLOCK_WORDS, SHARD_BLOCKS)
+    # A lap's pieces follow each other: the run of blocks has no gaps.
+    laps = pieces.groupBy(_key(F.col("source")).alias("src"), "first", "lap").agg(F.min("skip").alias("skip"), F.sum("words").alias("words"))
+    laps = laps.groupBy("src", "first").agg(F.sort_array(F.collect_list(F.struct("lap", "skip", "words"))).alias("laps"))  # MAX_EPOCHS + 1 at most
+    keys = ["id", "src", "size", "tie"]
+    named = placed.withColumn("src", _key(F.col("source"))).join(laps, ["src", "first"]).select(_key(F.col("doc_id")).alias("id"), "src", "size", "tie", "first", "laps")
+    named = named.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("first")))
+    text = text_of(df, text_col)
+    rows = df.select(
+        F.struct(*[df[c] for c in df.columns]).alias("row"), _key(df[id_col]).alias("id"), _key(df[source_col]).alias("src"),
+        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("tie"),
+    )
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1))))  # rows alike in all of these are alike
+    came = rows.join(named, [*keys, "nth"]).select("row", "size", F.explode("laps").alias("lap"))
+    own = F.col(f"row.`{text_col}`")
+    words = F.regexp_extract_all(own, F.lit(WORD), F.lit(0))
+    cut = F.array_join(F.slice(words, (F.col("lap.skip") + 1).cast("int"), F.col("lap.words").cast("int")), " ")
+    shown = F.when(F.col("lap.words") == F.col("size"), own).otherwise(cut)
+    return came.select(*[shown.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in df.columns])
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

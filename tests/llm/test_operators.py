@@ -145,6 +145,42 @@ def test_mixing(spark, docs):
     mixed = mixing.mixed_rows(docs)
     assert mixed.columns == docs.columns
     assert sum(len(WORD.findall(r["text"])) for r in mixed.collect()) == sum(r["taken"] for r in got)
+    assert mixing.mix(docs.limit(0)).count() == mixing.mixed_rows(docs.limit(0)).count() == 0
+
+
+def test_shards_take_their_quotas(spark):
+    """By force: shard after shard takes its seats' blocks of each source's stream, word by word."""
+    r = random.Random(8)
+    rows = [(i, prose(i, r.randint(0, 60)), r.choice(["a", "a", "a", "b", "c", "", None])) for i in range(120)]
+    rows += [(None, "x y", ""), (None, "x y", None), (5, "z " * 400, "b"), (None, None, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    width, seats_each = 7, 20
+    got = mixing.mix(df, block_words=width, shard_blocks=seats_each).collect()
+    targets, sizes, stream = {}, collections.Counter(), collections.defaultdict(list)
+    for k, x in enumerate(got):
+        targets[x["source"]] = x["target"]
+        sizes[x["source"]] += x["size"]
+        if x["size"]:
+            stream[x["source"]].append((x["first"], k))
+    words = {s: [k for _, k in sorted(at) for _ in range(got[k]["size"])] for s, at in stream.items()}
+    assert all(len(words[s]) == sizes[s] for s in words)
+    seats, won = collections.Counter(), []
+    for _ in range(int(sum(targets.values()) / width + 0.5)):
+        best = max((s for s in targets if targets[s]), key=lambda s: (targets[s] / (2 * seats[s] + 1), s is not None, [-ord(c) for c in (s or "")] + [0]))
+        seats[best] += 1
+        won.append(best)
+    starts = dict(mixing.source_targets(mixing.measure(df)).where("source_size > 0").select("source", F.expr(f"floor(pmod(xxhash64({mixing.SEED}, source), source_size) / {width}) * {width}")).collect())
+    given, want = collections.Counter(), collections.defaultdict(collections.Counter)
+    for n, s in enumerate(won):
+        for w in range(width):
+            at = given[s] + w
+            if at < 3 * sizes[s]:
+                want[words[s][(starts[s] + at) % sizes[s]]][n // seats_each] += 1
+        given[s] += width
+    for k, x in enumerate(got):
+        assert {y["shard"]: y["words"] for y in x["shards"]} == dict(want[k]), (x["doc_id"], x["source"])
+        assert x["taken"] == sum(want[k].values())
+    assert len({y["shard"] for x in got for y in x["shards"]}) > 5
 
 
 def test_sainte_lague(spark):
