@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,12 +41,30 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Rows of texts or shingle sets that go to a Python worker at once: some MB, where the usual 10,000 rows are many times as much.
+BATCH_ROWS = 2048
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Inside, jobs send at most BATCH_ROWS rows a batch to Python workers; the session's setting comes back after."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    rows = int(before)
+    spark.conf.set(key, str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def work_table(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table into the shared folder and read it back: lineage ends here and
     a lost executor costs a re-read, not a recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -57,3 +78,5 @@ def release_memory() -> None:
 
     gc.collect()
     pyarrow.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

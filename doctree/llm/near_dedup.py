@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, text_of, work_table
+from .common import read_table, release_memory, text_of, work_table
 from .textwords import Words, chunks, mix64
 
 SHINGLE = 5
@@ -41,6 +41,7 @@ PAIR_BUCKET = 32
 #: Rounds in which sets of large buckets that cannot be linked are left out before their shingles are joined.
 PRUNINGS = 2
 BASE_RANK = 0.5
+SLICE_BYTES = 1 << 19
 
 
 def shingles(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,7 +132,7 @@ def sketch(docs: DataFrame, weighting: str = "set") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, limit=SLICE_BYTES):
                 row, h, times = shingles(part.column(1))
                 node, size = _node(row, h, part.num_rows)
                 weight = times.astype(np.float64) if weighting == "count" else np.ones(len(h))
@@ -139,6 +140,7 @@ def sketch(docs: DataFrame, weighting: str = "set") -> DataFrame:
                 offsets = pa.array(np.arange(part.num_rows + 1) * keys.shape[1], pa.int32())
                 bands = pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node), pa.array(size.astype(np.int64)), bands], ["doc_id", "node", "n", "bands"])
+        release_memory()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n long, bands array<long>")
 
@@ -267,11 +269,13 @@ def node_sets(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, limit=SLICE_BYTES):
                 row, h, _ = shingles(part.column(1))
                 node, size = _node(row, h, part.num_rows)
                 raw, ends = h.tobytes(), np.cumsum(size) * 8
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([raw[e - 8 * s : e] for e, s in zip(ends, size, strict=True)], pa.binary())], ["node", "shingles"])
+                sets = pa.array([raw[e - 8 * s : e] for e, s in zip(ends, size, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(node), sets], ["node", "shingles"])
+        release_memory()
 
     return docs.select("doc_id", "text").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
@@ -282,16 +286,19 @@ def links(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> DataF
     b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
 
     def run(batches):
-        for pdf in batches:
+        for batch in batches:
             keep = []
-            for x, y in zip(pdf["sa"], pdf["sb"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 at = np.minimum(np.searchsorted(x, y), len(x) - 1)
                 both = int((x[at] == y).sum())
                 keep.append(both >= least * (len(x) + len(y) - both) - 1e-9)
-            yield pdf.loc[keep, ["a", "b"]]
+            near = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            del batch
+            yield near
+        release_memory()
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -371,7 +378,7 @@ def keep_one_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def nodes(texts: pd.Series) -> pd.DataFrame:
         batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
-        parts = [_node(*shingles(part.column(0))[:2], part.num_rows) for part in chunks(batch)]
+        parts = [_node(*shingles(part.column(0))[:2], part.num_rows) for part in chunks(batch, limit=SLICE_BYTES)]
         return pd.DataFrame({k: np.concatenate([x[i] for x in parts]) if parts else np.zeros(0, np.int64) for i, k in enumerate(("node", "n"))})
 
     stay = found.where("kept").select(F.col("doc_id").alias("__kept_id"), F.col("node").alias("__kept_node")).distinct()

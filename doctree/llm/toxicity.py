@@ -434,7 +434,8 @@ def keep_clean(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     def scores(texts: pd.Series) -> pd.Series:
         reader, batch = Reader(model.lm), pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
-        return pd.Series(np.concatenate([model.scores(reader, part.column(0)) for part in chunks(batch, limit=SLICE_BYTES)]) if len(texts) else [])
+        parts = [model.scores(reader, part.column(0)) for part in chunks(batch, limit=SLICE_BYTES)]
+        return pd.Series(np.concatenate(parts) if parts else [])
 
     return df.where(F.pandas_udf(scores, "double")(text_of(df, text_col)) < most)
 
