@@ -15,6 +15,7 @@ import heapq
 import json
 import os
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,8 @@ GROUP_DOCS = 1024
 #: Cost of n tokens: LINEAR * n + QUADRATIC * n^2; the ratio is that of a layer with width 1024
 #: (12 d^2 n against 2 d n^2).
 LINEAR, QUADRATIC = 12 * 1024**2, 2 * 1024
-SLICE_BYTES = 2 << 20
+#: A slice of texts takes about 50 times as many bytes while its words are merged and gathered.
+SLICE_BYTES = 1 << 19
 #: Longer words go through the whole tokenizer: merging takes a step a symbol.
 MERGED_BYTES = 64
 SPLIT = "<|endoftext|>"
@@ -59,8 +61,8 @@ def _byte_letters() -> dict[int, str]:
 def gather(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """values[start : start + size] of each entry, one after the other."""
     ends = np.cumsum(size)
-    at = np.repeat(start - (ends - size), size)
-    at += np.arange(len(at))
+    at = np.repeat((start - (ends - size)).astype(np.int32), size)  # slices are far below 2^31 values
+    at += np.arange(len(at), dtype=np.int32)
     return values[at]
 
 
@@ -144,6 +146,10 @@ class Merges:
         return np.concatenate(done) if done else symbols, out_start, out_size
 
 
+#: A vocabulary's merges as arrays, some MB, read once by each Python worker.
+_merges: dict[str, Merges] = {}
+
+
 class Encoder:
     """Texts to ids, exactly as the tokenizer gives them.
 
@@ -155,21 +161,28 @@ class Encoder:
     """
 
     def __init__(self, vocab: str):
+        if vocab not in _merges:
+            _merges[vocab] = Merges(vocab)
+            release_memory()  # the parsed file is many times as large
+        self.vocab, self.merges = vocab, _merges[vocab]
+
+    @cached_property
+    def tokenizer(self):
+        """The tokenizer itself, for texts that need it."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.merges = Tokenizer.from_file(vocab), Merges(vocab)
-        self.split_id = self.tokenizer.token_to_id(SPLIT)
+        return Tokenizer.from_file(self.vocab)
 
     def _whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, size) of words by the tokenizer itself."""
-        ids, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        ids, sizes, split_id = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], self.tokenizer.token_to_id(SPLIT)
         for at in range(0, len(words), 2048):
             joined = SPLIT.join(words[at : at + 2048])
             found = np.asarray(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int64)
-            cuts = np.flatnonzero(found == self.split_id)
+            cuts = np.flatnonzero(found == split_id)
             sizes.append(np.diff(np.concatenate(([-1], cuts, [len(found)]))) - 1)
-            ids.append(found[found != self.split_id])
+            ids.append(found[found != split_id])
         return np.concatenate(ids), np.concatenate(sizes)
 
     def _simple(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -236,7 +249,7 @@ class Encoder:
         before[special] = 1
         entry_ends = ends + np.arange(1, len(ends) + 1) + np.cumsum(before)
         sizes = size[word]
-        return gather(ids, start[word], sizes), np.cumsum(sizes)[entry_ends - 1]
+        return gather(ids.astype(np.uint32), start[word], sizes), np.cumsum(sizes)[entry_ends - 1]
 
 
 def place(lengths: list[int], length: int) -> list[list[tuple[int, int, int, int, int]]]:
