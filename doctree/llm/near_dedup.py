@@ -173,7 +173,7 @@ def live_bands(nodes: DataFrame) -> DataFrame:
 def centres(large: DataFrame) -> DataFrame:
     """(band, centre, cn): of a large bucket's nodes the one in the fullest buckets, which is the likely original
     of the others and the same in most of their buckets."""
-    known = large.join(large.groupBy("node").agg(F.sum("m").alias("fame")), "node")
+    known = large.withColumn("fame", F.sum("m").over(Window.partitionBy("node")))
     return known.groupBy("band").agg(F.max(F.struct("fame", "node", "n")).alias("c")).select("band", F.col("c.node").alias("centre"), F.col("c.n").alias("cn"))
 
 
@@ -224,29 +224,36 @@ def rare_pairs(sets: DataFrame, large: DataFrame, comps: DataFrame, wanted: Data
     component in one of their buckets can reach. The others meet by their shingles up to the last place of any use.
     """
 
-    def spread(batches):
-        for batch in batches:
-            size = np.array([len(x) // 8 for x in batch.column(2).to_pylist()], np.int64)
-            h = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
-            at = pa.array(np.repeat(np.arange(batch.num_rows), size))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(h)], ["node", "n", "h"])
+    def rows_of(some: DataFrame, columns: str) -> DataFrame:
+        """A row (columns, h) for each shingle; ``columns`` as in a schema."""
+        names = [c.split()[0] for c in columns.split(", ")]
+
+        def spread(batches):
+            for batch in batches:
+                held = batch.column(len(names)).to_pylist()
+                at = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) // 8 for x in held]).astype(np.int64))
+                h = pa.array(np.frombuffer(b"".join(held), np.int64))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(len(names))), h], [*names, "h"])
 
-    def rows_of(some: DataFrame) -> DataFrame:
-        return some.select("node", "n", "shingles").mapInArrow(spread, "node long, n long, h long")
+        return some.select(*names, "shingles").mapInArrow(spread, columns + ", h long")
 
     ends = [F.min("node").alias("node"), F.max("node").alias("other")]
-    counts = work_table(rows_of(sets).groupBy("h").agg(F.count(F.lit(1)).alias("df"), *ends), "counts")
+    counts = work_table(rows_of(sets, "node long").groupBy("h").agg(F.count(F.lit(1)).alias("df"), *ends), "counts")
     twos = counts.where("df = 2").select("node", "other")
     own = counts.where("df <= 2").select("node").unionAll(twos.select("other")).groupBy("node").agg(F.count(F.lit(1)).alias("own"))
     known = sets.select("node", "n").join(own, "node", "left").join(comps, "node", "left").join(wanted.withColumn("open", F.lit(True)), "node", "left")
     known = known.select("node", "n", F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("comp", "node").alias("comp"), F.coalesce("open", F.lit(False)).alias("open"))
     known = work_table(known.withColumn("reach", _reach("n", "own", least)), "known")
-    there = large.join(known.where(F.col("reach") >= F.col("n") * least - 1e-6), "node")
+    # Here and below a node meets what is known of it as one row, before its bands or shingles are told apart.
+    held = large.groupBy("node").agg(F.collect_list("band").alias("bands"))  # K / BAND_ROWS at most
+    there = held.join(known.where(F.col("reach") >= F.col("n") * least - 1e-6), "node")
+    there = there.select(F.explode("bands").alias("band"), "node", "n", "own", "comp", "open", "reach")
     for _ in range(PRUNINGS):
         there = work_table(_able(there), "able")
     able = there.select("node").distinct()
-    rows = rows_of(sets.join(able, "node", "left_semi"))
-    rows = salted_join(rows, counts.where("df > 2").select("h", "df"), "h", "node").join(known.drop("n", "reach"), "node")
+    chosen = sets.select("node", "shingles").join(known.join(able, "node", "left_semi"), "node")
+    rows = rows_of(chosen, "node long, n long, own long, comp long, open boolean")
+    rows = salted_join(rows, counts.where("df > 2").select("h", "df"), "h", "node")
     place = F.col("own") + F.row_number().over(Window.partitionBy("node").orderBy("df", "h")) - 1
     lead = rows.withColumn("place", place).withColumn("reach", _reach("n", "place", least)).where(F.col("reach") >= F.col("n") * least - 1e-6)
     lead = work_table(lead.select("node", "n", "h", "reach", "comp", "open"), "prefixes")
