@@ -7,8 +7,8 @@ forest of subtrees that no other group touches; a task sorts the group's suffixe
 internal nodes at depth ``width`` that documents share. Overlapping nodes join to maximal repeats
 when they are laid back over their document.
 
-A suffix travels as the identity of its node at depth ``width`` (56 bits of a hash over its words,
-which with the group's prefix is 64 bits and more) and its document. A task first joins what its own
+A suffix travels as the identity of its node at depth ``width`` (80 bits of two independent hashes over
+its words, besides the group's prefix) and its document. A task first joins what its own
 slice of texts shares, so a passage that a third of all documents hold travels once a slice.
 """
 
@@ -30,6 +30,8 @@ GROUP_SUFFIXES = 1 << 19
 FIRST_BITS, SECOND_BITS = 12, 4
 NO_ID = np.iinfo(np.int64).max
 _MASK = np.uint64((1 << 56) - 1)
+CHECK_BYTES = 3
+_CHECK_MASK = np.uint64((1 << 8 * CHECK_BYTES) - 1)
 
 
 def _codes(words: Words, first: np.ndarray) -> np.ndarray:
@@ -47,7 +49,7 @@ def prefix_counts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         for batch in batches:
             for part in chunks(batch):
                 words = Words(part.column(part.schema.get_field_index("text")))
-                first, _ = words.windows(width)
+                first = words.window_starts(width)
                 total += np.bincount(_codes(words, first), minlength=len(total))
         code = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total[code])], ["code", "n"])
@@ -78,18 +80,26 @@ def cut_prefixes(counts: np.ndarray, group: int) -> tuple[np.ndarray, np.ndarray
     return base, parts, now + 1
 
 
-def _pack(ids: np.ndarray, keys: np.ndarray) -> tuple[bytes, bytes]:
-    """Sorted document ids as deflated steps, and 7 bytes a key."""
+def _low_bytes(values: np.ndarray, size: int) -> bytes:
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+
+
+def _from_low_bytes(raw: bytes, size: int) -> np.ndarray:
+    cut = np.frombuffer(raw, np.uint8).reshape(-1, size)
+    wide = np.zeros((len(cut), 8), np.uint8)
+    wide[:, :size] = cut
+    return wide.view("<u8")[:, 0]
+
+
+def _pack(ids: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Sorted document ids as deflated steps, 7 bytes a key and 3 a check."""
     steps = np.diff(ids, prepend=np.int64(0)).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
-    return zlib.compress(steps, 1), keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+    return zlib.compress(steps, 1), _low_bytes(keys, 7), _low_bytes(checks, CHECK_BYTES)
 
 
-def _unpack(ids: bytes, keys: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(keys, np.uint8).reshape(-1, 7)
-    wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, :7] = raw
+def _unpack(ids: bytes, keys: bytes, checks: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     steps = np.frombuffer(zlib.decompress(ids), np.uint8).reshape(8, -1).T.copy().view("<i8")[:, 0]
-    return np.cumsum(steps), wide.view("<u8")[:, 0]
+    return np.cumsum(steps), _from_low_bytes(keys, 7), _from_low_bytes(checks, CHECK_BYTES)
 
 
 def _bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
@@ -105,13 +115,18 @@ def _split(by: np.ndarray, *columns: np.ndarray):
         yield int(by[lo]), [c[order[lo:hi]] for c in columns]
 
 
-def _shared(ids: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _shared(ids: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nodes of a sorted set of suffixes: which are the first of a node, and which lie under a node
     that a document with a smaller id reaches too. Both as indexes."""
     order = np.lexsort((ids, keys))
-    k, d = keys[order], ids[order]
+    k, c, d = keys[order], checks[order], ids[order]
+    same = k[1:] == k[:-1]
+    if (same & (c[1:] != c[:-1])).any():  # one key, two windows
+        order = np.lexsort((ids, checks, keys))
+        k, c, d = keys[order], checks[order], ids[order]
+        same = (k[1:] == k[:-1]) & (c[1:] == c[:-1])
     new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
+    new[1:] = ~same
     lead = np.flatnonzero(new)
     least = d[lead][np.cumsum(new) - 1]
     repeat = np.zeros(len(k), bool)
@@ -119,7 +134,8 @@ def _shared(ids: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[lead], order[(d > least) & ~repeat]
 
 
-SUFFIXES = "grp long, kind int, bucket long, ids binary, keys binary"
+NODES = "bucket long, ids binary, keys binary, checks binary"
+SUFFIXES = f"grp long, kind int, {NODES}"
 
 
 def suffixes(docs: DataFrame, base: np.ndarray, parts: np.ndarray, groups: int, buckets: int, width: int) -> DataFrame:
@@ -135,45 +151,79 @@ def suffixes(docs: DataFrame, base: np.ndarray, parts: np.ndarray, groups: int,
                     continue
                 codes = _codes(words, first)
                 grp = base[codes] + ((keys >> np.uint64(8)) % parts[codes].astype(np.uint64)).astype(np.int64)
-                keys, doc = keys & _MASK, ids[words.doc[first]]
+                keys, checks, doc = keys & _MASK, words.window_checks(first, width) & _CHECK_MASK, ids[words.doc[first]]
                 # The group tells suffixes apart as well as the key does.
-                lead, repeat = _shared(doc, keys ^ (grp.astype(np.uint64) << np.uint64(56)))
+                lead, repeat = _shared(doc, keys ^ (grp.astype(np.uint64) << np.uint64(56)), checks)
                 lead = lead[np.argsort(doc[lead], kind="stable")]
-                rows = [(g, 0, 0, *_pack(d, k)) for g, (d, k) in _split(grp[lead], doc[lead], keys[lead])]
+                rows = [(g, 0, 0, *_pack(*held)) for g, held in _split(grp[lead], doc[lead], keys[lead], checks[lead])]
                 repeat = repeat[np.argsort(doc[repeat], kind="stable")]
                 if len(repeat):
-                    found = _split(_bucket(doc[repeat], buckets), doc[repeat], keys[repeat])
-                    rows += [(b % groups, 1, b, *_pack(d, k)) for b, (d, k) in found]
-                grps, kinds, bucket, i, k = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(grps, pa.int64()), pa.array(kinds, pa.int32()), pa.array(bucket, pa.int64()), pa.array(i, pa.binary()), pa.array(k, pa.binary())], ["grp", "kind", "bucket", "ids", "keys"])
+                    found = _split(_bucket(doc[repeat], buckets), doc[repeat], keys[repeat], checks[repeat])
+                    rows += [(b % groups, 1, b, *_pack(*held)) for b, held in found]
+                grps, kinds, bucket, i, k, c = zip(*rows, strict=True)
+                types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+                columns = [pa.array(v, t) for v, t in zip((grps, kinds, bucket, i, k, c), types, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["grp", "kind", "bucket", "ids", "keys", "checks"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SUFFIXES)
 
 
 def repeated_nodes(suffix_rows: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, ids, keys): for each bucket of documents, (document, node) where the node is deep, shared, and
+    """(bucket, ids, keys, checks): for each bucket of documents, (document, node) where the node is deep, shared, and
     first reached by a document with a smaller id."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [(r.bucket, r.ids, r.keys) for r in pdf[pdf["kind"] == 1].itertuples()]
-        held = [_unpack(r.ids, r.keys) for r in pdf[pdf["kind"] == 0].itertuples()]
+        out = [(r.bucket, r.ids, r.keys, r.checks) for r in pdf[pdf["kind"] == 1].itertuples()]
+        held = [_unpack(r.ids, r.keys, r.checks) for r in pdf[pdf["kind"] == 0].itertuples()]
         if held:
-            ids, keys = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            _, repeat = _shared(ids, keys)
+            ids, keys, checks = (np.concatenate(part) for part in zip(*held, strict=True))
+            _, repeat = _shared(ids, keys, checks)
             repeat = repeat[np.argsort(ids[repeat], kind="stable")]
             if len(repeat):
-                out += [(b, *_pack(d, k)) for b, (d, k) in _split(_bucket(ids[repeat], buckets), ids[repeat], keys[repeat])]
-        return pd.DataFrame(out, columns=["bucket", "ids", "keys"])
+                found = _split(_bucket(ids[repeat], buckets), ids[repeat], keys[repeat], checks[repeat])
+                out += [(b, *_pack(*of_bucket)) for b, of_bucket in found]
+        return pd.DataFrame(out, columns=["bucket", "ids", "keys", "checks"])
+
+    return suffix_rows.groupBy("grp").applyInPandas(run, NODES)
+
+
+def _marks(ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """One number for (document, node); the node's check is compared beside it."""
+    return mix64(mix64(ids.view(np.uint64)) ^ keys)
+
+
+def _sorted_marks(held: list) -> tuple[np.ndarray, np.ndarray]:
+    """The marks of unpacked nodes in order, and their checks."""
+    if not held:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    marks = np.concatenate([_marks(i, k) for i, k, _ in held])
+    checks = np.concatenate([c for *_, c in held])
+    order = np.argsort(marks)
+    return marks[order], checks[order]
+
 
-    return suffix_rows.groupBy("grp").applyInPandas(run, "bucket long, ids binary, keys binary")
+def _is_marked(marks: np.ndarray, checks: np.ndarray, hits: np.ndarray, hit_checks: np.ndarray) -> np.ndarray:
+    """Which (mark, check) are among the hits, of which several may have one mark."""
+    found = np.zeros(len(marks), bool)
+    at = np.searchsorted(hits, marks)
+    open_ = np.flatnonzero(at < len(hits))
+    open_ = open_[hits[at[open_]] == marks[open_]]
+    while len(open_):
+        same = hit_checks[at[open_]] == checks[open_]
+        found[open_[same]] = True
+        open_ = open_[~same]
+        at[open_] += 1
+        open_ = open_[at[open_] < len(hits)]
+        open_ = open_[hits[at[open_]] == marks[open_]]
+    return found
 
 
-def _strip(texts: pd.Series, ids: np.ndarray, hits: np.ndarray, width: int):
+def _strip(texts: pd.Series, ids: np.ndarray, hits: np.ndarray, hit_checks: np.ndarray, width: int):
     """For each text: words, removed spans, kept text. ``hits``: sorted (document, node) marks."""
     words = Words(pa.array(texts, pa.string()))
     first, keys = words.windows(width)
-    marks = mix64(mix64(ids[words.doc[first]].view(np.uint64)) ^ (keys & _MASK))
-    hit = first[hits[np.minimum(np.searchsorted(hits, marks), len(hits) - 1)] == marks] if len(hits) else first[:0]
+    checks = words.window_checks(first, width) & _CHECK_MASK
+    hit = first[_is_marked(_marks(ids[words.doc[first]], keys & _MASK), checks, hits, hit_checks)]
     cover = np.zeros(len(words.hash) + 1, np.int64)
     np.add.at(cover, hit, 1)
     np.add.at(cover, hit + width, -1)
@@ -221,15 +271,14 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = docs.withColumn("bucket", F.pandas_udf(bucket_of, "long")("doc_id"))
 
     def run(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        held = [_unpack(r.ids, r.keys) for r in found.itertuples()]
-        hits = np.unique(np.concatenate([mix64(mix64(i.view(np.uint64)) ^ k) for i, k in held])) if held else np.zeros(0, np.uint64)
+        hits, hit_checks = _sorted_marks([_unpack(r.ids, r.keys, r.checks) for r in found.itertuples()])
         ids = texts["doc_id"].astype("Int64")
         plain = ids.fillna(NO_ID).to_numpy(np.int64)
         sizes = texts["text"].str.len().cumsum().to_numpy()
         out, at = [], 0
         while at < len(texts):  # slices of bounded size, for the word arrays
             until = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + (1 << 20), "right")))
-            out += _strip(texts["text"].iloc[at:until], plain[at:until], hits, width)
+            out += _strip(texts["text"].iloc[at:until], plain[at:until], hits, hit_checks, width)
             at = until
         frame = pd.DataFrame(out, columns=["n_words", "n_removed", "removed", "kept_text"])
         frame.insert(0, "doc_id", ids.to_numpy())

@@ -13,6 +13,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_CHECK_BASE = 0xD1B54A32D192ED03
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -85,13 +86,23 @@ class Words:
         longer = np.flatnonzero(self.end - self.start > size)
         return longer, ~self._hash(self.start[longer], self.start[longer] + size)
 
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, hash) of all windows of ``width`` words inside one text."""
+    def window_starts(self, width: int) -> np.ndarray:
+        """The first word of every window of ``width`` words inside one text."""
         n = len(self.hash) - width + 1
-        if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        first = np.flatnonzero(self.doc[:n] == self.doc[width - 1 :])
+        return np.flatnonzero(self.doc[:n] == self.doc[width - 1 :]) if n > 0 else np.zeros(0, np.int64)
+
+    def _window_hash(self, first: np.ndarray, width: int, base: int) -> np.ndarray:
+        n = max(0, len(self.hash) - width + 1)
         total = np.zeros(n, np.uint64)
         for j in range(width):
-            total = total * np.uint64(_BASE_INVERSE) + self.hash[j : j + n]
-        return first, mix64(total[first])
+            total = total * np.uint64(base) + self.hash[j : j + n]
+        return mix64(total[first])
+
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, hash) of all windows of ``width`` words inside one text."""
+        first = self.window_starts(width)
+        return first, self._window_hash(first, width, _BASE_INVERSE)
+
+    def window_checks(self, first: np.ndarray, width: int) -> np.ndarray:
+        """A second, independent hash of those windows."""
+        return self._window_hash(first, width, _CHECK_BASE)

@@ -296,6 +296,18 @@ def test_substring_dedup(spark, docs, group):
     assert values(got, "doc_id", "n_words", "n_removed", "kept_text") == strip_by_force(rows, 13)
 
 
+def test_windows_with_one_key_are_told_apart_by_their_checks():
+    u = lambda *v: np.array(v, np.uint64)
+    ids, keys, checks = np.array([1, 2, 3, 4, 4]), u(9, 9, 9, 9, 7), u(1, 2, 1, 2, 1)
+    lead, repeat = substring_dedup._shared(ids, keys, checks)
+    assert sorted(ids[lead].tolist()) == [1, 2, 4] and sorted(ids[repeat].tolist()) == [3, 4]
+    hits, hit_checks = u(5, 5, 5, 8), u(1, 2, 3, 4)
+    got = substring_dedup._is_marked(u(5, 5, 5, 6, 8, 8, 9), u(3, 4, 1, 1, 4, 5, 4), hits, hit_checks)
+    assert got.tolist() == [True, False, True, False, True, False, False]
+    packed = substring_dedup._pack(ids, keys, checks)
+    assert [x.tolist() for x in substring_dedup._unpack(*packed)] == [ids.tolist(), keys.tolist(), checks.tolist()]
+
+
 def test_prefixes_are_cut_where_they_are_frequent():
     counts = np.zeros(64, np.int64)
     counts[0:16], counts[16], counts[17], counts[40] = 2, 500, 3, 60
