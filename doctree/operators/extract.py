@@ -1,12 +1,15 @@
 """Tables of what page bodies hold: constructs, blocks, links, images, table cells, tasks, panels and fences.
 
-``pages``: scope_id, page_id, body (storage markup). Bodies are cut by regular expressions and exploded inside the
-JVM; one row a construct comes out, in the body's order.
+``pages``: scope_id, page_id (together a key), body (storage markup). Blocks, links, tasks and panels come from elements: a body
+is cut once into tokens, and windows over a page's tags find each element's end, so nested elements are whole.
+Images, cells, fences and the census are cut by regular expressions. One row a construct comes out, in the body's order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import html.entities
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doctree.functions import text as tx
@@ -17,13 +20,28 @@ PANELS = {"info": "INFO", "tip": "SUCCESS", "note": "WARNING", "warning": "ERROR
 NATIVE = ["h1", "h2", "h3", "h4", "h5", "h6", "p", "hr", "pre", "ul", "ol", "li", "blockquote", "table", "thead", "tbody", "tr", "th", "td", "strong", "b", "em", "i", "s", "del", "strike", "code", "br", "a", "ac:link", "ac:image", "ac:task-list", "ac:task"]
 WRAPPERS = ["ac:layout", "ac:layout-section", "ac:layout-cell", "span", "div", "u", "sub", "sup"]
 PARTS = ["ri:page", "ri:attachment", "ri:url", "ri:user", "ac:parameter", "ac:rich-text-body", "ac:plain-text-body", "ac:link-body", "ac:plain-text-link-body", "ac:task-id", "ac:task-status", "ac:task-body", "ac:caption", "col", "colgroup"]
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+#: Comments, CDATA sections, tags and text; a lone "<" is a token too.
+TOKEN = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[^<>]*>|[^<]+|<"
+VOID = ["hr", "br", "col"]
+ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+#: The named characters of HTML 4, from Python's table; a fixed blank is a blank here.
+NAMED = {name: chr(code) for name, code in html.entities.name2codepoint.items()} | {"apos": "'", "nbsp": " "}
 
 
 def unescape(s: Column) -> Column:
-    for a, b in ENTITIES:
-        s = F.replace(s, F.lit(a), F.lit(b))
-    return s
+    """Named and numbered characters in place of their entities; unknown ones stay."""
+    named = F.create_map(*[F.lit(x) for kv in NAMED.items() for x in kv])
+
+    def char(name: Column) -> Column:
+        wide = F.when(F.lower(F.substring(name, 1, 2)) == "#x", F.substring(name, 3, 6)).when(F.substring(name, 1, 1) == "#", F.hex(F.substring(name, 2, 7).cast("long")))
+        code = F.conv(wide, 16, 10).cast("long")
+        valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        numbered = F.when(valid, F.decode(F.unhex(F.lpad(wide, 8, "0")), "UTF-32"))
+        return F.coalesce(F.when(wide.isNull(), F.try_element_at(named, name)), numbered, F.concat(F.lit("&"), name, F.lit(";")))
+
+    chars = F.transform(F.regexp_extract_all(s, F.lit(ENTITY), F.lit(1)), char)
+    joined = F.array_join(F.zip_with(F.split(s, ENTITY, -1), chars, lambda part, c: F.concat(part, F.coalesce(c, F.lit("")))), "")
+    return F.when(s.contains("&"), joined).otherwise(s)
 
 
 def plain_text(markup: Column) -> Column:
@@ -37,9 +55,47 @@ def plain_text(markup: Column) -> Column:
 
 
 def attribute(tag: Column, name: str) -> Column:
-    """The value of an attribute of a tag, null if it has none."""
-    rx = rf'[\s]{name}="([^"]*)"'
-    return F.when(tag.rlike(rx), unescape(F.regexp_extract(tag, rx, 1)))
+    """The value of an attribute of a tag, in quotes of either kind, null if it has none."""
+    rx = rf"""\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+    return F.when(tag.rlike(rx), unescape(F.concat(F.regexp_extract(tag, rx, 1), F.regexp_extract(tag, rx, 2))))
+
+
+def elements(pages: DataFrame, names: list[str]) -> DataFrame:
+    """(scope_id, page_id, at, until, name, tag, inner): elements of these names, nested ones too. ``at`` and ``until`` are the
+    places of the first and last token. A tag that is never closed is no element; a self-closed or void one is empty.
+
+    A name's n-th open tag of a level ends at the next close tag of that level: a running sum over the page's
+    tags of the name, and the next row of the level. Bodies are joined back by page.
+    """
+    cut = pages.select(*AT, F.regexp_extract_all("body", F.lit(TOKEN), F.lit(0)).alias("tokens"))
+    tags = cut.select(*AT, F.posexplode("tokens").alias("at", "tag")).withColumn("name", F.lower(F.regexp_extract("tag", r"^</?([A-Za-z][A-Za-z0-9:-]*)", 1)))
+    tags = tags.where(F.col("name").isin(names)).repartition(*AT)
+    closes, alone = F.col("tag").startswith("</"), F.col("tag").endswith("/>") | F.col("name").isin(VOID)
+    step = F.when(closes, -1).when(alone, 0).otherwise(1)
+    tags = tags.withColumn("level", F.sum(step).over(Window.partitionBy(*AT, "name").orderBy("at")) + F.when(closes, 1).otherwise(0))
+    of_level = Window.partitionBy(*AT, "name", "level", alone).orderBy("at")
+    ended = F.when(F.lead(closes).over(of_level), F.lead("at").over(of_level))
+    found = tags.withColumn("until", F.when(alone, F.col("at")).otherwise(ended)).where(~closes & F.col("until").isNotNull())
+    same = [found[c].eqNullSafe(cut[c]) for c in AT]
+    inner = F.array_join(F.slice("tokens", F.col("at") + 2, F.greatest(F.col("until") - F.col("at") - 1, F.lit(0))), "")
+    return found.join(cut, same).select(*[found[c] for c in AT], "at", "until", "name", "tag", inner.alias("inner"))
+
+
+def _numbered(found: DataFrame) -> DataFrame:
+    return found.withColumn("ordinal", F.row_number().over(Window.partitionBy(*AT).orderBy("at")) - 1)
+
+
+def _outermost(found: DataFrame) -> DataFrame:
+    """Elements inside no other of the table."""
+    before = Window.partitionBy(*AT).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.coalesce(F.max("until").over(before), F.lit(-1))
+    return found.withColumn("reach", reach).where(F.col("reach") < F.col("at")).drop("reach")
+
+
+def shown_text(markup: Column) -> Column:
+    """The plain text without parameters of macros, task ids and task states, which are not shown as text."""
+    rx = r"(?s)(<!\[CDATA\[.*?\]\]>)|<(ac:parameter|ac:task-id|ac:task-status)\b[^<>]*>[^<]*</\2>"
+    return plain_text(F.regexp_replace(markup, rx, "$1"))
 
 
 def _each(pages: DataFrame, pattern: str, name: str) -> DataFrame:
@@ -61,25 +117,28 @@ def construct_census(pages: DataFrame) -> DataFrame:
 
 
 def extract_blocks(pages: DataFrame) -> DataFrame:
-    """(scope_id, page_id, ordinal, kind, level, lang, text) of headings, paragraphs, code, lists, quotes, tables, rules, images."""
-    code = r'<ac:structured-macro(?=[^<>]*ac:name="code")[^<>]*>.*?</ac:structured-macro>'
-    blocks = _each(pages, rf"(?s){code}|<(h[1-6]|p|pre|ul|ol|blockquote|table)\b[^<>]*>.*?</\1>|<hr\s*/?>|<ac:image\b[^<>]*>.*?</ac:image>", "block")
-    name = F.lower(F.regexp_extract("block", r"^<([A-Za-z0-9:-]+)", 1))
-    heading = name.rlike("^h[1-6]$")
-    kind = F.when(heading, "heading").when(name == "p", "para").when(name.isin("ac:structured-macro", "pre"), "code").when(name.isin("ul", "ol"), "list").when(name == "blockquote", "quote").when(name == "hr", "hr").when(name == "ac:image", "image").otherwise("table")
-    lang = F.lower(F.nullif(F.regexp_extract("block", r'ac:name="language"[^<>]*>([^<]*)<', 1), F.lit("")))
-    body = F.when(name == "ac:structured-macro", F.regexp_extract("block", r"(?s)<ac:plain-text-body>(.*?)</ac:plain-text-body>", 1)).otherwise(F.col("block"))
+    """(scope_id, page_id, ordinal, kind, level, lang, text) of headings, paragraphs, code, lists, quotes, tables, rules, images;
+    a block inside another is part of its text."""
+    headings = [f"h{i}" for i in range(1, 7)]
+    found = elements(pages, [*headings, "p", "pre", "ul", "ol", "blockquote", "table", "hr", "ac:image", "ac:structured-macro"])
+    name, inner = F.col("name"), F.col("inner")
+    is_macro, heading = name == "ac:structured-macro", name.isin(headings)
+    blocks = _numbered(_outermost(found.where(~is_macro | attribute(F.col("tag"), "ac:name").eqNullSafe("code"))))
+    kind = F.when(heading, "heading").when(name == "p", "para").when(is_macro | (name == "pre"), "code").when(name.isin("ul", "ol"), "list").when(name == "blockquote", "quote").when(name == "hr", "hr").when(name == "ac:image", "image").otherwise("table")
+    lang = F.when(is_macro, F.lower(F.nullif(F.regexp_extract(inner, r'ac:name="language"[^<>]*>([^<]*)<', 1), F.lit(""))))
+    body = F.when(is_macro, F.regexp_extract(inner, r"(?s)<ac:plain-text-body>(.*)</ac:plain-text-body>", 1)).otherwise(inner)
     return blocks.select(*AT, "ordinal", kind.alias("kind"), F.when(heading, F.substring(name, 2, 1).cast("int")).alias("level"), lang.alias("lang"), plain_text(body).alias("text"))
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
-    """(scope_id, page_id, ordinal, kind, href, content_id, title, space, text): external, page, attachment, user, other."""
-    links = _each(pages, r"(?s)<a\b[^<>]*>.*?</a>|<ac:link\b[^<>]*>.*?</ac:link>", "link")
-    link = F.col("link")
-    inner = F.when(link.rlike(r"^<a[\s>]"), F.regexp_extract(link, r"(?s)^<a[^<>]*>(.*)</a>$", 1)).otherwise(F.regexp_replace(link, r"<ri:[^<>]*>", ""))
-    href = attribute(F.regexp_extract(link, r"^<a\b[^<>]*>", 0), "href")
-    page = F.regexp_extract(link, r"<ri:page[^<>]*>", 0)
-    kind = F.when(href.isNotNull(), "external").when(page != "", "page").when(link.contains("<ri:attachment"), "attachment").when(link.contains("<ri:user"), "user").otherwise("other")
+    """(scope_id, page_id, ordinal, kind, href, content_id, title, space, text): external, page, attachment, user, other.
+    Markup inside CDATA is text and has no links."""
+    links = _numbered(_outermost(elements(pages, ["a", "ac:link"])))
+    is_anchor, inner = F.col("name") == "a", F.col("inner")
+    href = F.when(is_anchor, attribute(F.col("tag"), "href"))
+    page = F.when(~is_anchor, F.regexp_extract(inner, r"<ri:page[^<>]*>", 0))
+    target = F.when(~is_anchor, F.regexp_extract(inner, r"<ri:[a-z]+", 0))
+    kind = F.when(href.isNotNull(), "external").when(page != "", "page").when(target == "<ri:attachment", "attachment").when(target == "<ri:user", "user").otherwise("other")
     return links.select(*AT, "ordinal", kind.alias("kind"), href.alias("href"), attribute(page, "ri:content-id").alias("content_id"), attribute(page, "ri:content-title").alias("title"), attribute(page, "ri:space-key").alias("space"), plain_text(inner).alias("text"))
 
 
@@ -108,19 +167,23 @@ def extract_tables(pages: DataFrame) -> DataFrame:
 
 
 def extract_tasks(pages: DataFrame) -> DataFrame:
-    tasks = _each(pages, r"(?s)<ac:task>.*?</ac:task>", "task")
-    done = F.trim(F.regexp_extract("task", r"<ac:task-status>([^<]*)</ac:task-status>", 1)) == "complete"
-    return tasks.select(*AT, "ordinal", done.alias("done"), plain_text(F.regexp_extract("task", r"(?s)<ac:task-body>(.*?)</ac:task-body>", 1)).alias("text"))
+    """(scope_id, page_id, ordinal, done, text): tasks, those inside others too; a task's text holds theirs."""
+    tasks = _numbered(elements(pages, ["ac:task"]))
+    done = F.trim(F.regexp_extract("inner", r"<ac:task-status\b[^<>]*>([^<]*)</ac:task-status>", 1)) == "complete"
+    body = F.regexp_extract("inner", r"(?s)<ac:task-body\b[^<>]*>(.*)</ac:task-body>", 1)
+    return tasks.select(*AT, "ordinal", done.alias("done"), shown_text(body).alias("text"))
 
 
 def extract_panels(pages: DataFrame) -> DataFrame:
-    """(scope_id, page_id, ordinal, label, title, text) of macros that become admonitions."""
-    rx = rf'(?s)<ac:structured-macro(?=[^<>]*ac:name="(?:{"|".join(PANELS)})")[^<>]*>.*?</ac:structured-macro>'
-    panels = _each(pages, rx, "panel")
+    """(scope_id, page_id, ordinal, label, title, text) of macros that become admonitions, those inside others too; a panel's
+    text holds theirs."""
+    panels = elements(pages, ["ac:structured-macro"]).withColumn("macro", attribute(F.col("tag"), "ac:name"))
+    panels = _numbered(panels.where(F.col("macro").isin(*PANELS)))
     labels = F.create_map(*[F.lit(x) for kv in PANELS.items() for x in kv])
-    name = F.regexp_extract("panel", r'^<[^<>]*ac:name="([^"]*)"', 1)
-    title = F.nullif(F.regexp_extract("panel", r'<ac:parameter ac:name="title">([^<]*)<', 1), F.lit(""))
-    return panels.select(*AT, "ordinal", labels[name].alias("label"), unescape(title).alias("title"), plain_text(F.regexp_extract("panel", r"(?s)<ac:rich-text-body>(.*)</ac:rich-text-body>", 1)).alias("text"))
+    own = F.split("inner", "<ac:rich-text-body", 2)[0]  # parameters of inner macros come later
+    title = F.nullif(F.regexp_extract(own, r'<ac:parameter ac:name="title">([^<]*)<', 1), F.lit(""))
+    text = shown_text(F.regexp_extract("inner", r"(?s)<ac:rich-text-body\b[^<>]*>(.*)</ac:rich-text-body>", 1))
+    return panels.select(*AT, "ordinal", labels[F.col("macro")].alias("label"), unescape(title).alias("title"), text.alias("text"))
 
 
 def extract_fences(files: DataFrame) -> DataFrame:
