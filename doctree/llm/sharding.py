@@ -75,7 +75,7 @@ def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit:
     holds that document only and is ``oversized``. Null text has 0 bytes, null ids are hashed by their
     text, repeated rows spread like others, an empty table gives an empty result.
     """
-    rows = hashed(df, id_col, text_col)
+    rows = work_table(hashed(df, id_col, text_col), "hashes")  # texts are read once, not again in each round
     leaves = work_table(split_buckets(rows, limit), "leaves")
     # The directory serves leaves up to DIRECTORY_BITS; the few deeper ones (about a very large document) are found by their own depth.
     depths = [r["depth"] for r in leaves.select("depth").distinct().orderBy("depth").collect()]  # at most MAX_BITS + 1 numbers

@@ -251,6 +251,25 @@ def test_sharding(spark, docs):
     assert len(rows) == 300 and max(r["shard_bytes"] for r in rows) <= 1000
 
 
+def shards_by_force(rows, limit, prefix=""):
+    """(doc_id, shard, bytes of the shard, oversized) by splitting one bucket at a time; rows: (doc_id, bytes, bits)."""
+    total = sum(r[1] for r in rows)
+    if total <= limit or len({r[2] for r in rows}) == 1:
+        return [(i, prefix, total, total > limit) for i, *_ in rows]
+    halves = [[r for r in rows if r[2][len(prefix)] == bit] for bit in "01"]
+    return [x for bit, half in zip("01", halves, strict=True) if half for x in shards_by_force(half, limit, prefix + bit)]
+
+
+@pytest.mark.parametrize("limit", [10**6, 3000, 150])
+def test_shards_are_those_of_one_split_at_a_time(spark, docs, limit):
+    more = spark.createDataFrame([(1000 + i, prose(i, 5 + i % 20)) for i in range(500)], "doc_id long, text string")
+    df = docs.select("doc_id", "text").unionByName(more)
+    rows = [(r["doc_id"], r["bytes"], format(r["h"], f"0{sharding.MAX_BITS}b")) for r in sharding.hashed(df).collect()]
+    got = sharding.shard(df, limit=limit)
+    assert values(got, "doc_id", "shard", "shard_bytes", "oversized") == sorted(shards_by_force(rows, limit), key=repr)
+    assert limit > 150 or got.agg(F.max("depth")).first()[0] > sharding.STRIDE  # more than one round
+
+
 def test_fingerprints(spark, docs):
     got = fingerprints.compare_with_next(docs).collect()
     last = 2**63 - 1
