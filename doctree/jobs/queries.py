@@ -143,9 +143,31 @@ def path_to_page(spark, sf_dir):
     return hi.path_to_page(hi.paths_of(tree, "docs"), tree)
 
 
-@query(CAT + "SELECT scope_id, path, count(*) AS pages FROM paths GROUP BY ALL HAVING count(*) > 1")
+#: Paths as people name them by hand: some are shared, some have capitals and blanks.
+HAND_NAMED = """
+SELECT lang AS scope_id, CAST(doc_id AS VARCHAR) AS page_id,
+       'docs' || CASE WHEN doc_id % 11 = 0 THEN '/Draft ' ELSE '/draft-' END || doc_id // 3 || '.md' AS path
+FROM documents
+"""
+
+
+def hand_named(spark, sf_dir):
+    n = F.col("doc_id")
+    name = F.when(n % 11 == 0, "/Draft ").otherwise("/draft-")
+    path = F.concat(F.lit("docs"), name, F.floor(n / 3).cast("string"), F.lit(".md"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select(F.col("lang").alias("scope_id"), n.cast("string").alias("page_id"), path.alias("path"))
+
+
+@query(
+    CAT
+    + f""", hand AS ({HAND_NAMED}), every AS (SELECT scope_id, path FROM paths UNION ALL SELECT scope_id, path FROM hand)
+SELECT scope_id, path, count(*) AS pages FROM every GROUP BY ALL HAVING count(*) > 1"""
+)
 def path_conflicts(spark, sf_dir):
-    return hi.path_conflicts(hi.paths_of(tree_of(catalog(spark, sf_dir)), "docs"))
+    """A tree's paths have none; paths named by hand do."""
+    paths = hi.paths_of(tree_of(catalog(spark, sf_dir)), "docs")
+    return hi.path_conflicts(paths.unionByName(hand_named(spark, sf_dir)))
 
 
 @query(f"WITH p AS ({duck(inp.CATALOG_PAGES)}) SELECT page_id, CASE WHEN {SLUG} = '' THEN 'page-' || page_id ELSE {SLUG} END AS slug FROM p")
@@ -661,10 +683,15 @@ def apply_pull_plan(spark, sf_dir):
     return sy.scan_managed_files(done, "docs").select("scope_id", "page_id", "path", "version")
 
 
-@query(GEO + "SELECT scope_id, path, count(*) AS n, 'shared' AS problem FROM paths GROUP BY ALL HAVING count(*) > 1")
+@query(
+    GEO
+    + f""", hand AS ({HAND_NAMED}), every AS (SELECT scope_id, path FROM paths UNION ALL SELECT scope_id, path FROM hand)
+SELECT scope_id, path, 'shared' AS problem FROM every GROUP BY ALL HAVING count(*) > 1
+UNION ALL SELECT scope_id, path, 'unsafe' FROM every WHERE NOT regexp_full_match(path, 'docs(/[a-z0-9-]+)+[.]md')"""
+)
 def audit_paths(spark, sf_dir):
-    paths = work_table(hi.paths_of(tree_of(geo(spark, sf_dir)), "docs"), "paths")
-    return hi.audit_paths(paths, "docs").join(paths.groupBy("scope_id", "path").agg(F.count(F.lit(1)).alias("n")), ["scope_id", "path"])
+    paths = hi.paths_of(tree_of(geo(spark, sf_dir)), "docs").unionByName(hand_named(spark, sf_dir))
+    return hi.audit_paths(work_table(paths, "paths"), "docs")
 
 
 @query("SELECT lang AS scope_id, 'docs/' || lang || '/p' || doc_id % 50 || '.md' AS path, 'f' || doc_id % 7 || '.png' AS filename, 'docs/_files/' || (max(doc_id) % 3) || '/f' || doc_id % 7 || '.png' AS file FROM documents WHERE doc_id % 5 <> 0 GROUP BY lang, doc_id % 50, doc_id % 7")
