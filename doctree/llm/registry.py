@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, mixing, near_dedup, packing, secrets, sharding, substring_dedup, toxicity, url_filter
+from . import exact_dedup, fingerprints, mixing, near_dedup, packing, secrets, sharding, spelling, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_packing": packing.op10_packing,
+    "op11_spelling": spelling.op11_spelling,
 }
 
 ORACLES = {
