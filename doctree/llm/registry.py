@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, mixing, near_dedup, packing, secrets, sharding, spelling, substring_dedup, toxicity, url_filter
+from . import exact_dedup, fingerprints, hard_negatives, language, mixing, near_dedup, packing, secrets, sharding, spelling, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -16,10 +16,13 @@ QUERIES = {
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_packing": packing.op10_packing,
     "op11_spelling": spelling.op11_spelling,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_language": language.op13_language,
 }
 
 ORACLES = {
     "op1_secret_scan": secrets.OP1_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
+    "op12_hard_negatives": hard_negatives.OP12_SQL,
 }
