@@ -424,6 +424,13 @@ def scan_managed_files(spark, sf_dir):
     return sy.scan_managed_files(mirror(spark, sf_dir)[2], "docs")
 
 
+def _registry(files):
+    """What a lookup of the mirror's pages says: found, not there (no row), or an error."""
+    n = F.col("page_id").cast("long") % 3
+    ids = files.select("scope_id", fm.extract_front_matter(F.col("content"))["fm"]["page_id"].alias("page_id")).distinct()
+    return ids.where(n != 1).withColumn("status", F.when(n == 0, 200).otherwise(500))
+
+
 def _plan(spark, sf_dir):
     tree, paths, files = mirror(spark, sf_dir)
     return sy.plan_pull(tree, paths, sy.scan_managed_files(files, "docs"))
@@ -441,10 +448,8 @@ def plan_counts(spark, sf_dir):
 
 @query(PLAN + "SELECT scope_id, page_id, CASE WHEN CAST(page_id AS BIGINT) % 3 = 0 THEN 'orphaned' WHEN CAST(page_id AS BIGINT) % 3 = 1 THEN 'deleted' ELSE 'unknown' END AS action, from_path FROM plan WHERE action = 'delete_candidate'")
 def classify_missing(spark, sf_dir):
-    plan = _plan(spark, sf_dir)
-    n = F.col("page_id").cast("long") % 3
-    registry = mirror(spark, sf_dir)[2].select("scope_id", fm.extract_front_matter(F.col("content"))["fm"]["page_id"].alias("page_id")).distinct().where(n != 1).withColumn("status", F.when(n == 0, 200).otherwise(500))
-    return sy.classify_missing(plan, registry)
+    tree, paths, files = mirror(spark, sf_dir)
+    return sy.classify_missing(sy.plan_pull(tree, paths, sy.scan_managed_files(files, "docs")), _registry(files))
 
 
 @query(PLAN + "SELECT scope_id, page_id, action, CASE action WHEN 'rename' THEN 0 WHEN 'delete_candidate' THEN 1 ELSE 2 END AS phase FROM plan")
@@ -672,12 +677,19 @@ def export_scope(spark, sf_dir):
     return export(pages, roots(pages), "docs", text_ids=False).select("scope_id", "page_id", "path", F.sha2("content", 256).alias("content"))
 
 
-@query(CAT + "SELECT scope_id, page_id, path, CAST(version AS INT) AS version FROM t JOIN paths USING (scope_id, page_id)")
+@query(
+    PLAN
+    + """SELECT scope_id, page_id, path, CAST(version AS INT) AS version FROM t JOIN paths USING (scope_id, page_id)
+UNION ALL SELECT scope_id, page_id, path, version FROM m WHERE page_id NOT IN (SELECT page_id FROM t) AND CAST(page_id AS BIGINT) % 3 <> 1 AND path NOT IN (SELECT path FROM paths)"""
+)
 def apply_pull_plan(spark, sf_dir):
-    """A lagging mirror with its plan applied holds what the tree holds."""
+    """A lagging mirror with its plan applied holds what the tree holds, and files of pages that a registry still knows, or can't
+    tell about."""
     tree, paths, files = mirror(spark, sf_dir)
     files = work_table(files, "files")
     plan = work_table(sy.plan_pull(tree, paths, sy.scan_managed_files(files, "docs")), "plan")
+    lost = sy.classify_missing(plan, _registry(files))
+    plan = plan.select("scope_id", "page_id", "action", "from_path", "to_path").unionByName(lost.withColumn("to_path", F.lit(None).cast("string")))
     content = fm.apply_front_matter(fm.front_matter(F.col("page_id"), F.col("version")), F.lit("Body.\n"))
     done = sn.apply_pull_plan(files, plan, tree.select("scope_id", "page_id", content.alias("content")))
     return sy.scan_managed_files(done, "docs").select("scope_id", "page_id", "path", "version")

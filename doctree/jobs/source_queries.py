@@ -247,3 +247,38 @@ def create_parents(spark, sf_dir):
     paths = o.select(scope, file.alias("path")).unionByName(held.select("scope_id", "path"))
     missing = sy.missing_parents(paths, "docs")
     return sy.create_parents(missing, held, all_scopes.withColumn("page_id", F.lit("root")), "docs")
+
+
+#: Files three directories deep. Index files of b1 have a page, those of a2 and b2 none; a3's and b3's come with this push.
+_DEEP = """
+SELECT o_orderpriority AS scope_id, concat('docs/a', CAST(o_custkey % 5 AS STRING), '/b', CAST(o_orderkey % 6 AS STRING), '/c', CAST(o_orderkey % 4 AS STRING), '/p.md') AS path FROM {orders}
+"""
+_DEEP_INDEX = """
+SELECT DISTINCT scope_id, path, page_id, own FROM (
+  SELECT o_orderpriority AS scope_id, concat('docs/a', CAST(o_custkey % 5 AS STRING), CASE WHEN k IN ('2', '3') AND o_custkey % 5 = CAST(k AS INT) THEN '' ELSE concat('/b', k) END, '/index.md') AS path,
+         CASE WHEN k = '1' THEN concat('id-a', CAST(o_custkey % 5 AS STRING)) ELSE '' END AS page_id, k = '3' AS own
+  FROM {orders} CROSS JOIN (SELECT '1' AS k UNION ALL SELECT '2' UNION ALL SELECT '3') x
+) y
+"""
+
+
+@query(f"""
+WITH f AS ({_DEEP.format(orders="orders")}), ix AS ({_DEEP_INDEX.format(orders="orders")}), want AS (SELECT DISTINCT scope_id, path FROM f UNION SELECT scope_id, path FROM ix WHERE own),
+up AS (SELECT scope_id, path, string_split(CASE WHEN path LIKE '%/index.md' THEN left(path, length(path) - length('/index.md')) ELSE path END, '/') AS s FROM want),
+dirs AS (SELECT DISTINCT scope_id, path, unnest(range(2, len(s))) AS n, s FROM up),
+st AS (SELECT d.scope_id, d.path, n, array_to_string(s[1:n], '/') AS dir, i.page_id, i.own FROM dirs d LEFT JOIN ix i ON i.scope_id = d.scope_id AND i.path = array_to_string(s[1:n], '/') || '/index.md'),
+stop AS (SELECT scope_id, path, max(n) AS n FROM st WHERE page_id <> '' OR own GROUP BY ALL),
+made AS (SELECT DISTINCT scope_id, dir FROM st LEFT JOIN stop USING (scope_id, path) WHERE st.n > coalesce(stop.n, 0)),
+every AS (SELECT scope_id, path, NULL AS op, NULL AS title, array_to_string(s[1:len(s) - 1], '/') AS dir FROM up
+  UNION ALL SELECT scope_id, dir || '/index.md', 'create', upper(left(split_part(dir, '/', -1), 1)) || substring(split_part(dir, '/', -1), 2), array_to_string(string_split(dir, '/')[1:-2], '/') FROM made)
+SELECT e.scope_id, e.path, e.op, e.title, CASE WHEN i.own OR m.dir IS NOT NULL THEN e.dir || '/index.md' END AS parent_path,
+       CASE WHEN NOT coalesce(i.own, FALSE) AND m.dir IS NULL THEN coalesce(i.page_id, 'root') END AS parent_page_id, len(string_split(e.path, '/')) - 2 AS depth
+FROM every e LEFT JOIN ix i ON i.scope_id = e.scope_id AND i.path = e.dir || '/index.md' LEFT JOIN made m ON m.scope_id = e.scope_id AND m.dir = e.dir
+""")
+def ensure_parents(spark, sf_dir):
+    """Parents below pages that are there, that this push makes, that have to be made, and below the root, three levels deep."""
+    files = spark_input(spark, sf_dir, _DEEP)
+    index = spark_input(spark, sf_dir, _DEEP_INDEX)
+    ops = index.where("own").select("scope_id", "path")
+    held = index.select("scope_id", "path", "page_id")
+    return sy.ensure_parents(files.unionByName(ops), held, ops, files.select("scope_id", F.lit("root").alias("page_id")).distinct(), "docs")

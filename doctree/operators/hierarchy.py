@@ -1,12 +1,10 @@
 """Page trees. ``pages``: scope_id, page_id, title, parent_page_id, version, position (listing order).
 
-The level loop carries narrow columns only; bodies are joined afterwards by those who need them.
+The tree is made from narrow columns only; bodies are joined afterwards by those who need them.
 """
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,33 +16,37 @@ KEY = ["scope_id", "page_id"]
 
 def build_tree(pages: DataFrame, roots: DataFrame) -> DataFrame:
     """Pages reachable from the roots (scope_id, page_id), with depth, ancestors (root first, without the page) and
-    positions (those of the chain), level by level; a page that is its own ancestor is not followed.
+    positions (those of the chain), by pointer doubling. A page stops at the nearest root above it.
 
-    Each level is one equi-join of the frontier, written out, so the plan of a deep tree stays short.
+    Every page holds the chain of its ancestors up to a page that it points to. A round appends the chain of that page,
+    which has doubled too, so a tree of depth d takes log2(d) rounds. Pages whose chain has reached a root leave the loop,
+    those that point to no page or whose chain repeats itself (a cycle) are dropped. Each round is written out.
     A column ``slug`` of ``pages`` is carried along as slugs of the chain below the root.
     """
     has_slug = "slug" in pages.columns
     slug = F.col("slug") if has_slug else F.lit(None).cast("string")
-    # Written once: every level reads it, and slugs and whatever made the pages are not worked out again.
-    narrow = work_table(pages.select(*KEY, "title", "parent_page_id", "version", "position", slug.alias("slug")), "pages")
-    level = narrow.join(roots.select(*KEY), KEY, "left_semi").select(
-        *narrow.columns, F.lit(0).alias("depth"), F.array().cast("array<string>").alias("ancestors"), F.array().cast("array<long>").alias("positions"), F.array().cast("array<string>").alias("slugs")
-    )
-    level = work_table(level, "level")
-    levels = [level]
-    for depth in count(1):  # until a level is empty: no page is followed twice in one chain
-        above = level.select("scope_id", F.col("page_id").alias("parent_page_id"), F.col("ancestors").alias("up"), F.col("positions").alias("at"), F.col("slugs").alias("over"))
-        below = narrow.join(above, ["scope_id", "parent_page_id"]).select(
-            *narrow.columns, F.lit(depth).alias("depth"), F.concat("up", F.array("parent_page_id")).alias("ancestors"),
-            F.concat("at", F.array(F.col("position").cast("long"))).alias("positions"), F.concat("over", F.array("slug")).alias("slugs"),
-        ).where(~F.array_contains("ancestors", F.col("page_id")))
-        level = work_table(below, "level")
-        if level.isEmpty():
-            break
-        levels.append(level)
-    tree = levels[0]
-    for x in levels[1:]:
-        tree = tree.unionByName(x)
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    is_root = F.coalesce("is_root", F.lit(False))
+    narrow = pages.select(*KEY, "title", "parent_page_id", "version", "position", slug.alias("slug")).join(roots.select(*KEY, F.lit(True).alias("is_root")).distinct(), KEY, "left")
+    rows = narrow.select(
+        *KEY, "title", "parent_page_id", "version", "position", "slug",
+        F.when(~is_root, F.col("parent_page_id")).alias("to"), none("string").alias("ancestors"),
+        F.when(is_root, none("bigint")).otherwise(F.array(F.col("position").cast("long"))).alias("positions"),
+        F.when(is_root, none("string")).otherwise(F.array("slug")).alias("slugs"),
+    ).where(F.col("to").isNotNull() | is_root)
+    rows = work_table(rows, "pages")
+    done, open_ = rows.where("to is null"), rows.where("to is not null")
+    while not open_.isEmpty():
+        above = done.unionByName(open_).select("scope_id", F.col("page_id").alias("to"), F.col("to").alias("next"), F.col("ancestors").alias("up"), F.col("positions").alias("at"), F.col("slugs").alias("over"))
+        chain = F.concat("up", F.array("to"), "ancestors")
+        joined = open_.join(above, ["scope_id", "to"]).select(
+            *KEY, "title", "parent_page_id", "version", "position", "slug", F.col("next").alias("to"),
+            chain.alias("ancestors"), F.concat("at", "positions").alias("positions"), F.concat("over", "slugs").alias("slugs"),
+        )
+        once = (F.size(F.array_distinct("ancestors")) == F.size("ancestors")) & ~F.array_contains("ancestors", F.col("page_id"))
+        rows = work_table(joined.where(F.col("to").isNull() | once), "chains")
+        done, open_ = done.unionByName(rows.where("to is null")), rows.where("to is not null")
+    tree = done.drop("to").withColumn("depth", F.size("ancestors"))
     return tree if has_slug else tree.drop("slug", "slugs")
 
 

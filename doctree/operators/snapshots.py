@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from doctree.functions.tables import work_table
+from doctree.operators.lines import merge_lines
 
 AT = ["scope_id", "path"]
 
@@ -124,35 +122,19 @@ def apply_ops(snapshot: DataFrame, ops: DataFrame) -> DataFrame:
 
 def apply_pull_plan(mirror: DataFrame, plan: DataFrame, rendered: DataFrame) -> DataFrame:
     """plan (scope_id, page_id, action, from_path, to_path) on a mirror; rendered (scope_id, page_id, content) for writes.
-    Renamed files keep their content unless they are written too."""
+    Renamed files keep their content unless they are written too. Only pages that classify_missing found ``deleted`` go:
+    files of delete candidates, orphaned and unknown pages stay."""
     moves = plan.where("action = 'rename'").select("scope_id", F.col("from_path").alias("path"), "to_path")
-    kept = mirror.join(plan.where("action in ('deleted', 'delete_candidate')").select("scope_id", F.col("from_path").alias("path")), AT, "left_anti")
+    kept = mirror.join(plan.where("action = 'deleted'").select("scope_id", F.col("from_path").alias("path")), AT, "left_anti")
     moved = kept.join(moves, AT, "left").select("scope_id", F.coalesce("to_path", "path").alias("path"), "content")
     writes = plan.where("action in ('create', 'update')").join(rendered, ["scope_id", "page_id"]).select("scope_id", F.col("to_path").alias("path"), "content")
     return moved.join(writes.select(*AT), AT, "left_anti").unionByName(writes)
 
 
-def _merge3(base: str, ours: str, theirs: str) -> tuple[str | None, bool]:
-    """Both sides' line edits of one text, or (None, True) where they touch the same or neighbouring lines. An edit that both
-    sides made alike counts once."""
-    old, edits = base.splitlines(True), set()
-    for side in (ours, theirs):
-        new = side.splitlines(True)
-        codes = difflib.SequenceMatcher(None, old, new, autojunk=False).get_opcodes()
-        edits |= {(i, j, tuple(new[a:b])) for tag, i, j, a, b in codes if tag != "equal"}
-    out, at = [], 0
-    for n, (i, j, x) in enumerate(sorted(edits)):
-        if n and i <= at:  # one side's edits never touch each other
-            return None, True
-        out += [*old[at:i], *x]
-        at = j
-    return "".join(out + old[at:]), False
-
-
 def merge_snapshots(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """(scope_id, path, outcome, content): unchanged, ours, theirs, both (the same change), merged or conflict (content
     null; also where one side changed what the other removed). Hashes decide; only texts changed on both sides are read
-    by the line merge. Paths that end up removed are left out."""
+    by the line merge (see merge_lines). Paths that end up removed are left out."""
     sha = lambda d, n: d.select(*AT, F.sha2("content", 256).alias(n))
     rows = sha(base, "b").join(sha(ours, "o"), AT, "full_outer").join(sha(theirs, "t"), AT, "full_outer")
     b, o, t = F.col("b"), F.col("o"), F.col("t")
@@ -163,13 +145,7 @@ def merge_snapshots(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> Data
     clash = rows.where("outcome = 'conflict'").select(*AT, "outcome", F.lit(None).cast("string").alias("content"))
     name = lambda d, n: d.select(*AT, F.col("content").alias(n))
     open_ = rows.where("outcome = 'merge'").select(*AT).join(name(base, "b"), AT).join(name(ours, "o"), AT).join(name(theirs, "t"), AT)
-
-    def run(batches):
-        for pdf in batches:
-            done = [_merge3(*x) for x in zip(pdf["b"], pdf["o"], pdf["t"], strict=True)]
-            yield pd.DataFrame({"scope_id": pdf["scope_id"], "path": pdf["path"], "outcome": ["conflict" if c else "merged" for _, c in done], "content": [x for x, _ in done]})
-
-    return plain.unionByName(clash).unionByName(open_.mapInPandas(run, "scope_id string, path string, outcome string, content string"))
+    return plain.unionByName(clash).unionByName(merge_lines(open_))
 
 
 def audit_converged(base: DataFrame, head: DataFrame) -> DataFrame:

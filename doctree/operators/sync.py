@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doctree.functions.frontmatter import extract_front_matter, has_front_matter
 from doctree.functions.paths import attachment_dir, basename, dirname
 from doctree.functions.slugs import reverse_slugify, title_slugs_match
-from doctree.functions.tables import numbered
+from doctree.functions.tables import numbered, work_table
 
 KEY = ["scope_id", "page_id"]
 STAGING = ".rename-staging"
@@ -71,14 +71,14 @@ def rename_collisions(renames: DataFrame) -> DataFrame:
     return renames.join(sources, ["scope_id", "to_path"], "left_semi")
 
 
-def stage_renames(renames: DataFrame) -> DataFrame:
-    """(scope_id, phase, from_path, to_path): in two phases through a staging directory for scopes with a
+def stage_renames(renames: DataFrame, local_root: str = "") -> DataFrame:
+    """(scope_id, phase, from_path, to_path): in two phases through a staging directory below ``local_root`` for scopes with a
     collision, else directly. Staging names are numbered by the source path."""
     staged = rename_collisions(renames).select("scope_id").distinct()
     columns = ["scope_id", "from_path", "to_path"]
     number = numbered(renames.join(staged, "scope_id", "left_semi").select(*columns), ["scope_id"], ["from_path", "to_path"], "i")
     direct = renames.join(staged, "scope_id", "left_anti").select("scope_id", F.lit(1).alias("phase"), "from_path", "to_path")
-    mid = F.concat(F.lit(f"{STAGING}/"), (F.col("i") - 1).cast("string"), F.lit(".md"))
+    mid = F.concat(F.lit(f"{local_root.rstrip('/')}/{STAGING}/".lstrip("/")), (F.col("i") - 1).cast("string"), F.lit(".md"))
     move = lambda phase, a, b: F.struct(F.lit(phase).alias("phase"), a.alias("from_path"), b.alias("to_path"))
     a, b = F.col("from_path"), F.col("to_path")
     return number.select("scope_id", F.inline(F.array(move(1, a, mid), move(2, mid, b)))).unionByName(direct)
@@ -101,25 +101,54 @@ def attachment_removals(deletes: DataFrame, local_root: str, attachments_dir: st
     return deletes.select("scope_id", own.alias("dir")).distinct().join(existing.select("scope_id", "dir"), ["scope_id", "dir"], "left_semi")
 
 
-def create_parents(missing: DataFrame, pages: DataFrame, root_pages: DataFrame, local_root: str) -> DataFrame:
-    """missing (scope_id, dir, index_path), as of missing_parents -> (scope_id, path, op, title, parent_path, parent_page_id, depth):
-    one page to create for each, parents first by depth.
+def ensure_parents(files: DataFrame, held: DataFrame, ops: DataFrame, root_pages: DataFrame, local_root: str) -> DataFrame:
+    """Parents of ``files`` (scope_id, path), and the pages to make so that every file has one.
 
-    The title is made from the directory's name. The parent is the page of the nearest directory above: one that is
-    created too (parent_path), else one that is there, pages (scope_id, path, page_id), else the scope's
-    root page, root_pages (scope_id, page_id).
+    A file's parent is the page of its directory (of an index page, of the directory above). A directory's page is one that is
+    there, ``held`` (scope_id, path of the index file, page_id; an index file without a page id is no page), else the index page
+    that this push creates, ``ops`` (scope_id, path), else one to make, and that one's parent is found alike. Above the local root
+    is the scope's root page, ``root_pages`` (scope_id, page_id); so it is for files outside.
+
+    (scope_id, path, op, title, parent_path, parent_page_id, depth): op is ``create`` for pages to make and null for the files.
+    parent_path is set where the parent is yet to be made; parents come first by depth. Resolved for all directories at once: a
+    directory has to be made if every one between it and a file below has no page. Rows without a path are left out.
     """
     root = local_root.rstrip("/")
-    up = F.concat(dirname(F.col("dir")), F.lit("/index.md"))
-    depth = F.size(F.split("dir", "/")) - F.lit(root.count("/") + 1)
-    rows = missing.select("scope_id", "dir", F.col("index_path").alias("path"), up.alias("up"), depth.alias("depth"))
-    made = missing.select("scope_id", F.col("index_path").alias("up"), F.col("index_path").alias("parent_path"))
-    held = pages.select("scope_id", F.col("path").alias("up"), F.col("page_id").alias("held_id"))
+    up = lambda p: F.when(p.contains("/"), dirname(p))
+    files = files.where("path is not null").select("scope_id", "path").distinct()
+    files = files.withColumn("dir", F.when(basename(F.col("path")) == "index.md", up(up(F.col("path")))).otherwise(up(F.col("path"))))
+    parts = F.split("dir", "/")
+    chain = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    chain = F.filter(chain, lambda d: d.startswith(root) & (d != root))
+    above = files.select("scope_id", "dir").distinct().where("dir is not null").select("scope_id", "dir", F.posexplode(chain).alias("n", "at"))
+    index = F.concat("at", F.lit("/index.md"))
+    there = held.where(F.coalesce("page_id", F.lit("")) != "").groupBy("scope_id", F.col("path").alias("index")).agg(F.min("page_id").alias("held_id"))
+    made = ops.select("scope_id", F.col("path").alias("index")).distinct().withColumn("own", F.lit(True))
+    known = above.select("scope_id", "at").distinct().withColumn("index", index).join(there, ["scope_id", "index"], "left").join(made, ["scope_id", "index"], "left")
+    known = work_table(known.select("scope_id", "at", "held_id", (F.col("held_id").isNull() & F.coalesce("own", F.lit(False))).alias("own")), "directories")
+    has_page = F.col("held_id").isNotNull() | F.col("own")
+    below = Window.partitionBy("scope_id", "dir").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    open_ = above.join(known, ["scope_id", "at"]).withColumn("met", F.max(has_page).over(below)).where(~F.col("met"))
+    create = open_.select("scope_id", "at").distinct()
+    depth = F.size(F.split("path", "/")) - F.lit(root.count("/") + 2)
+    new = create.select("scope_id", index.alias("path"), F.lit("create").alias("op"), reverse_slugify(F.concat(basename(F.col("at")), F.lit(".md"))).alias("title"), up(F.col("at")).alias("dir"))
+    old = files.select("scope_id", "path", F.lit(None).cast("string").alias("op"), F.lit(None).cast("string").alias("title"), "dir")
+    old = old.join(new.select("scope_id", "path"), ["scope_id", "path"], "left_anti")  # a file whose page is made comes once
+    of = known.join(create.withColumn("to_make", F.lit(True)), ["scope_id", "at"], "left").withColumnRenamed("at", "dir")
     roots = root_pages.select("scope_id", F.col("page_id").alias("root_id"))
-    rows = rows.join(made, ["scope_id", "up"], "left").join(held, ["scope_id", "up"], "left").join(roots, "scope_id", "left")
-    parent = F.when(F.col("parent_path").isNull(), F.coalesce("held_id", "root_id"))
-    title = reverse_slugify(F.concat(basename(F.col("dir")), F.lit(".md")))
-    return rows.select("scope_id", "path", F.lit("create").alias("op"), title.alias("title"), "parent_path", parent.alias("parent_page_id"), "depth")
+    rows = new.unionByName(old).join(of, ["scope_id", "dir"], "left").join(roots, "scope_id", "left")
+    pending = F.coalesce("own", F.lit(False)) | F.coalesce("to_make", F.lit(False))
+    parent_path = F.when(F.col("held_id").isNull() & pending, F.concat("dir", F.lit("/index.md")))
+    parent = F.when(parent_path.isNull(), F.coalesce("held_id", "root_id"))
+    return rows.select("scope_id", "path", "op", "title", parent_path.alias("parent_path"), parent.alias("parent_page_id"), depth.alias("depth"))
+
+
+def create_parents(missing: DataFrame, pages: DataFrame, root_pages: DataFrame, local_root: str, ops: DataFrame | None = None) -> DataFrame:
+    """missing (scope_id, dir, index_path), as of missing_parents -> the pages to make for those directories and for the ones above
+    that have an index file but no page: ensure_parents' rows for them."""
+    rows = missing.select("scope_id", F.concat("dir", F.lit("/page.md")).alias("path"))
+    none = ops if ops is not None else pages.limit(0)
+    return ensure_parents(rows, pages, none, root_pages, local_root).where("op = 'create'")
 
 
 def order_pull(plan: DataFrame) -> DataFrame:
@@ -164,7 +193,7 @@ def build_push_ops(diffs: DataFrame, base: DataFrame, head: DataFrame, pages: Da
 
 def missing_parents(paths: DataFrame, local_root: str) -> DataFrame:
     """paths (scope_id, path) of a snapshot -> (scope_id, dir, index_path): directories on the way to a file that have no
-    index page of their own and need one."""
+    index file. Whether an index file has a page is for ensure_parents."""
     root = local_root.rstrip("/")
     inside = paths.where(F.col("path").startswith(root + "/"))
     rel = F.split(F.substring("path", len(root) + 2, 1 << 30), "/")

@@ -160,6 +160,41 @@ def test_apply_pull_plan_reaches_the_tree(spark):
     assert rows(done, "path", "content") == [("b.md", "A"), ("d.md", "D"), ("k.md", "K")]
 
 
+def test_pull_keeps_what_is_not_surely_deleted(spark):
+    plan = spark.createDataFrame([("s", str(i), a, f"{a}.md", None) for i, a in enumerate(("delete_candidate", "orphaned", "unknown", "deleted"))], "scope_id string, page_id string, action string, from_path string, to_path string")
+    files = plan.select("scope_id", F.col("from_path").alias("path"), F.lit("x").alias("content"))
+    done = sn.apply_pull_plan(files, plan, spark.createDataFrame([], "scope_id string, page_id string, content string"))
+    assert rows(done, "path") == [("delete_candidate.md",), ("orphaned.md",), ("unknown.md",)]
+
+
+def test_parents_of_a_push(spark):
+    path = "scope_id string, path string"
+    files = ["wiki/a/b/c.md", "wiki/a/index.md", "wiki/index.md", "wiki/top.md", "wiki/e/f/g/h.md", "wiki/e/index.md", "wiki/e/f/g/index.md", "wiki2/x/y.md", "README.md", "wiki/q/r/s.md", None]
+    held = [("s", "wiki/q/index.md", "7"), ("s", "wiki/a/index.md", None), ("s", "wiki/a/index.md", "")]
+    got = sy.ensure_parents(
+        spark.createDataFrame([("s", p) for p in files], path), spark.createDataFrame(held, path + ", page_id string"), spark.createDataFrame([("s", "wiki/e/index.md"), ("s", "wiki/e/f/g/index.md")], path),
+        spark.createDataFrame([("s", "1")], "scope_id string, page_id string"), "wiki/",
+    )
+    assert {r["path"]: (r["op"], r["title"], r["parent_path"], r["parent_page_id"], r["depth"]) for r in got.collect()} == {
+        "wiki/a/b/c.md": (None, None, "wiki/a/b/index.md", None, 2), "wiki/a/b/index.md": ("create", "B", "wiki/a/index.md", None, 2), "wiki/a/index.md": ("create", "A", None, "1", 1),
+        "wiki/index.md": (None, None, None, "1", 0), "wiki/top.md": (None, None, None, "1", 0), "wiki/e/index.md": (None, None, None, "1", 1),
+        "wiki/e/f/g/h.md": (None, None, "wiki/e/f/g/index.md", None, 3), "wiki/e/f/g/index.md": (None, None, "wiki/e/f/index.md", None, 3), "wiki/e/f/index.md": ("create", "F", "wiki/e/index.md", None, 2),
+        "wiki2/x/y.md": (None, None, "wiki2/x/index.md", None, 1), "wiki2/x/index.md": ("create", "X", "wiki2/index.md", None, 1), "wiki2/index.md": ("create", "Wiki2", None, "1", 0), "README.md": (None, None, None, "1", -1),
+        "wiki/q/r/s.md": (None, None, "wiki/q/r/index.md", None, 2), "wiki/q/r/index.md": ("create", "R", None, "7", 2),
+    }
+
+
+def test_a_deep_chain_and_cycles_by_doubling(spark):
+    n = 5000
+    pages = spark.range(1, n + 1).select(F.lit("s").alias("scope_id"), F.col("id").cast("string").alias("page_id"), F.lit("t").alias("title"), F.when(F.col("id") > 1, (F.col("id") - 1).cast("string")).alias("parent_page_id"), F.lit(1).alias("version"), F.col("id").alias("position"))
+    loop = spark.createDataFrame([("s", f"c{i}", "t", f"c{(i + 1) % 7}", 1, i) for i in range(7)] + [("s", "below", "t", "c3", 1, 0), ("s", "b2", "t", "below", 1, 0), ("s", "self", "t", "self", 1, 0)], PAGES)
+    tree = hi.build_tree(pages.unionByName(loop), pages.where("parent_page_id is null"))
+    got = tree.agg(F.count("*"), F.max("depth"), F.sum("depth")).first()
+    assert tuple(got) == (n, n - 1, n * (n - 1) // 2)
+    last = tree.where(f"page_id = '{n}'").first()
+    assert last["ancestors"] == [str(i) for i in range(1, n)] and last["positions"] == list(range(2, n + 1))
+
+
 def test_sources(spark, tmp_path):
     from doctree.sources import files, wiki
 
