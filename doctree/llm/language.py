@@ -200,7 +200,8 @@ def sample_windows(df: DataFrame, id_col: str, text_col: str, label_col: str, do
     rows = rows.select(df[label_col].cast("string").alias("label"), df[text_col].cast("string").alias("text"), F.xxhash64(df[id_col], F.lit(SEED)).alias("h"))
     counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     share = F.least(F.lit(1.0), (docs + 6 * F.sqrt(F.lit(float(docs)))) / F.col("n"))
-    likely = rows.join(counts, "label").where(F.pmod("h", F.lit(1 << 40)) / F.lit(1 << 40) <= share)
+    # One row a language: as many as the network has outputs. Rows are thinned where they are read.
+    likely = rows.join(F.broadcast(counts), "label").where(F.pmod("h", F.lit(1 << 40)) / F.lit(1 << 40) <= share)
     first = F.row_number().over(Window.partitionBy("label").orderBy("h", "text"))
     picked = likely.withColumn("nth", first).where(F.col("nth") <= docs).select("label", "text", "h")
 
