@@ -215,19 +215,6 @@ def test_sources(spark, tmp_path):
     assert rows(wiki.parse_name_status(lines).fillna(""), "action", "path", "old_path") == [("A", "a", ""), ("R", "n", "o")]
 
 
-def test_stream_follows_versions_and_replays(spark, tmp_path):
-    from doctree.streaming.pull import incremental_pull
-
-    schema = "scope_id string, page_id string, path string, version int, body string, seq long"
-    for i, batch in enumerate(([("s", "1", "a.md", 1, "x\n", 1), ("s", "1", "a.md", 2, "y\n", 2)], [("s", "1", "a.md", 2, "changed\n", 3), ("s", "2", "b.md", 1, "z\n", 4)])):
-        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-        stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
-        incremental_pull(spark, stream, str(tmp_path / "mirror"), str(tmp_path / "cp")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "mirror/batch=1"))
-    assert rows(got, "page_id", "version") == [("1", 2), ("2", 1)]
-    assert got.where("page_id = '1'").first()["content"].endswith("y\n")
-
-
 def test_push_ops(spark):
     base = spark.createDataFrame([("s", "docs/m.md", file("1", 1)), ("s", "docs/d.md", file("2", 1)), ("s", "docs/old.md", file("3", 1)), ("s", "docs/n.md", "no id")], FILES)
     head = spark.createDataFrame([("s", "docs/m.md", file("1", 1, "new\n")), ("s", "docs/new-name.md", file("3", 1)), ("s", "docs/fresh-page.md", "text"), ("s", "docs/n.md", "x")], FILES)
