@@ -12,6 +12,7 @@ padding. Nothing is shuffled: the numbers of a task's sequences begin with its p
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 import os
 from collections.abc import Iterator
@@ -20,7 +21,6 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -276,6 +276,9 @@ def place(lengths: list[int], length: int) -> list[list[tuple[int, int, int, int
     return out
 
 
+#: Bits of a sequence's number for its place in a partition, and for the partition; above them stands the call, modulo CALLS.
+SEQUENCE_BITS, PARTITION_BITS, CALLS = 30, 22, 1 << 11
+_calls = itertools.count()
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, capacity long"
 NAMES = [c.split()[0] for c in PIECES.split(", ")]
 
@@ -326,14 +329,20 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: s
     one piece. ``capacity`` is the length of the piece's sequence: ``length`` or a power of two, and
     all sequences are full. Repeated rows and rows without an id are documents of their own (a
     null id stays null). An empty table gives an empty result; other columns are ignored. Which documents
-    meet in a sequence depends on how the input is partitioned; no partition size is needed for right results.
+    meet in a sequence depends on how the input is partitioned; no partition size is needed for right results. A sequence's
+    number is made of the call's in this session, the input partition's and the place in it, so results can be coalesced and put
+    together with others.
     """
     vocab = vocab or vocabulary()
-    docs = df.select(df[id_col].cast("long").alias("doc_id"), text_of(df, text_col).alias("text"))
+    # The partition's own number, which stays when a later coalesce or union puts partitions into one task.
+    number = F.spark_partition_id().cast("long") + F.lit((next(_calls) % CALLS) << PARTITION_BITS)
+    docs = df.select(df[id_col].cast("long").alias("doc_id"), text_of(df, text_col).alias("text"), number.alias("number"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, group, next_id = Encoder(vocab), _Group(), TaskContext.get().partitionId() << 40
+        encode, group, next_id = Encoder(vocab), _Group(), None
         for batch in batches:
+            if next_id is None and batch.num_rows:
+                next_id = batch.column(2)[0].as_py() << SEQUENCE_BITS
             for part in chunks(batch, limit=SLICE_BYTES):
                 ids, ends = encode(part.column(1))
                 size = np.diff(ends, prepend=0)
