@@ -577,7 +577,7 @@ def extract_tasks(spark, sf_dir):
 def extract_panels(spark, sf_dir):
     from doctree.operators.extract import extract_panels as extract
 
-    return extract(corpus(spark, sf_dir)).drop("ordinal")
+    return extract(corpus(spark, sf_dir)).select("scope_id", "page_id", "label", "title", "text")
 
 
 @query(f"""

@@ -1,47 +1,28 @@
 """Tables of what page bodies hold: constructs, blocks, links, images, table cells, tasks, panels and fences.
 
-``pages``: scope_id, page_id (together a key), body (storage markup). Blocks, links, tasks and panels come from elements: a body
-is cut once into tokens, and windows over a page's tags find each element's end, so nested elements are whole.
-Images, cells, fences and the census are cut by regular expressions. One row a construct comes out, in the body's order.
+``pages``: scope_id, page_id (together a key), body (storage markup). All but the census and the fences come from the rows of
+nodes.py: elements with their parents, so nested elements are whole, an element without an end tag ends with its parent, and
+markup inside CDATA is text. One row a construct comes out, in the body's order. A body with a tag that never ends has no rows.
 """
 
 from __future__ import annotations
 
-import html.entities
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doctree.functions import text as tx
+from doctree.functions.tables import work_table
+from doctree.operators.nodes import AT, nodes, tokens_of, unescape
 
-AT = ["scope_id", "page_id"]
-#: The macros that become admonitions, and their labels.
+#: The macros that become admonitions, and their labels; the panel types of the newer form.
 PANELS = {"info": "INFO", "tip": "SUCCESS", "note": "WARNING", "warning": "ERROR", "panel": "PANEL", "expand": "EXPAND"}
+ADF_PANELS = {"info": "INFO", "note": "NOTE", "success": "SUCCESS", "warning": "WARNING", "error": "ERROR"}
 NATIVE = ["h1", "h2", "h3", "h4", "h5", "h6", "p", "hr", "pre", "ul", "ol", "li", "blockquote", "table", "thead", "tbody", "tr", "th", "td", "strong", "b", "em", "i", "s", "del", "strike", "code", "br", "a", "ac:link", "ac:image", "ac:task-list", "ac:task"]
 WRAPPERS = ["ac:layout", "ac:layout-section", "ac:layout-cell", "span", "div", "u", "sub", "sup"]
 PARTS = ["ri:page", "ri:attachment", "ri:url", "ri:user", "ac:parameter", "ac:rich-text-body", "ac:plain-text-body", "ac:link-body", "ac:plain-text-link-body", "ac:task-id", "ac:task-status", "ac:task-body", "ac:caption", "col", "colgroup"]
-#: Comments, CDATA sections, tags and text; a lone "<" is a token too.
-TOKEN = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[^<>]*>|[^<]+|<"
-VOID = ["hr", "br", "col"]
-ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"
-#: The named characters of HTML 4, from Python's table; a fixed blank is a blank here.
-NAMED = {name: chr(code) for name, code in html.entities.name2codepoint.items()} | {"apos": "'", "nbsp": " "}
-
-
-def unescape(s: Column) -> Column:
-    """Named and numbered characters in place of their entities; unknown ones stay."""
-    named = F.create_map(*[F.lit(x) for kv in NAMED.items() for x in kv])
-
-    def char(name: Column) -> Column:
-        wide = F.when(F.lower(F.substring(name, 1, 2)) == "#x", F.substring(name, 3, 6)).when(F.substring(name, 1, 1) == "#", F.hex(F.substring(name, 2, 7).cast("long")))
-        code = F.conv(wide, 16, 10).cast("long")
-        valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
-        numbered = F.when(valid, F.decode(F.unhex(F.lpad(wide, 8, "0")), "UTF-32"))
-        return F.coalesce(F.when(wide.isNull(), F.try_element_at(named, name)), numbered, F.concat(F.lit("&"), name, F.lit(";")))
-
-    chars = F.transform(F.regexp_extract_all(s, F.lit(ENTITY), F.lit(1)), char)
-    joined = F.array_join(F.zip_with(F.split(s, ENTITY, -1), chars, lambda part, c: F.concat(part, F.coalesce(c, F.lit("")))), "")
-    return F.when(s.contains("&"), joined).otherwise(s)
+#: Elements whose own text stands as a paragraph.
+HOLDERS = ["ac:layout", "ac:layout-section", "ac:layout-cell", "ac:rich-text-body", "ac:adf-content"]
+TAG = r"""</?[A-Za-z](?:[^<>"']++|"[^"]*+"|'[^']*+')*+>"""
 
 
 def plain_text(markup: Column) -> Column:
@@ -50,8 +31,8 @@ def plain_text(markup: Column) -> Column:
     escaped = F.transform(cdata, tx.xml_escape)
     parts = F.split(markup, r"(?s)<!\[CDATA\[.*?\]\]>", -1)
     joined = F.array_join(F.zip_with(parts, escaped, lambda p, c: F.concat(p, F.coalesce(c, F.lit("")))), "")
-    bare = F.regexp_replace(joined, r"(?s)<!--.*?-->|<[^<>]*>", "")
-    return F.trim(F.regexp_replace(unescape(bare), r"[ \t\r\n]+", " "))
+    bare = F.regexp_replace(joined, rf"(?s)<!--.*?-->|{TAG}|<[^<>]*>", "")
+    return F.trim(F.regexp_replace(unescape(bare), r"[ \t\r\n\u00a0]+", " "))
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -60,25 +41,9 @@ def attribute(tag: Column, name: str) -> Column:
     return F.when(tag.rlike(rx), unescape(F.concat(F.regexp_extract(tag, rx, 1), F.regexp_extract(tag, rx, 2))))
 
 
-def elements(pages: DataFrame, names: list[str]) -> DataFrame:
-    """(scope_id, page_id, at, until, name, tag, inner): elements of these names, nested ones too. ``at`` and ``until`` are the
-    places of the first and last token. A tag that is never closed is no element; a self-closed or void one is empty.
-
-    A name's n-th open tag of a level ends at the next close tag of that level: a running sum over the page's
-    tags of the name, and the next row of the level. Bodies are joined back by page.
-    """
-    cut = pages.select(*AT, F.regexp_extract_all("body", F.lit(TOKEN), F.lit(0)).alias("tokens"))
-    tags = cut.select(*AT, F.posexplode("tokens").alias("at", "tag")).withColumn("name", F.lower(F.regexp_extract("tag", r"^</?([A-Za-z][A-Za-z0-9:-]*)", 1)))
-    tags = tags.where(F.col("name").isin(names)).repartition(*AT)
-    closes, alone = F.col("tag").startswith("</"), F.col("tag").endswith("/>") | F.col("name").isin(VOID)
-    step = F.when(closes, -1).when(alone, 0).otherwise(1)
-    tags = tags.withColumn("level", F.sum(step).over(Window.partitionBy(*AT, "name").orderBy("at")) + F.when(closes, 1).otherwise(0))
-    of_level = Window.partitionBy(*AT, "name", "level", alone).orderBy("at")
-    ended = F.when(F.lead(closes).over(of_level), F.lead("at").over(of_level))
-    found = tags.withColumn("until", F.when(alone, F.col("at")).otherwise(ended)).where(~closes & F.col("until").isNotNull())
-    same = [found[c].eqNullSafe(cut[c]) for c in AT]
-    inner = F.array_join(F.slice("tokens", F.col("at") + 2, F.greatest(F.col("until") - F.col("at") - 1, F.lit(0))), "")
-    return found.join(cut, same).select(*[found[c] for c in AT], "at", "until", "name", "tag", inner.alias("inner"))
+def _same(a: DataFrame, b: DataFrame, at: str | None = None, other: str | None = None) -> list[Column]:
+    """Rows of one page, whose keys may be null; and a place in a that is a place in b."""
+    return [a[c].eqNullSafe(b[c]) for c in AT] + ([a[at] == b[other]] if at else [])
 
 
 def _numbered(found: DataFrame) -> DataFrame:
@@ -92,9 +57,32 @@ def _outermost(found: DataFrame) -> DataFrame:
     return found.withColumn("reach", reach).where(F.col("reach") < F.col("at")).drop("reach")
 
 
+def _with_inner(found: DataFrame, pages: DataFrame) -> DataFrame:
+    """Adds ``inner``, the markup of the tokens behind ``at`` up to ``until`` (an end tag among them); made for the rows that are left only."""
+    cut = pages.select(*AT, tokens_of(F.col("body")).alias("tokens"))
+    inner = F.array_join(F.slice("tokens", F.col("at") + 2, F.greatest(F.col("until") - F.col("at"), F.lit(0))), "")
+    return found.join(cut, _same(found, cut)).select(*[found[c] for c in found.columns], inner.alias("inner"))
+
+
+def _own_texts(found: DataFrame) -> DataFrame:
+    """(scope_id, page_id, owner, own): the texts right inside each element, trimmed."""
+    texts = found.where("name is null").groupBy(*AT, F.col("parent").alias("owner")).agg(F.sort_array(F.collect_list(F.struct("at", "text"))).alias("parts"))
+    return texts.select(*AT, "owner", F.trim(F.array_join(F.transform("parts", lambda p: p["text"]), "")).alias("own"))
+
+
+def _kids(found: DataFrame, condition: Column, value: Column) -> DataFrame:
+    """(scope_id, page_id, owner, kid): ``value`` of the first element right inside each that meets the condition."""
+    return found.where(condition).groupBy(*AT, F.col("parent").alias("owner")).agg(F.min_by(value, "at").alias("kid"))
+
+
+def _attr(attrs: Column, key: str) -> Column:
+    return F.try_element_at(attrs, F.lit(key))
+
+
 def shown_text(markup: Column) -> Column:
-    """The plain text without parameters of macros, task ids and task states, which are not shown as text."""
-    rx = r"(?s)(<!\[CDATA\[.*?\]\]>)|<(ac:parameter|ac:task-id|ac:task-status)\b[^<>]*>[^<]*</\2>"
+    """The plain text without parameters of macros, attributes and fallbacks of the newer form, task ids and task states, which
+    are not shown as text."""
+    rx = r"(?s)(<!\[CDATA\[.*?\]\]>)|<(ac:parameter|ac:adf-attribute|ac:task-id|ac:task-status)\b[^<>]*>[^<]*</\2>|<ac:adf-fallback\b[^<>]*>.*?</ac:adf-fallback>"
     return plain_text(F.regexp_replace(markup, rx, "$1"))
 
 
@@ -118,72 +106,119 @@ def construct_census(pages: DataFrame) -> DataFrame:
 
 def extract_blocks(pages: DataFrame) -> DataFrame:
     """(scope_id, page_id, ordinal, kind, level, lang, text) of headings, paragraphs, code, lists, quotes, tables, rules, images;
-    a block inside another is part of its text."""
+    a block inside another is part of its text. Text that stands alone, in the body, a layout or a panel, is a paragraph."""
     headings = [f"h{i}" for i in range(1, 7)]
-    found = elements(pages, [*headings, "p", "pre", "ul", "ol", "blockquote", "table", "hr", "ac:image", "ac:structured-macro"])
-    name, inner = F.col("name"), F.col("inner")
-    is_macro, heading = name == "ac:structured-macro", name.isin(headings)
-    blocks = _numbered(_outermost(found.where(~is_macro | attribute(F.col("tag"), "ac:name").eqNullSafe("code"))))
-    kind = F.when(heading, "heading").when(name == "p", "para").when(is_macro | (name == "pre"), "code").when(name.isin("ul", "ol"), "list").when(name == "blockquote", "quote").when(name == "hr", "hr").when(name == "ac:image", "image").otherwise("table")
-    lang = F.when(is_macro, F.lower(F.nullif(F.regexp_extract(inner, r'ac:name="language"[^<>]*>([^<]*)<', 1), F.lit(""))))
+    names = [*headings, "p", "pre", "ul", "ol", "blockquote", "table", "hr", "ac:image"]
+    found = work_table(nodes(pages), "nodes")
+    name = F.col("name")
+    is_code = (name == "ac:structured-macro") & _attr(F.col("attrs"), "ac:name").eqNullSafe("code")
+    holders = found.where(name.isin(*HOLDERS)).select(*AT, F.col("at").alias("holder"))
+    texts = found.where(name.isNull() & (F.trim(F.regexp_replace("text", r"[\s\x{85}\p{Z}]+", " ")) != ""))
+    alone = texts.join(holders, _same(texts, holders, "parent", "holder"), "left_semi").unionByName(texts.where("parent = -1"))
+    # What the newer form falls back to is not shown: it is met like a block, so that nothing inside is, and left out.
+    tops = _outermost(found.where(name.isin(*names, "ac:adf-fallback") | is_code).unionByName(alone))
+    blocks = _numbered(tops.where(name.isNull() | (name != "ac:adf-fallback")))
+    blocks = work_table(_with_inner(blocks, pages), "blocks")
+    inner, is_macro, heading = F.col("inner"), name == "ac:structured-macro", name.isin(headings)
+    own = _own_texts(found)
+    params = found.where((name == "ac:parameter") & (_attr(F.col("attrs"), "ac:name") == "language"))
+    params = params.join(own, _same(params, own, "at", "owner")).select(*[params[c] for c in AT], F.col("parent").alias("macro"), F.lower(F.nullif("own", F.lit(""))).alias("lang"))
+    blocks = blocks.join(params.dropDuplicates([*AT, "macro"]), _same(blocks, params, "at", "macro"), "left").select(*[blocks[c] for c in blocks.columns], "lang")
+    kind = F.when(heading, "heading").when(name.isNull() | (name == "p"), "para").when(is_macro | (name == "pre"), "code").when(name.isin("ul", "ol"), "list").when(name == "blockquote", "quote").when(name == "hr", "hr").when(name == "ac:image", "image").otherwise("table")
     body = F.when(is_macro, F.regexp_extract(inner, r"(?s)<ac:plain-text-body>(.*)</ac:plain-text-body>", 1)).otherwise(inner)
-    return blocks.select(*AT, "ordinal", kind.alias("kind"), F.when(heading, F.substring(name, 2, 1).cast("int")).alias("level"), lang.alias("lang"), plain_text(body).alias("text"))
+    text = F.when(name.isNull(), F.trim(F.regexp_replace("text", r"[ \t\r\n]+", " "))).otherwise(plain_text(body))
+    return blocks.select(*AT, "ordinal", kind.alias("kind"), F.when(heading, F.substring(name, 2, 1).cast("int")).alias("level"), F.when(is_macro, F.col("lang")).alias("lang"), text.alias("text"))
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
-    """(scope_id, page_id, ordinal, kind, href, content_id, title, space, text): external, page, attachment, user, other.
-    Markup inside CDATA is text and has no links."""
-    links = _numbered(_outermost(elements(pages, ["a", "ac:link"])))
-    is_anchor, inner = F.col("name") == "a", F.col("inner")
-    href = F.when(is_anchor, attribute(F.col("tag"), "href"))
-    page = F.when(~is_anchor, F.regexp_extract(inner, r"<ri:page[^<>]*>", 0))
-    target = F.when(~is_anchor, F.regexp_extract(inner, r"<ri:[a-z]+", 0))
-    kind = F.when(href.isNotNull(), "external").when(page != "", "page").when(target == "<ri:attachment", "attachment").when(target == "<ri:user", "user").otherwise("other")
-    return links.select(*AT, "ordinal", kind.alias("kind"), href.alias("href"), attribute(page, "ri:content-id").alias("content_id"), attribute(page, "ri:content-title").alias("title"), attribute(page, "ri:space-key").alias("space"), plain_text(inner).alias("text"))
+    """(scope_id, page_id, ordinal, kind, href, content_id, title, space, text): external, page, attachment, user, other; a link inside
+    another is part of its text."""
+    found = work_table(nodes(pages), "nodes")
+    links = _numbered(_outermost(found.where(F.col("name").isin("a", "ac:link"))))
+    parts = found.where("name like 'ri:%'").select(*AT, "parent", "at", "name", "attrs")
+    page = _kids(parts, F.col("name") == "ri:page", F.col("attrs")).withColumnRenamed("kid", "page")
+    target = _kids(parts, F.lit(True), F.col("name")).withColumnRenamed("kid", "target")
+    links = _with_inner(links, pages)
+    links = links.join(page, _same(links, page, "at", "owner"), "left").select(*[links[c] for c in links.columns], "page")
+    links = links.join(target, _same(links, target, "at", "owner"), "left").select(*[links[c] for c in links.columns], "target")
+    href = F.when(F.col("name") == "a", _attr(F.col("attrs"), "href"))
+    kind = F.when(href.isNotNull(), "external").when((F.col("name") == "ac:link") & F.col("page").isNotNull(), "page").when(F.col("target") == "ri:attachment", "attachment").when(F.col("target") == "ri:user", "user").otherwise("other")
+    of = lambda key: F.when(F.col("name") == "ac:link", _attr(F.col("page"), key))
+    return links.select(*AT, "ordinal", kind.alias("kind"), href.alias("href"), of("ri:content-id").alias("content_id"), of("ri:content-title").alias("title"), of("ri:space-key").alias("space"), plain_text(F.col("inner")).alias("text"))
 
 
 def extract_images(pages: DataFrame) -> DataFrame:
     """(scope_id, page_id, ordinal, filename, url, alt, attrs): attrs are the other attributes of the image."""
-    images = _each(pages, r"(?s)<ac:image\b[^<>]*>.*?</ac:image>", "image")
-    head = F.regexp_extract("image", r"^<ac:image\b[^<>]*>", 0)
-    filename, url = attribute(F.col("image"), "ri:filename"), attribute(F.col("image"), "ri:value")
-    rx = F.lit(r'\s([A-Za-z_][\w:.-]*)="([^"]*)"')
-    pairs = F.arrays_zip(F.regexp_extract_all(head, rx, F.lit(1)).alias("k"), F.regexp_extract_all(head, rx, F.lit(2)).alias("v"))
-    kept = F.filter(pairs, lambda p: ~p["k"].isin("ac:alt", "ac:macro-id", "ac:local-id"))
-    attrs = F.map_from_entries(F.array_distinct(F.transform(kept, lambda p: F.struct(p["k"], unescape(p["v"])))))
-    return images.select(*AT, "ordinal", filename.alias("filename"), url.alias("url"), F.coalesce(attribute(head, "ac:alt"), tx.strip_ext(filename), F.lit("")).alias("alt"), attrs.alias("attrs"))
+    found = work_table(nodes(pages).where("name = 'ac:image' or name in ('ri:attachment', 'ri:url')"), "nodes")
+    images = _numbered(found.where("name = 'ac:image'").select(*AT, "at", "attrs"))
+    file = _kids(found, F.col("name") == "ri:attachment", _attr(F.col("attrs"), "ri:filename")).withColumnRenamed("kid", "filename")
+    url = _kids(found, F.col("name") == "ri:url", _attr(F.col("attrs"), "ri:value")).withColumnRenamed("kid", "url")
+    images = images.join(file, _same(images, file, "at", "owner"), "left").select(*[images[c] for c in images.columns], "filename")
+    images = images.join(url, _same(images, url, "at", "owner"), "left").select(*[images[c] for c in images.columns], "url")
+    kept = F.map_filter("attrs", lambda k, v: ~k.isin("ac:alt", "ac:macro-id", "ac:local-id"))
+    return images.select(*AT, "ordinal", "filename", "url", F.coalesce(_attr(F.col("attrs"), "ac:alt"), tx.strip_ext(F.col("filename")), F.lit("")).alias("alt"), kept.alias("attrs"))
 
 
 def extract_tables(pages: DataFrame) -> DataFrame:
-    """(scope_id, page_id, ordinal, row, col, header, align, text): cells, rows cut or filled to the first row's width."""
-    tables = _each(pages, r"(?s)<table\b[^<>]*>.*?</table>", "t")
-    rows = tables.select(*AT, "ordinal", F.regexp_extract_all("t", F.lit(r"(?s)<tr\b[^<>]*>.*?</tr>"), F.lit(0)).alias("rows"))
-    cells = lambda r: F.regexp_extract_all(r, F.lit(r"(?s)<t[hd]\b[^<>]*>.*?</t[hd]>"), F.lit(0))
-    rows = rows.where(F.size("rows") > 0).withColumn("width", F.size(cells(F.col("rows")[0])))
-    rows = rows.select(*AT, "ordinal", "width", F.posexplode("rows").alias("row", "r")).where("width > 0")
-    wide = rows.select(*AT, "ordinal", "row", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.get(cells(F.col("r")), i))).alias("col", "c"))
-    align = F.nullif(F.regexp_extract("c", r"^<[^<>]*text-align:\s*([a-z]+)", 1), F.lit(""))
-    return wide.select(*AT, "ordinal", "row", "col", (F.col("row") == 0).alias("header"), align.alias("align"), F.coalesce(plain_text(F.col("c")), F.lit("")).alias("text"))
+    """(scope_id, page_id, ordinal, row, col, header, align, text): cells of all tables, rows of the head first, cut or filled to the
+    first row's width. A table inside a cell is a table of its own, and its text is part of that cell's."""
+    found = work_table(nodes(pages).where(F.col("name").isin("table", "thead", "tbody", "tfoot", "tr", "th", "td")).select(*AT, "at", "until", "parent", "name", "attrs"), "nodes")
+    of = lambda names, *columns: found.where(F.col("name").isin(*names)).select(*AT, *columns)
+    tables = _numbered(of(["table"], "at")).withColumnRenamed("at", "table_at")
+    parts = of(["thead", "tbody", "tfoot"], F.col("at").alias("part_at"), F.col("parent").alias("part_of"), (F.col("name") == "thead").alias("head"))
+    rows = of(["tr"], F.col("at").alias("row_at"), "parent")
+    rows = rows.join(parts, _same(rows, parts, "parent", "part_at"), "left").select(*[rows[c] for c in AT], "row_at", F.coalesce("part_of", "parent").alias("of"), F.coalesce("head", F.lit(False)).alias("head"))
+    rows = rows.join(tables, _same(rows, tables, "of", "table_at")).select(*[rows[c] for c in AT], "ordinal", "row_at", "head")
+    rows = rows.withColumn("row", F.row_number().over(Window.partitionBy(*AT, "ordinal").orderBy(F.desc("head"), "row_at")) - 1)
+    cells = of(["th", "td"], "at", "until", F.col("parent").alias("in_row"), F.regexp_extract(F.coalesce(_attr(F.col("attrs"), "style"), F.lit("")), r"text-align:\s*([a-z]+)", 1).alias("align"))
+    cells = cells.withColumn("col", F.row_number().over(Window.partitionBy(*AT, "in_row").orderBy("at")) - 1)
+    wide = cells.groupBy(*AT, "in_row").agg(F.count(F.lit(1)).cast("int").alias("cells"))
+    sized = rows.join(wide, _same(rows, wide, "row_at", "in_row"), "left").select(*[rows[c] for c in rows.columns], F.coalesce("cells", F.lit(0)).alias("cells"))
+    width = F.max(F.when(F.col("row") == 0, F.col("cells"))).over(Window.partitionBy(*AT, "ordinal"))
+    grid = sized.withColumn("width", width).where("width > 0").select(*AT, "ordinal", "row", "row_at", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("place"))
+    told = _with_inner(cells, pages).select(*AT, "in_row", "col", F.nullif("align", F.lit("")).alias("align"), plain_text(F.col("inner")).alias("text"))
+    both = grid.join(told, [*_same(grid, told, "row_at", "in_row"), grid["place"] == told["col"]], "left")
+    return both.select(*[grid[c] for c in AT], "ordinal", "row", F.col("place").alias("col"), (F.col("row") == 0).alias("header"), "align", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def extract_tasks(pages: DataFrame) -> DataFrame:
     """(scope_id, page_id, ordinal, done, text): tasks, those inside others too; a task's text holds theirs."""
-    tasks = _numbered(elements(pages, ["ac:task"]))
-    done = F.trim(F.regexp_extract("inner", r"<ac:task-status\b[^<>]*>([^<]*)</ac:task-status>", 1)) == "complete"
-    body = F.regexp_extract("inner", r"(?s)<ac:task-body\b[^<>]*>(.*)</ac:task-body>", 1)
-    return tasks.select(*AT, "ordinal", done.alias("done"), shown_text(body).alias("text"))
+    found = work_table(nodes(pages), "nodes")
+    tasks = _numbered(found.where("name = 'ac:task'").select(*AT, "at"))
+    own = _own_texts(found)
+    states = found.where("name = 'ac:task-status'").select(*AT, "at", "parent")
+    states = states.join(own, _same(states, own, "at", "owner")).select(*[states[c] for c in AT], "at", "parent", "own")
+    state = _kids(states, F.lit(True), F.col("own")).withColumnRenamed("kid", "state")
+    bodies = found.where("name = 'ac:task-body'").select(*AT, "at", "until", "parent")
+    bodies = _with_inner(bodies, pages).groupBy(*AT, F.col("parent").alias("owner")).agg(F.min_by(shown_text(F.col("inner")), "at").alias("text"))
+    tasks = tasks.join(state, _same(tasks, state, "at", "owner"), "left").select(*[tasks[c] for c in tasks.columns], "state")
+    tasks = tasks.join(bodies, _same(tasks, bodies, "at", "owner"), "left").select(*[tasks[c] for c in tasks.columns], "text")
+    return tasks.select(*AT, "ordinal", F.coalesce(F.col("state") == "complete", F.lit(False)).alias("done"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def extract_panels(pages: DataFrame) -> DataFrame:
-    """(scope_id, page_id, ordinal, label, title, text) of macros that become admonitions, those inside others too; a panel's
-    text holds theirs."""
-    panels = elements(pages, ["ac:structured-macro"]).withColumn("macro", attribute(F.col("tag"), "ac:name"))
-    panels = _numbered(panels.where(F.col("macro").isin(*PANELS)))
-    labels = F.create_map(*[F.lit(x) for kv in PANELS.items() for x in kv])
-    own = F.split("inner", "<ac:rich-text-body", 2)[0]  # parameters of inner macros come later
-    title = F.nullif(F.regexp_extract(own, r'<ac:parameter ac:name="title">([^<]*)<', 1), F.lit(""))
-    text = shown_text(F.regexp_extract("inner", r"(?s)<ac:rich-text-body\b[^<>]*>(.*)</ac:rich-text-body>", 1))
-    return panels.select(*AT, "ordinal", labels[F.col("macro")].alias("label"), unescape(title).alias("title"), text.alias("text"))
+    """(scope_id, page_id, ordinal, label, title, state, meta, text) of macros, panels of the newer form and decisions that become
+    admonitions, those inside others too; a panel's text holds theirs. ``meta``: parameters and data-* attributes, of a decision
+    its state unless DECIDED. A parameter or attribute belongs to its nearest enclosing macro or node."""
+    found = work_table(nodes(pages), "nodes")
+    name, attrs = F.col("name"), F.col("attrs")
+    labels = lambda of, key: F.try_element_at(F.create_map(*[F.lit(x) for kv in of.items() for x in kv]), key)
+    own = _own_texts(found)
+    params = found.where(name.isin("ac:parameter", "ac:adf-attribute")).select(*AT, "at", "parent", F.coalesce(_attr(attrs, "ac:name"), _attr(attrs, "key"), F.lit("")).alias("k"))
+    params = params.join(own, _same(params, own, "at", "owner"), "left").select(*[params[c] for c in params.columns], F.coalesce("own", F.lit("")).alias("v")).where("k <> ''")
+    params = params.groupBy(*AT, "parent", "k").agg(F.max_by("v", "at").alias("v")).groupBy(*AT, F.col("parent").alias("owner")).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("params"))
+    bodies = found.where(name.isin("ac:rich-text-body", "ac:adf-content")).select(*AT, "at", "until", "parent")
+    bodies = _with_inner(bodies, pages).groupBy(*AT, F.col("parent").alias("owner")).agg(F.min_by(shown_text(F.col("inner")), "at").alias("text"))
+    owners = found.where(name.isin("ac:structured-macro", "ac:adf-node")).select(*AT, "at", "name", "attrs")
+    owners = owners.join(params, _same(owners, params, "at", "owner"), "left").select(*[owners[c] for c in owners.columns], F.coalesce("params", F.expr("map()").cast("map<string,string>")).alias("params"))
+    owners = owners.join(bodies, _same(owners, bodies, "at", "owner"), "left").select(*[owners[c] for c in owners.columns], F.coalesce("text", F.lit("")).alias("text"))
+    kind, macro = _attr(attrs, "type"), name == "ac:structured-macro"
+    label = F.when(macro, labels(PANELS, _attr(attrs, "ac:name"))).when(kind == "panel", labels(ADF_PANELS, _attr(F.col("params"), "panel-type"))).when(kind == "decision-item", "DECISION")
+    state = F.when(label == "DECISION", _attr(F.col("params"), "state"))
+    data = F.map_filter("attrs", lambda k, v: k.startswith("data-") & ~F.array_contains(F.map_keys("params"), k))
+    meta = F.when(macro, F.map_concat("params", data)).when(F.coalesce(state, F.lit("")).isin("", "DECIDED"), F.expr("map()").cast("map<string,string>")).otherwise(F.create_map(F.lit("state"), state))
+    panels = _numbered(owners.withColumn("label", label).where("label is not null"))
+    return panels.select(*AT, "ordinal", "label", F.when(macro, F.nullif(_attr(F.col("params"), "title"), F.lit(""))).alias("title"), state.alias("state"), meta.alias("meta"), "text")
 
 
 def extract_fences(files: DataFrame) -> DataFrame:

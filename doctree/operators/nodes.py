@@ -94,8 +94,9 @@ def _walked(tokens: Column) -> Column:
 
 
 def nodes(pages: DataFrame) -> DataFrame:
-    """(scope_id, page_id, at, parent, depth, name, raw, attrs, text): elements (name in lower case; raw as written) and texts
-    (name null) of each body, ``at`` their token's place and ``parent`` the enclosing element's (-1: none). Comments are left out, CDATA is text.
+    """(scope_id, page_id, at, until, parent, depth, name, raw, attrs, text): elements (name in lower case; raw as written) and texts
+    (name null) of each body, ``at`` and ``until`` the places of their first and last token and ``parent`` the enclosing element's
+    (-1: none). An element without an end tag ends before what follows its last child. Comments are left out, CDATA is text.
     A body with a tag that never ends (broken_at) has no rows, nor has a null or empty one."""
     cut = pages.select(*AT, tokens_of(F.col("body")).alias("tokens")).where(~F.array_contains("tokens", "<"))
     rows = cut.select(*AT, F.posexplode("tokens").alias("at", "token")).repartition(*AT)
@@ -107,18 +108,22 @@ def nodes(pages: DataFrame) -> DataFrame:
     name = F.lower(F.regexp_extract("token", NAME, 1))
     pair = Window.partitionBy(*AT, "depth", F.col("opens") | F.col("closes")).orderBy("at")
     fits = F.when(F.col("opens"), F.lead("closes").over(pair) & (F.lead(name).over(pair) == name)).when(F.col("closes"), F.lag("opens").over(pair)).otherwise(True)
-    rows = rows.withColumn("fits", F.coalesce(fits, F.lit(False))).withColumn("paired", F.bool_and("fits").over(page))
+    ended = F.when(F.col("opens"), F.lead("at").over(pair)).otherwise(F.col("at"))
+    rows = rows.withColumn("fits", F.coalesce(fits, F.lit(False))).withColumn("until", ended).withColumn("paired", F.bool_and("fits").over(page))
 
     plain = rows.where("paired and not closes")
     roles = F.array_compact(F.array(F.struct((F.col("depth") - 1).alias("under"), F.lit(True).alias("child")), F.when(F.col("opens"), F.struct(F.col("depth").alias("under"), F.lit(False).alias("child")))))
-    both = plain.select(*AT, "at", "depth", "token", F.inline(roles))
+    both = plain.select(*AT, "at", "until", "depth", "token", F.inline(roles))
     above = Window.partitionBy(*AT, "under").orderBy("at", F.desc("child"))
     parent = F.last(F.when(~F.col("child"), F.col("at")), ignorenulls=True).over(above)
-    found = both.withColumn("parent", F.coalesce(parent, F.lit(-1))).where("child").select(*AT, "at", "parent", F.col("depth").cast("int").alias("depth"), "token")
+    found = both.withColumn("parent", F.coalesce(parent, F.lit(-1))).where("child").select(*AT, "at", "until", "parent", F.col("depth").cast("int").alias("depth"), "token")
 
     loose = rows.where("not paired").select(*AT).distinct()
     same = [cut[c].eqNullSafe(loose[c]) for c in AT]
-    walked = cut.join(loose, same, "left_semi").select(*AT, F.inline(_walked(F.col("tokens"))))
+    walked = cut.join(loose, same, "left_semi").select(*AT, F.size("tokens").alias("size"), _walked(F.col("tokens")).alias("out"))
+    behind = lambda x, i: F.get(F.filter(F.slice("out", i + 2, F.size("out")), lambda y: y["depth"] <= x["depth"]), F.lit(0))["at"]
+    row = lambda x, i: F.struct(x["at"].alias("at"), (F.coalesce(behind(x, i), F.col("size")) - 1).alias("until"), x["parent"].alias("parent"), x["depth"].alias("depth"), x["token"].alias("token"))
+    walked = walked.select(*AT, F.inline(F.transform("out", row)))
     every = found.unionByName(walked.select(*found.columns))
     token = F.col("token")
     is_tag = token.rlike("^<[A-Za-z]")
@@ -126,6 +131,6 @@ def nodes(pages: DataFrame) -> DataFrame:
     every = every.where(is_tag | cdata | ~token.startswith("<")).withColumn("pairs", attribute_pairs(token))
     text = F.when(cdata, F.substring(token, F.lit(10), F.length(token) - 12)).when(~is_tag, unescape(token))
     return every.select(
-        *AT, "at", "parent", "depth", F.when(is_tag, F.lower(F.regexp_extract(token, NAME, 1))).alias("name"), F.when(is_tag, F.regexp_extract(token, NAME, 1)).alias("raw"),
+        *AT, "at", "until", "parent", "depth", F.when(is_tag, F.lower(F.regexp_extract(token, NAME, 1))).alias("name"), F.when(is_tag, F.regexp_extract(token, NAME, 1)).alias("raw"),
         F.when(is_tag, attributes(F.col("pairs"))).alias("attrs"), text.alias("text"),
     )
