@@ -12,29 +12,43 @@ from doctree.functions import text as tx
 FEW = settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
 
+def plain_slug(title, page_id):
+    kept = "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789-" else "-" if c == "_" or c.isspace() else "" for c in title.lower())
+    slug = "-".join(p for p in kept.split("-") if p)
+    return slug or (f"page-{page_id}" if page_id else "")
+
+
 def test_slugify(column):
-    cases = [("What's new?!", "0", "whats-new"), ("日本語", "123456", "page-123456"), ("", "", ""), ("a_b  C", "1", "a-b-c"), ("--x--", "1", "x"), ("A B", "1", "a-b")]
-    got = column([c[:2] for c in cases], "t string, i string", sl.slugify(F.col("t"), F.col("i")))
-    assert got == [c[2] for c in cases]
+    titles = ["Rye & Barley: 3 loaves", "ζύμη", "", "oven_door\t hinge", "-_- mill -_-", "Crème brûlée", "12 / 24 h proof", "flour\u00a0store", "..."]
+    cases = [(t, i) for t in titles for i in ("", "88")]
+    assert column(cases, "t string, i string", sl.slugify(F.col("t"), F.col("i"))) == [plain_slug(t, i) for t, i in cases]
+
+
+@FEW
+@given(st.lists(st.text(alphabet="aZ09 _-.\té☃", max_size=12), min_size=5, max_size=40))
+def test_slugs_follow_the_rule_and_stay(spark, titles):
+    rows = spark.createDataFrame([(t,) for t in titles], "t string").select("t", sl.slugify(F.col("t"), F.lit("7")).alias("s"))
+    for r in rows.select("t", "s", sl.slugify(F.col("s"), F.lit("7")).alias("again")).collect():
+        assert r["s"] == plain_slug(r["t"], "7") == r["again"]
 
 
 def test_reverse_slugify(column):
-    cases = [("database-design-100042.md", "Database Design"), ("foo-12345.md", "Foo 12345"), ("a_b.md", "A B"), ("iOS-app.md", "IOS App"), ("100042.md", "100042")]
+    cases = [("sourdough-starter-200311.md", "Sourdough Starter"), ("batch-20031.md", "Batch 20031"), ("rye_mix-2.md", "Rye Mix 2"), ("pH-log", "PH Log"), ("200311.md", "200311"), ("a-2003112.md", "A 2003112")]
     assert column([c[:1] for c in cases], "f string", sl.reverse_slugify(F.col("f"))) == [c[1] for c in cases]
 
 
 def test_collision_suffix(column):
-    got = column([("1234567890",), ("7",), ("abc",)], "i string", sl.collision_suffix(F.col("i")))
+    got = column([("90210000417",), ("31",), ("loaf",)], "i string", sl.collision_suffix(F.col("i")))
     h = 1469598103934665603
-    for b in b"abc":
+    for b in b"loaf":
         h = ((h ^ b) * 1099511628211) % 2**64
-    assert got == ["567890", "000007", f"{h % 10**6:06d}"]
+    assert got == ["000417", "000031", f"{h % 10**6:06d}"]
 
 
 def test_rel_path_and_join_are_inverse(column):
-    cases = [("docs/sample", "docs/aptum-icp.md", "../aptum-icp.md"), ("docs", "docs/a/b.md", "a/b.md"), ("a/b", "a/b", "."), ("a", "a/b/../c", "b/../c"), (".", "x/y.md", "x/y.md")]
+    cases = [("bakery/ovens", "bakery/yeast.md", "../yeast.md"), ("bakery", "bakery/rye/old.md", "rye/old.md"), ("m/n", "m/n", "."), ("m", "m/n/../o", "n/../o"), (".", "k/l.md", "k/l.md")]
     assert column([c[:2] for c in cases], "d string, t string", ps.rel_path(F.col("d"), F.col("t"))) == [c[2] for c in cases]
-    joins = [("docs/a", "../x.md", "docs/x.md"), ("", "a//b/./c", "a/b/c"), ("a", "../../b", "../b"), ("a", "..", ".")]
+    joins = [("bakery/rye", "../mill.md", "bakery/mill.md"), ("", "p//q/./r", "p/q/r"), ("m", "../../n", "../n"), ("m", "..", ".")]
     assert column([c[:2] for c in joins], "d string, t string", ps.join_clean(F.col("d"), F.col("t"))) == [c[2] for c in joins]
 
 
@@ -47,18 +61,27 @@ def test_rel_path_matches_the_library(spark, pairs):
 
 
 def test_attachment_paths(column):
-    cases = [("docs/architecture/index.md", "docs/_attachments/architecture"), ("docs/architecture.md", "docs/_attachments/architecture"), ("docs/index.md", "docs/_attachments"), ("docs/a/b/c.md", "docs/_attachments/a/b/c")]
-    assert column([c[:1] for c in cases], "p string", ps.attachment_dir(F.col("p"), F.lit("docs/"), F.lit("docs/_attachments"))) == [c[1] for c in cases]
-    assert column([("docs/a/b/c.md",)], "p string", ps.attachment_src(F.col("p"), F.lit("img.png"), F.lit("docs/"), F.lit("docs/_attachments"))) == ["../../_attachments/a/b/c/img.png"]
-    srcs = [("docs/a.md", "_attachments/a/x.png", "docs/_attachments/a/x.png"), ("docs/a.md", "docs/_attachments/x.png", "docs/_attachments/x.png"), ("docs/a.md", "http.png", None), ("docs/a.md", "", None)]
-    assert column([c[:2] for c in srcs], "p string, s string", ps.canonical_attachment_path(F.col("p"), F.col("s"), F.lit("docs/_attachments"))) == [c[2] for c in srcs]
+    root, files = F.lit("bakery/"), F.lit("bakery/_pictures")
+
+    def plain_dir(path):
+        rest = path.removeprefix("bakery/").removesuffix(".md")
+        rest = "" if rest == "index" else rest.removesuffix("/index")
+        return "bakery/_pictures" + (f"/{rest}" if rest else "")
+
+    pages = ["bakery/rye/index.md", "bakery/rye.md", "bakery/index.md", "bakery/rye/dark/crust.md"]
+    assert column([(x,) for x in pages], "p string", ps.attachment_dir(F.col("p"), root, files)) == [plain_dir(x) for x in pages]
+    assert plain_dir(pages[0]) == plain_dir(pages[1]) == "bakery/_pictures/rye"
+    want = [posixpath.relpath(f"{plain_dir(x)}/crumb.jpg", posixpath.dirname(x)) for x in pages]
+    assert column([(x,) for x in pages], "p string", ps.attachment_src(F.col("p"), F.lit("crumb.jpg"), root, files)) == want
+    srcs = [("bakery/rye.md", "_pictures/rye/k.jpg", "bakery/_pictures/rye/k.jpg"), ("bakery/rye.md", "bakery/_pictures/k.jpg", "bakery/_pictures/k.jpg"), ("bakery/rye.md", "elsewhere.jpg", None), ("bakery/rye.md", "", None)]
+    assert column([c[:2] for c in srcs], "p string, s string", ps.canonical_attachment_path(F.col("p"), F.col("s"), files)) == [c[2] for c in srcs]
 
 
 def test_front_matter(column):
-    md = '---\nconfluence_page_id: "42"\nconfluence_version: 7\nlabel: x\n---\n\n# Hello\n'
+    md = '---\nconfluence_page_id: "311"\nconfluence_version: 12\noven: 3\n---\n\nKnead twice.\n'
     cases = [
-        (md, ("42", 7, ["label: x"], "# Hello\n", False)),
-        (md.replace("\n", "\r\n"), ("42", 7, ["label: x"], "# Hello\n", False)),
+        (md, ("311", 12, ["oven: 3"], "Knead twice.\n", False)),
+        (md.replace("\n", "\r\n"), ("311", 12, ["oven: 3"], "Knead twice.\n", False)),
         ("no block\n", ("", 0, [], "no block\n", False)),
         ("---\nopen\n", ("", 0, [], "---\nopen\n", True)),
         ("---\nconfluence_version: x\n---\nb", ("", 0, [], "---\nconfluence_version: x\n---\nb", True)),
@@ -92,10 +115,10 @@ def test_fence_shapes(column):
 
 
 def test_meta(column):
-    got = column([({"ac:width": "1006", "ac:layout": 'a"&'},), ({},), (None,)], "m map<string,string>", tx.encode_meta(F.col("m")))
-    assert got == ['<!--gfl:meta ac:layout="a&quot;&amp;" ac:width="1006"-->', "", ""]
+    got = column([({"ac:width": "640", "ac:align": 'm"&'},), ({},), (None,)], "m map<string,string>", tx.encode_meta(F.col("m")))
+    assert got == ['<!--gfl:meta ac:align="m&quot;&amp;" ac:width="640"-->', "", ""]
     back = column([(got[0],), ('<!--gfl:meta a="1" a="2"-->',), ("<!-- x -->",)], "s string", tx.decode_meta(F.col("s")))
-    assert back == [{"ac:layout": 'a"&', "ac:width": "1006"}, {"a": "2"}, None]
+    assert back == [{"ac:align": 'm"&', "ac:width": "640"}, {"a": "2"}, None]
 
 
 def test_text(column):
