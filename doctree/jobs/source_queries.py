@@ -282,3 +282,19 @@ def ensure_parents(spark, sf_dir):
     ops = index.where("own").select("scope_id", "path")
     held = index.select("scope_id", "path", "page_id")
     return sy.ensure_parents(files.unionByName(ops), held, ops, files.select("scope_id", F.lit("root").alias("page_id")).distinct(), "docs")
+
+
+@query("""
+SELECT 'default' AS scope_id, 'docs/_seg' || c_custkey % 7 || '/' || c_mktsegment || '/c' || c_custkey || '.md' AS path, 'now ' || c_name || chr(10) AS content FROM customer WHERE c_custkey % 3 <> 0
+""")
+def publish_markdown_tree(spark, sf_dir):
+    """A tree published twice: files that left the table are gone, others have their new text. Some directories begin with an underscore."""
+    from doctree.sources import files
+
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    path = F.concat(F.lit("docs/_seg"), (F.col("c_custkey") % 7).cast("string"), F.lit("/"), "c_mktsegment", F.lit("/c"), F.col("c_custkey").cast("string"), F.lit(".md"))
+    of = lambda word: c.select(path.alias("path"), F.concat(F.lit(word), "c_name", F.lit("\n")).alias("content"), "c_custkey")
+    folder = _folder(spark, "published")
+    files.publish_markdown_tree(of("then ").where("c_custkey % 2 = 0"), folder)
+    files.publish_markdown_tree(of("now ").where("c_custkey % 3 <> 0"), folder)
+    return files.read_markdown_tree(spark, folder)

@@ -207,7 +207,7 @@ def test_sources(spark, tmp_path):
     assert rows(wiki.read_child_listings(spark, str(tmp_path / "kids.json")), "page_id", "parent_page_id", "position") == [("42", "1", 0), ("44", "1", 200)]
     tree = spark.createDataFrame([("docs/a b.md", "A\n"), ("docs/_x/c.md", "C"), ("docs/.h/d.md", "D")], "path string, content string")
     files.write_markdown_tree(tree, str(tmp_path / "wt"))
-    assert rows(files.read_markdown_tree(spark, str(tmp_path / "wt"), ["docs/_x"]), "path", "content") == [("docs/_x/c.md", "C"), ("docs/a b.md", "A\n")]
+    assert rows(files.read_markdown_tree(spark, str(tmp_path / "wt")), "path", "content") == [("docs/_x/c.md", "C"), ("docs/a b.md", "A\n")]
     assert os.path.exists(tmp_path / "wt/docs/.h/d.md")
     scopes = spark.createDataFrame([("1", "K", "docs", None), (None, "K", "d", None)], wiki.SCOPE)
     assert rows(wiki.validate_scopes(scopes).where("error is null"), "local_root", "attachments_dir") == [("docs/", "docs/_attachments")]
@@ -226,3 +226,31 @@ def test_push_ops(spark):
         "docs/fresh-page.md": ("create", None, "Fresh Page", None), "docs/n.md": (None, None, None, "no page id"),
     }
     assert [r["path"] for r in sy.order_push(diffs).select("path", F.col("priority")).collect()] == ["docs/fresh-page.md", "docs/m.md", "docs/n.md", "docs/new-name.md", "docs/d.md"]
+
+
+def test_publishing_replaces_a_tree_after_a_task_has_died(spark, tmp_path):
+    from doctree.sources import files
+
+    folder = f"file://{tmp_path}/tree"
+    of = lambda r: spark.createDataFrame(r, "path string, content string").repartition(3)
+    first = [(f"docs/_d{n % 3}/p{n}.md", f"one {n}\n") for n in range(40)]
+    assert files.publish_markdown_tree(of(first), folder) == 40
+    (tmp_path / "tree/docs/own.md").write_text("not ours")
+    second = [(p, c.replace("one", "two")) for p, c in first[5:]] + [("docs/new.md", "é\n")]
+
+    def dies(batches):
+        for pdf in batches:
+            if (pdf["path"] == "docs/new.md").any():
+                raise OSError("lost")
+            yield pdf
+
+    broken = of(second).mapInPandas(dies, "path string, content string")
+    try:
+        files.publish_markdown_tree(broken, folder)
+        raise AssertionError("published")
+    except Exception as e:
+        assert "lost" in str(e)
+    assert rows(files.read_markdown_tree(spark, folder), "path", "content") == sorted([*first, ("docs/own.md", "not ours")])
+    assert files.publish_markdown_tree(of(second), folder) == 36
+    assert rows(files.read_markdown_tree(spark, folder), "path", "content") == sorted([*second, ("docs/own.md", "not ours")])
+    assert files.publish_markdown_tree(of(second), folder) == 36 and rows(files.list_tree(spark, folder), "path") == sorted((p,) for p, _ in [*second, ("docs/own.md", "")])
