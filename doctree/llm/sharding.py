@@ -2,8 +2,8 @@
 
 A directory is indexed by the first bits of a document's hash. Only buckets above the byte limit
 split, on one more bit each time, until all fit; a bucket that holds one document (or only rows with one
-hash) cannot split and is marked. The directory has 2^depth slots, several of which may point to
-one shard; documents find their shard by an equi-join on the slot.
+hash) cannot split and is marked. The directory has so many bits that it holds at most four slots a shard: several slots may point
+to one shard, and a slot to several deeper ones. Documents find their shard by an equi-join on the slot and the shard's span of hashes.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from .common import read_table, text_of, work_table
 
 SHARD_BYTES = 4 << 20
 STRIDE = 8
-DIRECTORY_BITS = 24
 MAX_BITS = 62
 
 
@@ -62,10 +61,21 @@ def split_buckets(rows: DataFrame, limit: int = SHARD_BYTES, stride: int = STRID
     return leaves
 
 
+def directory_bits(depths: dict[int, int]) -> int:
+    """How many bits of the hash index the directory, from the number of leaves of each depth: as many as leave it at four slots
+    a leaf at most."""
+    bits, total = 0, sum(depths.values())
+    while total and bits < MAX_BITS and sum(n << max(0, bits + 1 - d) for d, n in depths.items()) <= 4 * total:
+        bits += 1
+    return bits
+
+
 def directory(leaves: DataFrame, bits: int) -> DataFrame:
-    """The leaves up to ``bits`` deep, one row for each slot of a directory of ``bits`` bits that points to them."""
-    span = F.expr(f"sequence(shiftleft(prefix, {bits} - depth), shiftleft(prefix + 1, {bits} - depth) - 1)")
-    return leaves.where(F.col("depth") <= bits).select(F.explode(span).alias("slot"), *leaves.columns)
+    """The leaves with ``slot``, ``lo`` and ``hi``: one row for each slot of a directory of ``bits`` bits that a leaf covers or lies
+    in, and the hashes that are the leaf's."""
+    span = F.expr(f"CASE WHEN depth <= {bits} THEN sequence(shiftleft(prefix, {bits} - depth), shiftleft(prefix + 1, {bits} - depth) - 1) ELSE array(shiftright(prefix, depth - {bits})) END")
+    lo, hi = F.expr(f"shiftleft(prefix, {MAX_BITS} - depth)"), F.expr(f"shiftleft(prefix + 1, {MAX_BITS} - depth) - 1")
+    return leaves.select(F.explode(span).alias("slot"), *leaves.columns, lo.alias("lo"), hi.alias("hi"))
 
 
 def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = SHARD_BYTES) -> DataFrame:
@@ -77,17 +87,12 @@ def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit:
     """
     rows = work_table(hashed(df, id_col, text_col), "hashes")  # texts are read once, not again in each round
     leaves = work_table(split_buckets(rows, limit), "leaves")
-    # The directory serves leaves up to DIRECTORY_BITS; the few deeper ones (about a very large document) are found by their own depth.
-    depths = [r["depth"] for r in leaves.select("depth").distinct().orderBy("depth").collect()]  # at most MAX_BITS + 1 numbers
-    bits = max([d for d in depths if d <= DIRECTORY_BITS], default=0)
+    depths = {r["depth"]: r["count"] for r in leaves.groupBy("depth").count().collect()}  # at most MAX_BITS + 1 numbers
+    bits = directory_bits(depths)
     told = ["prefix", "depth", "shard_bytes", "shard_docs", "oversized"]
-    leaves = leaves.withColumnsRenamed({"bytes": "shard_bytes", "docs": "shard_docs"})
-    slots = directory(leaves, bits)
-    found = rows.select("doc_id", "bytes", _top(F.col("h"), bits).alias("slot")).join(slots, "slot").select("doc_id", "bytes", *told)
-    if deeper := [d for d in depths if d > bits]:
-        own = F.array(*[F.struct(F.lit(d).alias("depth"), _top(F.col("h"), d).alias("prefix")) for d in deeper])
-        rest = rows.select("doc_id", "bytes", F.inline(own)).join(leaves.where(F.col("depth") > bits), ["depth", "prefix"])
-        found = found.unionByName(rest.select("doc_id", "bytes", *told))
+    slots = directory(leaves.withColumnsRenamed({"bytes": "shard_bytes", "docs": "shard_docs"}), bits)
+    placed = rows.select("doc_id", "bytes", "h", _top(F.col("h"), bits).alias("slot"))
+    found = placed.join(slots, "slot").where(F.col("h").between(F.col("lo"), F.col("hi"))).select("doc_id", "bytes", *told)
     name = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.lpad(F.bin("prefix"), F.col("depth"), F.lit("0")))
     return found.select("doc_id", "bytes", name.alias("shard"), "depth", "shard_bytes", "shard_docs", "oversized")
 
