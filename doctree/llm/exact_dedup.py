@@ -71,17 +71,20 @@ def find_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows without later copies, with the input's columns (see find_duplicates)."""
-    no_id = F.lit(-(2**63))
-    found = find_duplicates(df, id_col, text_col).where("kept")
-    found = found.select(F.coalesce("doc_id", no_id).alias("key"), "digest")
+    """The input's rows without later copies, with the input's columns, whatever their names: of equal texts the row that
+    find_duplicates marks as kept. A null id is an id of its own; of rows alike in id and text one stays. Null texts are
+    empty ones; an empty table stays empty."""
+    id_ = df[id_col].cast("long")
+    key = lambda c: [c.isNull().alias("no_id"), F.coalesce(c, F.lit(0)).alias("key")]
+    found = find_duplicates(df, id_col, text_col).where("kept").select(*key(F.col("doc_id")), "digest")
     content = normalised(text_of(df, text_col))
-    rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), F.coalesce(df[id_col].cast("long"), no_id).alias("key"), sha256_digest(content).alias("digest"), F.length(text_of(df, text_col)).alias("len"))
-    once = F.row_number().over(Window.partitionBy("key", "digest").orderBy(F.desc("len")))
-    return rows.join(found, ["key", "digest"], "left_semi").withColumn("n", once).where("n = 1").select("row.*")
+    rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), *key(id_), sha256_digest(content).alias("digest"), F.length(text_of(df, text_col)).alias("len"))
+    once = F.row_number().over(Window.partitionBy("no_id", "key", "digest").orderBy(F.desc("len")))
+    return rows.join(found, ["no_id", "key", "digest"], "left_semi").withColumn("n", once).where("n = 1").select("row.*")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents``; nulls, ties, repeated rows: see find_duplicates."""
     found = find_duplicates(read_table(spark, sf_dir, "documents"))
     return found.withColumnRenamed("digest", "text_sha256")
 
