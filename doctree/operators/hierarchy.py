@@ -124,6 +124,11 @@ def path_to_page(paths: DataFrame, tree: DataFrame) -> DataFrame:
     return placed.groupBy("scope_id", "path").agg(F.max(F.struct("positions", "page_id")).alias("m")).select("scope_id", "path", F.col("m.page_id").alias("page_id"))
 
 
+def path_map_size(paths: DataFrame) -> DataFrame:
+    """(scope_id, pages, paths): entries of a scope's maps; fewer paths than pages where some share one."""
+    return paths.groupBy("scope_id").agg(F.count(F.lit(1)).alias("pages"), F.countDistinct("path").alias("paths"))
+
+
 def path_conflicts(paths: DataFrame) -> DataFrame:
     return paths.groupBy("scope_id", "path").agg(F.count(F.lit(1)).alias("pages")).where("pages > 1")
 
