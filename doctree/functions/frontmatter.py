@@ -44,7 +44,8 @@ def _let(value: Column, use) -> Column:
 _EDGES = r"\A[\s\x0B\x85\p{Z}]+|[\s\x0B\x85\p{Z}]+\z"
 #: The short escapes of a quoted value.
 ESCAPES = {"a": "\a", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v", "\\": "\\", '"': '"'}
-_ESCAPE = r'\\(?:[abfnrtv\\"]|x[0-7][0-9A-Fa-f]|u(?![Dd][89A-Fa-f])[0-9A-Fa-f]{4})'
+_CODES = r"x[0-7][0-9A-Fa-f]|[01][0-7]{2}|u(?![Dd][89A-Fa-f])[0-9A-Fa-f]{4}|U(?:0000(?![Dd][89A-Fa-f])|000[1-9A-Fa-f]|0010)[0-9A-Fa-f]{4}"
+_ESCAPE = rf'\\(?:[abfnrtv\\"]|{_CODES})'
 _QUOTED = rf'\A"(?:[^"\\\n]|{_ESCAPE})*"\z'
 
 
@@ -58,9 +59,10 @@ def _unquoted(value: Column) -> Column:
     short = F.create_map(*[F.lit(x) for pair in ESCAPES.items() for x in pair])
 
     def piece(x: Column) -> Column:
-        code = F.lpad(F.substr(x, F.lit(3)), 4, "0")
-        is_code = x.startswith("\\u") | x.startswith("\\x")
-        plain = F.when(is_code, F.decode(F.unhex(code), "UTF-16BE")).otherwise(short[F.substr(x, F.lit(2))])
+        octal = x.rlike(r"^\\[01]")
+        code = F.lpad(F.when(octal, F.conv(F.substr(x, F.lit(2)), 8, 16)).otherwise(F.substr(x, F.lit(3))), 8, "0")
+        is_code = octal | x.rlike(r"^\\[xuU]")
+        plain = F.when(is_code, F.decode(F.unhex(code), "UTF-32")).otherwise(F.try_element_at(short, F.substr(x, F.lit(2))))
         return F.when(x.startswith("\\"), plain).otherwise(x)
 
     return F.when(value.rlike(_QUOTED), F.array_join(F.transform(pieces, piece), "")).otherwise(value)

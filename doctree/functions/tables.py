@@ -30,11 +30,12 @@ def work_table(df: DataFrame, name: str) -> DataFrame:
 
 def numbered(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
     """df with a running number from 1 inside ``by``, in ``order`` (unique inside ``by``). Rows are dealt to ranges and numbered
-    inside their range, and the ranges before are counted, so one value of ``by`` may hold nearly all rows."""
+    inside their range, and the ranges before are counted, so one value of ``by``, null too, may hold nearly all rows."""
     placed = work_table(df.repartitionByRange(*by, *order).withColumn("__range", F.spark_partition_id()), "ranges")
     before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = placed.groupBy(*by, "__range").agg(F.count(F.lit(1)).alias("__size"))
     sizes = sizes.select(*by, "__range", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))
     inside = F.row_number().over(Window.partitionBy(*by, "__range").orderBy(*order))
-    rows = placed.withColumn("__inside", inside).join(sizes, [*by, "__range"])
-    return rows.select(*df.columns, (F.col("__before") + F.col("__inside")).alias(name))
+    rows = placed.withColumn("__inside", inside)
+    same = [rows[c].eqNullSafe(sizes[c]) for c in by] + [rows["__range"] == sizes["__range"]]
+    return rows.join(sizes, same).select(*[rows[c] for c in df.columns], (F.col("__before") + F.col("__inside")).alias(name))

@@ -95,13 +95,18 @@ def encode_inline_fence(xml: Column, namespace: str = NAMESPACE) -> Column:
     return F.concat(F.lit(f'<{namespace}-fence data-v1-b64="'), F.replace(F.base64(xml.cast("binary")), F.lit("\r\n"), F.lit("")), F.lit('"/>'))
 
 
+def _trimmed(s: Column) -> Column:
+    """Without white space of any kind around it."""
+    return F.regexp_replace(s, r"\A[\s\x0B\x85\p{Z}]+|[\s\x0B\x85\p{Z}]+\z", "")
+
+
 def decode_inline_fence(s: Column, namespace: str = NAMESPACE) -> Column:
     shape = rf'\A<{namespace}-fence data-v1-b64="([^"]*)"/>\z'
-    return F.when(F.trim(s).rlike(shape), _decode(F.regexp_extract(F.trim(s), shape, 1)))
+    return F.when(_trimmed(s).rlike(shape), _decode(F.regexp_extract(_trimmed(s), shape, 1)))
 
 
 def is_inline_fence(s: Column, namespace: str = NAMESPACE) -> Column:
-    return F.trim(s).startswith(f'<{namespace}-fence data-v1-b64="')
+    return _trimmed(s).startswith(f'<{namespace}-fence data-v1-b64="')
 
 
 def encode_meta(attrs: Column, namespace: str = NAMESPACE) -> Column:
@@ -113,7 +118,7 @@ def encode_meta(attrs: Column, namespace: str = NAMESPACE) -> Column:
 
 def decode_meta(s: Column, namespace: str = NAMESPACE) -> Column:
     """The map in a sidecar comment; null if the text isn't one or holds no pair. The last of equal keys wins."""
-    t = F.trim(s)
+    t = _trimmed(s)
     body = F.substring(t, len(namespace) + 11, 1 << 30)
     body = F.left(body, F.greatest(F.length(body) - 3, F.lit(0)))
     rx = r'([A-Za-z_][A-Za-z0-9_:.-]*)="([^"]*)"'
@@ -125,4 +130,4 @@ def decode_meta(s: Column, namespace: str = NAMESPACE) -> Column:
 
 
 def is_meta(s: Column, namespace: str = NAMESPACE) -> Column:
-    return F.trim(s).startswith(f"<!--{namespace}:meta ") & F.trim(s).endswith("-->")
+    return _trimmed(s).startswith(f"<!--{namespace}:meta ") & _trimmed(s).endswith("-->")

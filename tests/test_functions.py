@@ -129,3 +129,20 @@ def test_text(column):
     assert column([("x]]>y",)], "s string", tx.wrap_cdata(F.col("s"))) == ["<![CDATA[x]]]]><![CDATA[>y]]>"]
     assert column([("a b~*é",)], "s string", tx.url_query_escape(F.col("s"))) == ["a+b~%2A%C3%A9"]
     assert column([("a\n\nb",)], "s string", tx.prefix_blockquote(F.col("s"))) == ["> a\n>\n> b"]
+
+
+def test_escapes_and_white_space_around_sidecars(column):
+    quoted = [(r"\101\x42\u00e9\U0001F600\n\"", 'AB\u00e9\U0001F600\n"'), (r"\400", None), (r"\ud800", None), (r"\U00110000", None), (r"\q", None)]
+    got = column([(f'---\nconfluence_page_id: "{q}"\n---\n',) for q, _ in quoted], "m string", fm.extract_front_matter(F.col("m")))
+    assert [None if g["error"] else g["fm"]["page_id"] for g in got] == [v for _, v in quoted]
+    around = [("\n\t<!--gfl:meta k=\"v\"-->\u00a0\r\n",), (" <!--gfl:meta k=\"v\"-->",)]
+    assert column(around, "s string", tx.decode_meta(F.col("s"))) == [{"k": "v"}] * 2 and column(around, "s string", tx.is_meta(F.col("s"))) == [True, True]
+    fence = [("\n\t<gfl-fence data-v1-b64=\"PHA+\"/>\n",)]
+    assert column(fence, "s string", tx.decode_inline_fence(F.col("s"))) == ["<p>"] and column(fence, "s string", tx.is_inline_fence(F.col("s"))) == [True]
+
+
+def test_rows_are_numbered_under_a_null_key_too(spark):
+    from doctree.functions.tables import numbered
+
+    rows = spark.createDataFrame([(None, n) for n in range(50)] + [("k", n) for n in range(7)], "k string, n long")
+    assert sorted((r["k"] or "", r["n"], r["i"]) for r in numbered(rows, ["k"], ["n"], "i").collect()) == sorted([("", n, n + 1) for n in range(50)] + [("k", n, n + 1) for n in range(7)])
