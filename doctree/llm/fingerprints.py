@@ -83,7 +83,8 @@ def fingerprint(text: str) -> np.ndarray:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint) of every row: 4 hexadecimal digits a bin."""
+    """(doc_id, fingerprint) of every row: 4 hexadecimal digits a bin. A null text is an empty one, whose bins are all empty; repeated
+    rows come as often, equal texts have equal fingerprints, an empty table gives no rows. Other columns are ignored."""
     docs = df.select(df[id_col].cast("long").alias("doc_id"), text_of(df, text_col).alias("text"))
 
     def of(texts: pd.Series) -> pd.Series:
@@ -156,4 +157,5 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents`` in order of ids. Nulls, repeated ids, empty tables: see compare_with_next."""
     return compare_with_next(read_table(spark, sf_dir, "documents"))

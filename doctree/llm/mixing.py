@@ -179,7 +179,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
     """The mix itself, with the input's columns: a document comes whole for each time that shards take all of its words
     in one lap, and cut to the taken words (joined by blanks) where the source's run of blocks begins or ends inside it.
-    Null and blank texts don't come.
+    Null and blank texts don't come, a null source is one of its own, repeated rows are documents of their own and an empty
+    table gives an empty mix.
     """
     placed, _, pieces = plan_mix(df, id_col, text_col, source_col, seed, BLOCK_WORDS, SHARD_BLOCKS)
     # A lap's pieces follow each other: the run of blocks has no gaps.
@@ -203,4 +204,5 @@ def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents``; a null source is a source of its own. Nulls, repeated rows, empty tables: see mix."""
     return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

@@ -373,7 +373,8 @@ def find_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """The input's rows without those that find_near_duplicates doesn't keep, with the input's columns."""
+    """The input's rows without those that find_near_duplicates doesn't keep, with the input's columns, whatever their names. Null and
+    blank texts stay, of rows that repeat an id as many go as are not kept, and an empty table stays empty."""
     found = find_near_duplicates(df, id_col, text_col, least)
     gone = found.where("not kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__gone"))
     kept = found.where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
@@ -397,4 +398,5 @@ def keep_one_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents``. Nulls, ties, repeated rows, empty tables: see find_near_duplicates."""
     return find_near_duplicates(read_table(spark, sf_dir, "documents")).drop("node")

@@ -372,5 +372,6 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: s
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents``. Nulls, repeated rows, empty tables: see pack."""
     packed = pack(read_table(spark, sf_dir, "documents"))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "capacity")

@@ -126,6 +126,7 @@ def _listed(spans: Column) -> Column:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents``. Null and blank texts have no spans; repeated rows and nulls in other columns: see find_secrets."""
     found = find_secrets(read_table(spark, sf_dir, "documents"))
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))

@@ -98,4 +98,5 @@ def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents``. Nulls, repeated rows, empty tables: see shard."""
     return shard(read_table(spark, sf_dir, "documents"))

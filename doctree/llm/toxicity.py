@@ -68,7 +68,8 @@ def _buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def character_counts(docs: DataFrame) -> DataFrame:
-    """(code, n): counts of three symbols in a row, over all texts. Symbols: a-z, other letters, the rest."""
+    """(code, n): counts of three symbols in a row, over all texts (not null; empty ones count nothing, repeated rows each time).
+    Symbols: a-z, other letters, the rest. An empty table gives no counts."""
 
     def run(batches):
         total = np.zeros(SYMBOLS**3, np.int64)
@@ -427,7 +428,8 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 
 def keep_clean(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: float = 0.5) -> DataFrame:
-    """The input's rows that score below ``most``, with the input's columns; texts do not move."""
+    """The input's rows that score below ``most``, with the input's columns; texts do not move. Null and blank texts have no evidence,
+    equal texts share a score, rows that repeat an id are scored each by its own text, and an empty table stays empty."""
     docs = df.select(df[id_col].cast("long").alias("doc_id"), text_of(df, text_col).alias("text"))
     told = labels.select(labels[id_col].cast("long").alias("doc_id"), labels["toxic"].alias("toxic"))
     model = train(docs, told)
@@ -441,4 +443,5 @@ def keep_clean(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents``, learned from labels of rows that are not held out. Nulls, ties, empty tables: see score_toxicity."""
     return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))

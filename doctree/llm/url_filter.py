@@ -78,6 +78,7 @@ def match_urls(df: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``pages``. Null urls, repeated rows, empty tables: see match_urls."""
     return match_urls(read_table(spark, sf_dir, "pages"), rule_table(spark))
 
 
