@@ -1,6 +1,6 @@
 """Secret scans over a trigram inverted index. DataFrame functions only.
 
-Each rule's regex yields a Boolean trigram query: an OR over its alternatives of an AND over the
+Each rule's regex yields a Boolean trigram query (trigrams.py): an OR over its alternatives of an AND over the
 trigrams that every match of the alternative must contain. The index holds the postings
 (trigram -> document) of the trigrams that some query names. Intersecting postings gives candidate
 (document, rule) pairs, which the regex then verifies; rules without mandatory trigrams scan every text.
@@ -14,24 +14,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, text_of
+from .trigrams import trigram_query
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``literals``: one tuple an alternative, of strings that each match of it contains, lower-case
-    where ``any_case``. ``keep_group`` and ``keep_least``: drop matches whose group is shorter."""
+    """``any_case``: look its trigrams up in lower case. ``keep_group`` and ``keep_least``: drop matches whose group is
+    shorter."""
 
     kind: str
     regex: str
-    literals: tuple[tuple[str, ...], ...] = ()
     any_case: bool = False
     keep_group: int = 0
     keep_least: int = 0
 
     def trigram_query(self) -> list[list[str]]:
         """OR of ANDs of trigrams; empty if some alternative has no mandatory trigram."""
-        clauses = [sorted({s[i : i + 3] for s in alternative for i in range(len(s) - 2)}) for alternative in self.literals]
-        return clauses if clauses and all(clauses) else []
+        return trigram_query(self.regex, self.any_case)
 
 
 def _either_case(word: str) -> str:
@@ -43,15 +42,15 @@ ASSIGN = rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
 #: The base kinds in their listed order, then the added kinds.
 RULES = (
-    Rule("assign", ASSIGN, (("password",), ("passwd",), ("secret",), ("token",), ("apikey",), ("api_key",)), True, 2, 6),
-    Rule("access", r"AKIA[A-Z0-9]+", (("AKIA",),), False, 0, 20),
-    Rule("hex", r"[0-9a-f]+", (), False, 0, 24),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", (("-----BEGIN ", "PRIVATE KEY-----"),)),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", (("eyJ", ".eyJ"),)),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", (("ghp_",), ("gho_",), ("ghu_",), ("ghs_",), ("ghr_",))),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", (("xoxa-",), ("xoxb-",), ("xoxp-",), ("xoxr-",), ("xoxs-",))),
-    Rule("google", r"AIza[0-9A-Za-z_-]{35}", (("AIza",),)),
-    Rule("url_login", r"://[^\s/:@]{1,64}:[^\s/@]{1,64}@", (("://",),)),
+    Rule("assign", ASSIGN, True, 2, 6),
+    Rule("access", r"AKIA[A-Z0-9]+", False, 0, 20),
+    Rule("hex", r"[0-9a-f]+", False, 0, 24),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
+    Rule("url_login", r"://[^\s/:@]{1,64}:[^\s/@]{1,64}@"),
 )
 BASE = ("assign", "access", "hex")
 
