@@ -25,10 +25,15 @@ def _joined(a: Alternative, b: Alternative) -> Alternative:
     return (*a, *b)
 
 
-def _product(left: set[Alternative], right: set[Alternative]) -> set[Alternative]:
+def _once(found) -> list[Alternative]:
+    """Each alternative once, in the regex's order."""
+    return list(dict.fromkeys(found))
+
+
+def _product(left: list[Alternative], right: list[Alternative]) -> list[Alternative]:
     if len(left) * len(right) > MOST_ALTERNATIVES:
-        right = {(GAP,)}
-    return {_joined(a, b) for a in left for b in right}
+        right = [(GAP,)]
+    return _once(_joined(a, b) for a in left for b in right)
 
 
 def _characters(items: list) -> set[str] | None:
@@ -44,37 +49,37 @@ def _characters(items: list) -> set[str] | None:
     return found
 
 
-def _alternatives(tree, any_case: bool) -> set[Alternative]:
+def _alternatives(tree, any_case: bool) -> list[Alternative]:
     fold = str.lower if any_case else str
-    out: set[Alternative] = {()}
+    out: list[Alternative] = [()]
     for kind, value in tree:
-        part: set[Alternative] = {(GAP,)}
+        part: list[Alternative] = [(GAP,)]
         if kind is op.LITERAL:
-            part = {(fold(chr(value)),)}
+            part = [(fold(chr(value)),)]
         elif kind is op.IN:
             held = _characters(value)
             held = held and {fold(c) for c in held}
-            part = {(c,) for c in held} if held and len(held) <= MOST_CHARACTERS else part
+            part = [(c,) for c in sorted(held)] if held and len(held) <= MOST_CHARACTERS else part
         elif kind is op.BRANCH:
-            part = set().union(*(_alternatives(branch, any_case) for branch in value[1]))
+            part = _once(a for branch in value[1] for a in _alternatives(branch, any_case))
         elif kind is op.SUBPATTERN:
             part = _alternatives(value[-1], any_case)
         elif kind is op.ATOMIC_GROUP:
             part = _alternatives(value, any_case)
         elif kind in (op.AT, op.ASSERT, op.ASSERT_NOT):
-            part = {()}  # no width
+            part = [()]  # no width
         elif kind in (op.MAX_REPEAT, op.MIN_REPEAT, op.POSSESSIVE_REPEAT):
             least, most, inner = value
             once = _alternatives(inner, any_case)
             if least == 0:
-                part = once | {()} if most == 1 else part
+                part = _once([(), *once]) if most == 1 else part
             else:
                 part = once
                 for _ in range(min(least, 64) - 1):
                     part = _product(part, once)
-                part = part if least == most and least <= 64 else _product(part, {(GAP,)})
+                part = part if least == most and least <= 64 else _product(part, [(GAP,)])
         out = _product(out, part)
-    return out if len(out) <= MOST_ALTERNATIVES else {(GAP,)}
+    return out if len(out) <= MOST_ALTERNATIVES else [(GAP,)]
 
 
 def trigram_query(regex: str, any_case: bool = False) -> list[list[str]]:
@@ -83,7 +88,5 @@ def trigram_query(regex: str, any_case: bool = False) -> list[list[str]]:
     With ``any_case`` the trigrams are lower-case, for texts in lower case. Of two clauses, one of which holds the other, the
     weaker stays.
     """
-    clauses = {frozenset(s[i : i + 3] for s in a if s for i in range(len(s) - 2)) for a in _alternatives(parser.parse(regex), any_case)}
-    if not clauses or frozenset() in clauses:
-        return []
-    return sorted(sorted(c) for c in clauses if not any(o < c for o in clauses))
+    clauses = _once(frozenset(s[i : i + 3] for s in a if s for i in range(len(s) - 2)) for a in _alternatives(parser.parse(regex), any_case))
+    return [] if frozenset() in clauses else [sorted(c) for c in clauses if not any(o < c for o in clauses)]

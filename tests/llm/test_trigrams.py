@@ -14,10 +14,10 @@ def three(*words):
 
 def test_queries_of_the_rules():
     got = {r.kind: r.trigram_query() for r in secrets.RULES}
-    assert got["assign"] == sorted(three(w) for w in ("password", "passwd", "secret", "token", "apikey", "api_key"))
+    assert got["assign"] == [three(w) for w in ("password", "passwd", "secret", "token", "apikey", "api_key")]
     assert got["access"] == [three("AKIA")] and got["hex"] == [] and got["google"] == [three("AIza")] and got["url_login"] == [["://"]]
     assert got["private_key"] == [three("-----BEGIN ", "PRIVATE KEY-----")] and got["jwt"] == [three("eyJ", ".eyJ")]
-    assert got["github"] == sorted(three(f"gh{c}_") for c in "pousr") and got["slack"] == sorted(three(f"xox{c}-") for c in "abprs")
+    assert got["github"] == [three(f"gh{c}_") for c in "oprsu"] and got["slack"] == [three(f"xox{c}-") for c in "abprs"]
 
 
 def test_alternatives_are_all_there():
