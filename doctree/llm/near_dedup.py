@@ -40,6 +40,8 @@ SALTS = 64
 PAIR_BUCKET = 32
 #: Rounds in which sets of large buckets that cannot be linked are left out before their shingles are joined.
 PRUNINGS = 2
+#: So many of the most frequent shingles are told to all tasks; they come last in the order of shingles.
+LISTED = 1 << 20
 BASE_RANK = 0.5
 SLICE_BYTES = 1 << 19
 
@@ -213,50 +215,85 @@ def _able(there: DataFrame) -> DataFrame:
     return salted_join(there, sides, "band", "node").where(F.exists("sides", met)).select(*there.columns)
 
 
+def frequent_shingles(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of (h, df) the most frequent shingles, ``most`` at most, by h; and the place of each in their order by df and h. All
+    others are less frequent."""
+    grade = F.floor(F.log2("df") * 8).cast("int")
+    least, room = None, most
+    for g, n in sorted(counts.groupBy(grade.alias("grade")).count().collect(), reverse=True):  # some hundred at most
+        room -= n
+        if room < 0:
+            break
+        least = g
+    held = counts.where(F.lit(False) if least is None else grade >= least).select("h", "df").toArrow()
+    h, df = (held.column(k).to_numpy() for k in ("h", "df"))
+    place = np.empty(len(h), np.int32)
+    place[np.lexsort((h, df))] = np.arange(len(h), dtype=np.int32)
+    by_h = np.argsort(h)
+    return h[by_h], place[by_h]
+
+
+def prefixes(sets: DataFrame, listed: tuple[np.ndarray, np.ndarray], least: float) -> DataFrame:
+    """(node, n, comp, open, h, reach): the shingles of each set up to the last place of any use, in the order of all
+    shingles: those not ``listed`` by h, then the listed ones by frequency."""
+    frequent, places = listed
+
+    def run(batches):
+        for batch in batches:
+            taken, found, reaches = [], [], []
+            for x in batch.column(4):
+                h = np.frombuffer(x.as_buffer(), np.int64)
+                reach = np.floor((len(h) - np.arange(len(h))) * ((1 + least) / least) - len(h) + 1e-6).astype(np.int64)  # as in _reach
+                reach = reach[reach >= len(h) * least - 1e-6]
+                place = np.full(len(h), -1, np.int32)
+                if len(frequent):
+                    at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+                    place = np.where(frequent[at] == h, places[at], place)
+                taken.append(len(reach))
+                found.append(h[np.lexsort((h, place))[: len(reach)]])
+                reaches.append(reach)
+            at = pa.array(np.repeat(np.arange(batch.num_rows), taken).astype(np.int64))
+            h, reach = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (found, reaches))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(4)), pa.array(h), pa.array(reach)], ["node", "n", "comp", "open", "h", "reach"])
+
+    return sets.select("node", "n", "comp", "open", "shingles").mapInArrow(run, "node long, n long, comp long, open boolean, h long, reach long")
+
+
 def rare_pairs(sets: DataFrame, large: DataFrame, comps: DataFrame, wanted: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Distinct pairs (a < b) of ``sets`` (node, n, shingles) in different components, one of them wanted, that may overlap
     by ``least``; ``large``: (band, node) of the large buckets.
 
     Shingles are put in one order, the rarest first. A pair that overlaps enough has a first shingle in common,
     and all it shares comes from there on in both: at place i a set of n shingles can only reach sets of
-    up to (n - i) (1 + least) / least - n shingles. Shingles of one or two sets come first and need no join:
-    those of two name a pair each, and their number alone rules out most sets, those that no set of another
-    component in one of their buckets can reach. The others meet by their shingles up to the last place of any use.
+    up to (n - i) (1 + least) / least - n shingles. Shingles of two sets name a pair each, and the number of those of
+    one or two sets alone rules out most sets, those that no set of another component in one of their buckets can reach.
+    The others meet by their shingles up to the last place of any use, a fifth of them at 0.8; only these become rows.
+    Any one order finds all pairs, so that of the shingles the frequent ones alone need a place by frequency.
     """
 
-    def rows_of(some: DataFrame, columns: str) -> DataFrame:
-        """A row (columns, h) for each shingle; ``columns`` as in a schema."""
-        names = [c.split()[0] for c in columns.split(", ")]
-
-        def spread(batches):
-            for batch in batches:
-                held = batch.column(len(names)).to_pylist()
-                at = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) // 8 for x in held]).astype(np.int64))
-                h = pa.array(np.frombuffer(b"".join(held), np.int64))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(len(names))), h], [*names, "h"])
-
-        return some.select(*names, "shingles").mapInArrow(spread, columns + ", h long")
+    def spread(batches):
+        for batch in batches:
+            held = batch.column(1).to_pylist()
+            at = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) // 8 for x in held]).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.frombuffer(b"".join(held), np.int64))], ["node", "h"])
 
     ends = [F.min("node").alias("node"), F.max("node").alias("other")]
-    counts = work_table(rows_of(sets, "node long").groupBy("h").agg(F.count(F.lit(1)).alias("df"), *ends), "counts")
+    rows = sets.select("node", "shingles").mapInArrow(spread, "node long, h long")
+    counts = work_table(rows.groupBy("h").agg(F.count(F.lit(1)).alias("df"), *ends), "counts")
     twos = counts.where("df = 2").select("node", "other")
     own = counts.where("df <= 2").select("node").unionAll(twos.select("other")).groupBy("node").agg(F.count(F.lit(1)).alias("own"))
     known = sets.select("node", "n").join(own, "node", "left").join(comps, "node", "left").join(wanted.withColumn("open", F.lit(True)), "node", "left")
     known = known.select("node", "n", F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("comp", "node").alias("comp"), F.coalesce("open", F.lit(False)).alias("open"))
-    known = work_table(known.withColumn("reach", _reach("n", "own", least)), "known")
+    known = work_table(known.withColumn("reach", _reach("n", "own", least)).drop("own"), "known")
     # Here and below a node meets what is known of it as one row, before its bands or shingles are told apart.
     held = large.groupBy("node").agg(F.collect_list("band").alias("bands"))  # K / BAND_ROWS at most
     there = held.join(known.where(F.col("reach") >= F.col("n") * least - 1e-6), "node")
-    there = there.select(F.explode("bands").alias("band"), "node", "n", "own", "comp", "open", "reach")
+    there = there.select(F.explode("bands").alias("band"), "node", "n", "comp", "open", "reach")
     for _ in range(PRUNINGS):
         there = work_table(_able(there), "able")
     able = there.select("node").distinct()
     chosen = sets.select("node", "shingles").join(known.join(able, "node", "left_semi"), "node")
-    rows = rows_of(chosen, "node long, n long, own long, comp long, open boolean")
-    rows = salted_join(rows, counts.where("df > 2").select("h", "df"), "h", "node")
-    place = F.col("own") + F.row_number().over(Window.partitionBy("node").orderBy("df", "h")) - 1
-    lead = rows.withColumn("place", place).withColumn("reach", _reach("n", "place", least)).where(F.col("reach") >= F.col("n") * least - 1e-6)
-    lead = work_table(lead.select("node", "n", "h", "reach", "comp", "open"), "prefixes")
+    lead = work_table(prefixes(chosen, frequent_shingles(counts.where("df > 2"), LISTED), least), "prefixes")
     # Of each shingle: who can be met there at all.
     told = [F.min("comp").alias("one"), F.max("comp").alias("other"), F.count_if("open").alias("opens"), F.min("n").alias("low"), F.max("reach").alias("high")]
     met = lead.groupBy("h").agg(*told).where("one != other and opens > 0").drop("opens", "one", "other")

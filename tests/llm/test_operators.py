@@ -388,6 +388,33 @@ def test_near_dedup(spark, docs, bucket, monkeypatch):
     assert values(near_dedup.keep_one_each(docs).groupBy().count(), "count")[0][0] == near_dedup.find_near_duplicates(docs).where("kept").count()
 
 
+@pytest.mark.parametrize("listed", [near_dedup.LISTED, 5, 0])
+def test_open_sets_meet_on_prefixes_alone(spark, listed, monkeypatch):
+    """Families of texts that share three quarters of their words: their buckets are full, and most sets are no link of the centre."""
+    monkeypatch.setattr(near_dedup, "PAIR_BUCKET", 3)
+    monkeypatch.setattr(near_dedup, "LISTED", listed)
+    made, work_table, prefixes = {}, near_dedup.work_table, near_dedup.prefixes
+    monkeypatch.setattr(near_dedup, "work_table", lambda df, name: made.setdefault(name, []).append(work_table(df, name)) or made[name][-1])
+    monkeypatch.setattr(near_dedup, "prefixes", lambda sets, *more: made.setdefault("chosen", []).append(sets.select("node", "n").collect()) or prefixes(sets, *more))
+    common, rows = prose(300, 120).split(), []
+    for c in range(12):
+        own = prose(301 + c, 14)
+        for k in range(6):
+            rows.append((100 * c + k, " ".join([*common[: 115 - k], own, f"x{c}y{k}"])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert values(near_dedup.find_near_duplicates(df), "doc_id", "class_id", "class_size") == near_classes(rows, 0.8)
+    sizes = dict(made["chosen"][0])
+    rows_of = collections.Counter(r["node"] for r in made["prefixes"][0].collect())
+    assert sizes and all(0 < rows_of[node] <= n // 5 + 1 for node, n in sizes.items())
+
+
+def test_the_most_frequent_shingles_are_listed(spark):
+    counts = spark.createDataFrame([(h, 3 + h // 10 * 7) for h in range(-40, 60) if h // 10 * 7 + 3 > 2], "h long, df long")
+    h, place = near_dedup.frequent_shingles(counts, 25)
+    assert h.tolist() == list(range(40, 60)) and place.tolist() == list(range(20))
+    assert near_dedup.frequent_shingles(counts, 5)[0].tolist() == [] and len(near_dedup.frequent_shingles(counts, 1000)[0]) == counts.count()
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     r = np.random.default_rng(1)
     h = r.integers(1, 2**63, 400).astype(np.uint64)
