@@ -45,25 +45,32 @@ def shared_dir(spark: SparkSession) -> str:
 BATCH_ROWS = 2048
 
 
+#: With it on, Spark deletes the shuffle files of a query when the query has ended; otherwise they stay until the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 @contextlib.contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Inside, jobs send at most BATCH_ROWS rows a batch to Python workers; the session's setting comes back after."""
+def for_writing(spark: SparkSession) -> Iterator[None]:
+    """Inside, jobs send at most BATCH_ROWS rows a batch to Python workers and leave no shuffle files; the session's settings
+    come back after."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
+    before, cleanup = spark.conf.get(key), spark.conf.get(CLEANUP, "false")
     rows = int(before)
     spark.conf.set(key, str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS))
+    spark.conf.set(CLEANUP, "true")
     try:
         yield
     finally:
         spark.conf.set(key, before)
+        spark.conf.set(CLEANUP, cleanup)
 
 
 def work_table(df: DataFrame, name: str) -> DataFrame:
-    """Write an intermediate table into the shared folder and read it back: lineage ends here and
-    a lost executor costs a re-read, not a recomputation."""
+    """Write an intermediate table into the shared folder and read it back: lineage ends here, a lost
+    executor costs a re-read, not a recomputation, and the shuffle files that led here are deleted."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with small_batches(spark):
+    with for_writing(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

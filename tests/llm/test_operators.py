@@ -1,7 +1,9 @@
 import collections
 import hashlib
+import pathlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -9,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from doctree.llm import exact_dedup, fingerprints, mixing, near_dedup, packing, secrets, sharding, substring_dedup, toxicity, url_filter
+from doctree.llm import common, exact_dedup, fingerprints, mixing, near_dedup, packing, secrets, sharding, substring_dedup, toxicity, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, key long, n long, content string, digest string, salt int, bucket long, grp long, kept boolean"
@@ -306,6 +308,24 @@ def strip_by_force(rows, width):
     return sorted(out, key=repr)
 
 
+def test_a_work_table_leaves_no_shuffle_files(spark, docs):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def files():
+        return {f for d in folders for f in pathlib.Path(d).glob("*/shuffle_*.data")}
+
+    settings = lambda: [spark.conf.get(k) for k in (common.CLEANUP, "spark.sql.execution.arrow.maxRecordsPerBatch")]
+    told, before = settings(), files()
+    counts = docs.groupBy("source").count()
+    made = common.work_table(counts, "counts")
+    until = time.monotonic() + 5
+    while files() - before and time.monotonic() < until:  # executors delete them after the query has ended
+        time.sleep(0.1)
+    assert not files() - before
+    assert settings() == told
+    assert values(made, "source", "count") == values(counts, "source", "count")
+
+
 @pytest.mark.parametrize("group", [1 << 19, 40])
 def test_substring_dedup(spark, docs, group):
     shared = prose(9, 30)
