@@ -22,6 +22,9 @@ WRAPPERS = ["ac:layout", "ac:layout-section", "ac:layout-cell", "span", "div", "
 PARTS = ["ri:page", "ri:attachment", "ri:url", "ri:user", "ac:parameter", "ac:rich-text-body", "ac:plain-text-body", "ac:link-body", "ac:plain-text-link-body", "ac:task-id", "ac:task-status", "ac:task-body", "ac:caption", "col", "colgroup"]
 #: Elements whose own text stands as a paragraph.
 HOLDERS = ["ac:layout", "ac:layout-section", "ac:layout-cell", "ac:rich-text-body", "ac:adf-content"]
+#: How rows of bodies are joined: by sorting. A table of short repeated values, or one that long bodies are made from, has files far smaller than
+#: its rows, so Spark would take it for small and send all of it through the driver's memory to every task.
+BY_SORT = "merge"
 TAG = r"""</?[A-Za-z](?:[^<>"']++|"[^"]*+"|'[^']*+')*+>"""
 
 
@@ -61,7 +64,7 @@ def _with_inner(found: DataFrame, pages: DataFrame) -> DataFrame:
     """Adds ``inner``, the markup of the tokens behind ``at`` up to ``until`` (an end tag among them); made for the rows that are left only."""
     cut = pages.select(*AT, tokens_of(F.col("body")).alias("tokens"))
     inner = F.array_join(F.slice("tokens", F.col("at") + 2, F.greatest(F.col("until") - F.col("at"), F.lit(0))), "")
-    return found.join(cut, _same(found, cut)).select(*[found[c] for c in found.columns], inner.alias("inner"))
+    return found.join(cut.hint(BY_SORT), _same(found, cut)).select(*[found[c] for c in found.columns], inner.alias("inner"))
 
 
 def _own_texts(found: DataFrame) -> DataFrame:
@@ -114,7 +117,7 @@ def extract_blocks(pages: DataFrame) -> DataFrame:
     is_code = (name == "ac:structured-macro") & _attr(F.col("attrs"), "ac:name").eqNullSafe("code")
     holders = found.where(name.isin(*HOLDERS)).select(*AT, F.col("at").alias("holder"))
     texts = found.where(name.isNull() & (F.trim(F.regexp_replace("text", r"[\s\x{85}\p{Z}]+", " ")) != ""))
-    alone = texts.join(holders, _same(texts, holders, "parent", "holder"), "left_semi").unionByName(texts.where("parent = -1"))
+    alone = texts.join(holders.hint(BY_SORT), _same(texts, holders, "parent", "holder"), "left_semi").unionByName(texts.where("parent = -1"))
     # What the newer form falls back to is not shown: it is met like a block, so that nothing inside is, and left out.
     tops = _outermost(found.where(name.isin(*names, "ac:adf-fallback") | is_code).unionByName(alone))
     blocks = _numbered(tops.where(name.isNull() | (name != "ac:adf-fallback")))
@@ -122,8 +125,8 @@ def extract_blocks(pages: DataFrame) -> DataFrame:
     inner, is_macro, heading = F.col("inner"), name == "ac:structured-macro", name.isin(headings)
     own = _own_texts(found)
     params = found.where((name == "ac:parameter") & (_attr(F.col("attrs"), "ac:name") == "language"))
-    params = params.join(own, _same(params, own, "at", "owner")).select(*[params[c] for c in AT], F.col("parent").alias("macro"), F.lower(F.nullif("own", F.lit(""))).alias("lang"))
-    blocks = blocks.join(params.dropDuplicates([*AT, "macro"]), _same(blocks, params, "at", "macro"), "left").select(*[blocks[c] for c in blocks.columns], "lang")
+    params = params.join(own.hint(BY_SORT), _same(params, own, "at", "owner")).select(*[params[c] for c in AT], F.col("parent").alias("macro"), F.lower(F.nullif("own", F.lit(""))).alias("lang"))
+    blocks = blocks.join(params.dropDuplicates([*AT, "macro"]).hint(BY_SORT), _same(blocks, params, "at", "macro"), "left").select(*[blocks[c] for c in blocks.columns], "lang")
     kind = F.when(heading, "heading").when(name.isNull() | (name == "p"), "para").when(is_macro | (name == "pre"), "code").when(name.isin("ul", "ol"), "list").when(name == "blockquote", "quote").when(name == "hr", "hr").when(name == "ac:image", "image").otherwise("table")
     body = F.when(is_macro, F.regexp_extract(inner, r"(?s)<ac:plain-text-body>(.*)</ac:plain-text-body>", 1)).otherwise(inner)
     text = F.when(name.isNull(), F.trim(F.regexp_replace("text", r"[ \t\r\n]+", " "))).otherwise(plain_text(body))
@@ -139,8 +142,8 @@ def extract_links(pages: DataFrame) -> DataFrame:
     page = _kids(parts, F.col("name") == "ri:page", F.col("attrs")).withColumnRenamed("kid", "page")
     target = _kids(parts, F.lit(True), F.col("name")).withColumnRenamed("kid", "target")
     links = _with_inner(links, pages)
-    links = links.join(page, _same(links, page, "at", "owner"), "left").select(*[links[c] for c in links.columns], "page")
-    links = links.join(target, _same(links, target, "at", "owner"), "left").select(*[links[c] for c in links.columns], "target")
+    links = links.join(page.hint(BY_SORT), _same(links, page, "at", "owner"), "left").select(*[links[c] for c in links.columns], "page")
+    links = links.join(target.hint(BY_SORT), _same(links, target, "at", "owner"), "left").select(*[links[c] for c in links.columns], "target")
     href = F.when(F.col("name") == "a", _attr(F.col("attrs"), "href"))
     kind = F.when(href.isNotNull(), "external").when((F.col("name") == "ac:link") & F.col("page").isNotNull(), "page").when(F.col("target") == "ri:attachment", "attachment").when(F.col("target") == "ri:user", "user").otherwise("other")
     of = lambda key: F.when(F.col("name") == "ac:link", _attr(F.col("page"), key))
@@ -153,8 +156,8 @@ def extract_images(pages: DataFrame) -> DataFrame:
     images = _numbered(found.where("name = 'ac:image'").select(*AT, "at", "attrs"))
     file = _kids(found, F.col("name") == "ri:attachment", _attr(F.col("attrs"), "ri:filename")).withColumnRenamed("kid", "filename")
     url = _kids(found, F.col("name") == "ri:url", _attr(F.col("attrs"), "ri:value")).withColumnRenamed("kid", "url")
-    images = images.join(file, _same(images, file, "at", "owner"), "left").select(*[images[c] for c in images.columns], "filename")
-    images = images.join(url, _same(images, url, "at", "owner"), "left").select(*[images[c] for c in images.columns], "url")
+    images = images.join(file.hint(BY_SORT), _same(images, file, "at", "owner"), "left").select(*[images[c] for c in images.columns], "filename")
+    images = images.join(url.hint(BY_SORT), _same(images, url, "at", "owner"), "left").select(*[images[c] for c in images.columns], "url")
     kept = F.map_filter("attrs", lambda k, v: ~k.isin("ac:alt", "ac:macro-id", "ac:local-id"))
     return images.select(*AT, "ordinal", "filename", "url", F.coalesce(_attr(F.col("attrs"), "ac:alt"), tx.strip_ext(F.col("filename")), F.lit("")).alias("alt"), kept.alias("attrs"))
 
@@ -167,17 +170,17 @@ def extract_tables(pages: DataFrame) -> DataFrame:
     tables = _numbered(of(["table"], "at")).withColumnRenamed("at", "table_at")
     parts = of(["thead", "tbody", "tfoot"], F.col("at").alias("part_at"), F.col("parent").alias("part_of"), (F.col("name") == "thead").alias("head"))
     rows = of(["tr"], F.col("at").alias("row_at"), "parent")
-    rows = rows.join(parts, _same(rows, parts, "parent", "part_at"), "left").select(*[rows[c] for c in AT], "row_at", F.coalesce("part_of", "parent").alias("of"), F.coalesce("head", F.lit(False)).alias("head"))
-    rows = rows.join(tables, _same(rows, tables, "of", "table_at")).select(*[rows[c] for c in AT], "ordinal", "row_at", "head")
+    rows = rows.join(parts.hint(BY_SORT), _same(rows, parts, "parent", "part_at"), "left").select(*[rows[c] for c in AT], "row_at", F.coalesce("part_of", "parent").alias("of"), F.coalesce("head", F.lit(False)).alias("head"))
+    rows = rows.join(tables.hint(BY_SORT), _same(rows, tables, "of", "table_at")).select(*[rows[c] for c in AT], "ordinal", "row_at", "head")
     rows = rows.withColumn("row", F.row_number().over(Window.partitionBy(*AT, "ordinal").orderBy(F.desc("head"), "row_at")) - 1)
     cells = of(["th", "td"], "at", "until", F.col("parent").alias("in_row"), F.regexp_extract(F.coalesce(_attr(F.col("attrs"), "style"), F.lit("")), r"text-align:\s*([a-z]+)", 1).alias("align"))
     cells = cells.withColumn("col", F.row_number().over(Window.partitionBy(*AT, "in_row").orderBy("at")) - 1)
     wide = cells.groupBy(*AT, "in_row").agg(F.count(F.lit(1)).cast("int").alias("cells"))
-    sized = rows.join(wide, _same(rows, wide, "row_at", "in_row"), "left").select(*[rows[c] for c in rows.columns], F.coalesce("cells", F.lit(0)).alias("cells"))
+    sized = rows.join(wide.hint(BY_SORT), _same(rows, wide, "row_at", "in_row"), "left").select(*[rows[c] for c in rows.columns], F.coalesce("cells", F.lit(0)).alias("cells"))
     width = F.max(F.when(F.col("row") == 0, F.col("cells"))).over(Window.partitionBy(*AT, "ordinal"))
     grid = sized.withColumn("width", width).where("width > 0").select(*AT, "ordinal", "row", "row_at", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("place"))
     told = _with_inner(cells, pages).select(*AT, "in_row", "col", F.nullif("align", F.lit("")).alias("align"), plain_text(F.col("inner")).alias("text"))
-    both = grid.join(told, [*_same(grid, told, "row_at", "in_row"), grid["place"] == told["col"]], "left")
+    both = grid.join(told.hint(BY_SORT), [*_same(grid, told, "row_at", "in_row"), grid["place"] == told["col"]], "left")
     return both.select(*[grid[c] for c in AT], "ordinal", "row", F.col("place").alias("col"), (F.col("row") == 0).alias("header"), "align", F.coalesce("text", F.lit("")).alias("text"))
 
 
@@ -187,12 +190,12 @@ def extract_tasks(pages: DataFrame) -> DataFrame:
     tasks = _numbered(found.where("name = 'ac:task'").select(*AT, "at"))
     own = _own_texts(found)
     states = found.where("name = 'ac:task-status'").select(*AT, "at", "parent")
-    states = states.join(own, _same(states, own, "at", "owner")).select(*[states[c] for c in AT], "at", "parent", "own")
+    states = states.join(own.hint(BY_SORT), _same(states, own, "at", "owner")).select(*[states[c] for c in AT], "at", "parent", "own")
     state = _kids(states, F.lit(True), F.col("own")).withColumnRenamed("kid", "state")
     bodies = found.where("name = 'ac:task-body'").select(*AT, "at", "until", "parent")
     bodies = _with_inner(bodies, pages).groupBy(*AT, F.col("parent").alias("owner")).agg(F.min_by(shown_text(F.col("inner")), "at").alias("text"))
-    tasks = tasks.join(state, _same(tasks, state, "at", "owner"), "left").select(*[tasks[c] for c in tasks.columns], "state")
-    tasks = tasks.join(bodies, _same(tasks, bodies, "at", "owner"), "left").select(*[tasks[c] for c in tasks.columns], "text")
+    tasks = tasks.join(state.hint(BY_SORT), _same(tasks, state, "at", "owner"), "left").select(*[tasks[c] for c in tasks.columns], "state")
+    tasks = tasks.join(bodies.hint(BY_SORT), _same(tasks, bodies, "at", "owner"), "left").select(*[tasks[c] for c in tasks.columns], "text")
     return tasks.select(*AT, "ordinal", F.coalesce(F.col("state") == "complete", F.lit(False)).alias("done"), F.coalesce("text", F.lit("")).alias("text"))
 
 
@@ -205,13 +208,13 @@ def extract_panels(pages: DataFrame) -> DataFrame:
     labels = lambda of, key: F.try_element_at(F.create_map(*[F.lit(x) for kv in of.items() for x in kv]), key)
     own = _own_texts(found)
     params = found.where(name.isin("ac:parameter", "ac:adf-attribute")).select(*AT, "at", "parent", F.coalesce(_attr(attrs, "ac:name"), _attr(attrs, "key"), F.lit("")).alias("k"))
-    params = params.join(own, _same(params, own, "at", "owner"), "left").select(*[params[c] for c in params.columns], F.coalesce("own", F.lit("")).alias("v")).where("k <> ''")
+    params = params.join(own.hint(BY_SORT), _same(params, own, "at", "owner"), "left").select(*[params[c] for c in params.columns], F.coalesce("own", F.lit("")).alias("v")).where("k <> ''")
     params = params.groupBy(*AT, "parent", "k").agg(F.max_by("v", "at").alias("v")).groupBy(*AT, F.col("parent").alias("owner")).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("params"))
     bodies = found.where(name.isin("ac:rich-text-body", "ac:adf-content")).select(*AT, "at", "until", "parent")
     bodies = _with_inner(bodies, pages).groupBy(*AT, F.col("parent").alias("owner")).agg(F.min_by(shown_text(F.col("inner")), "at").alias("text"))
     owners = found.where(name.isin("ac:structured-macro", "ac:adf-node")).select(*AT, "at", "name", "attrs")
-    owners = owners.join(params, _same(owners, params, "at", "owner"), "left").select(*[owners[c] for c in owners.columns], F.coalesce("params", F.expr("map()").cast("map<string,string>")).alias("params"))
-    owners = owners.join(bodies, _same(owners, bodies, "at", "owner"), "left").select(*[owners[c] for c in owners.columns], F.coalesce("text", F.lit("")).alias("text"))
+    owners = owners.join(params.hint(BY_SORT), _same(owners, params, "at", "owner"), "left").select(*[owners[c] for c in owners.columns], F.coalesce("params", F.expr("map()").cast("map<string,string>")).alias("params"))
+    owners = owners.join(bodies.hint(BY_SORT), _same(owners, bodies, "at", "owner"), "left").select(*[owners[c] for c in owners.columns], F.coalesce("text", F.lit("")).alias("text"))
     kind, macro = _attr(attrs, "type"), name == "ac:structured-macro"
     label = F.when(macro, labels(PANELS, _attr(attrs, "ac:name"))).when(kind == "panel", labels(ADF_PANELS, _attr(F.col("params"), "panel-type"))).when(kind == "decision-item", "DECISION")
     state = F.when(label == "DECISION", _attr(F.col("params"), "state"))
