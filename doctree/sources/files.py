@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 import pandas as pd
@@ -29,6 +30,8 @@ def _store(directory: str):
     return store, base.rstrip("/")
 
 
+#: Bytes of a file that are read at once.
+READ_BYTES = 1 << 22
 LISTED = "path string, is_dir boolean, bytes long"
 
 
@@ -163,7 +166,43 @@ def publish_markdown_tree(files: DataFrame, directory: str) -> int:
 
 
 def read_attachments(spark: SparkSession, directory: str) -> DataFrame:
-    """(file, sha, bytes) of all files below the directory, outside hidden directories; the contents are hashed where they are
-    read."""
+    """(file, sha, bytes) of all files below the directory, outside hidden directories, empty ones too; the contents are hashed where
+    they are read. Where Arrow doesn't know the file system, Spark reads, also leaving out names that start with an underscore; its
+    reader of files skips empty ones, so these are listed apart."""
+    if _store(directory) is not None:
+
+        def hashed(batches):
+            store, base = _store(directory)
+            for pdf in batches:
+                rows = []
+                for path in pdf["path"]:
+                    digest, size = hashlib.sha256(), 0
+                    with store.open_input_stream(f"{base}/{path}") as f:
+                        while part := f.read(READ_BYTES):
+                            digest.update(part)
+                            size += len(part)
+                    rows.append((path, digest.hexdigest(), size))
+                yield pd.DataFrame(rows, columns=["file", "sha", "bytes"])
+
+        found = list_tree(spark, directory).select("path").repartition(spark.sparkContext.defaultParallelism)
+        return found.mapInPandas(hashed, "file string, sha string, bytes long")
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
-    return rows.select(_relative(directory).alias("file"), F.sha2("content", 256).alias("sha"), F.col("length").alias("bytes"))
+    full = rows.select(_relative(directory).alias("file"), F.sha2("content", 256).alias("sha"), F.col("length").alias("bytes"))
+    empty = spark.createDataFrame(_empty_files(spark, directory), "file string")
+    return full.unionByName(empty.select("file", F.sha2(F.lit(""), 256).alias("sha"), F.lit(0).cast("long").alias("bytes")))
+
+
+def _empty_files(spark: SparkSession, directory: str) -> list[tuple[str]]:
+    """Paths of the empty files below the directory, by Hadoop's file systems, without names that Spark's readers leave out."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    store = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    base, found, open_ = store.makeQualified(top).toUri().getPath().rstrip("/"), [], [top]
+    while open_:
+        for x in store.listStatus(open_.pop()):
+            if x.getPath().getName()[:1] in (".", "_"):
+                continue
+            if x.isDirectory():
+                open_.append(x.getPath())
+            elif x.getLen() == 0:
+                found.append((x.getPath().toUri().getPath()[len(base) + 1 :],))
+    return found

@@ -1,4 +1,5 @@
 import collections
+import hashlib
 import os
 import random
 
@@ -215,6 +216,18 @@ def test_sources(spark, tmp_path):
     assert rows(wiki.parse_name_status(lines).fillna(""), "action", "path", "old_path") == [("A", "a", ""), ("R", "n", "o")]
 
 
+def test_empty_files_are_attachments(spark, tmp_path, monkeypatch):
+    from doctree.sources import files
+
+    tree = spark.createDataFrame([("docs/a b.md", "A\n"), ("docs/none+1.md", ""), ("docs/x/none.txt", ""), ("docs/.h/none.md", "")], "path string, content string")
+    files.write_markdown_tree(tree, str(tmp_path / "at"))
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = [("docs/a b.md", sha(b"A\n"), 2), ("docs/none+1.md", sha(b""), 0), ("docs/x/none.txt", sha(b""), 0)]
+    assert rows(files.read_attachments(spark, str(tmp_path / "at")), "file", "sha", "bytes") == want
+    monkeypatch.setattr(files, "_store", lambda directory: None)
+    assert rows(files.read_attachments(spark, "file://" + str(tmp_path / "at")), "file", "sha", "bytes") == want
+
+
 def test_push_ops(spark):
     base = spark.createDataFrame([("s", "docs/m.md", file("1", 1)), ("s", "docs/d.md", file("2", 1)), ("s", "docs/old.md", file("3", 1)), ("s", "docs/n.md", "no id")], FILES)
     head = spark.createDataFrame([("s", "docs/m.md", file("1", 1, "new\n")), ("s", "docs/new-name.md", file("3", 1)), ("s", "docs/fresh-page.md", "text"), ("s", "docs/n.md", "x")], FILES)
