@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from doctree.functions.frontmatter import extract_front_matter, has_front_matter
 from doctree.functions.tables import work_table
 from doctree.operators.lines import merge_lines
 
@@ -123,12 +124,25 @@ def apply_ops(snapshot: DataFrame, ops: DataFrame) -> DataFrame:
 def apply_pull_plan(mirror: DataFrame, plan: DataFrame, rendered: DataFrame) -> DataFrame:
     """plan (scope_id, page_id, action, from_path, to_path) on a mirror; rendered (scope_id, page_id, content) for writes.
     Renamed files keep their content unless they are written too. Only pages that classify_missing found ``deleted`` go:
-    files of delete candidates, orphaned and unknown pages stay."""
-    moves = plan.where("action = 'rename'").select("scope_id", F.col("from_path").alias("path"), "to_path")
-    kept = mirror.join(plan.where("action = 'deleted'").select("scope_id", F.col("from_path").alias("path")), AT, "left_anti")
-    moved = kept.join(moves, AT, "left").select("scope_id", F.coalesce("to_path", "path").alias("path"), "content")
-    writes = plan.where("action in ('create', 'update')").join(rendered, ["scope_id", "page_id"]).select("scope_id", F.col("to_path").alias("path"), "content")
-    return moved.join(writes.select(*AT), AT, "left_anti").unionByName(writes)
+    files of delete candidates, orphaned and unknown pages stay.
+
+    Pages whose ids agree in their last six digits can share a path, and each keeps its row (path_conflicts tells them): a row of the plan
+    means the file of its page, or one without a page id, and a write replaces what is at its path but the file of another page that
+    the plan leaves there or has moved there. Of several files of a page the last in walk order is meant, as in managed_by_id."""
+    x = extract_front_matter(F.col("content"))
+    files = mirror.select(*AT, "content", F.when(has_front_matter(F.col("content")), x).alias("x")).select(*AT, "content", F.when(~F.col("x.error"), F.nullif(F.col("x.fm.page_id"), F.lit(""))).alias("owner"))
+    meant = lambda a, b: [a[c] == b[c] for c in AT] + [a["owner"].isNull() | (a["owner"] == b["page_id"])]
+    at = lambda action: plan.where(F.col("action") == action).select("scope_id", F.col("from_path").alias("path"), "page_id", "to_path")
+    gone, moves = at("deleted"), at("rename")
+    kept = files.join(gone, meant(files, gone), "left_anti")
+    moved = kept.join(moves, meant(kept, moves), "left").select(kept["scope_id"], F.coalesce("to_path", kept["path"]).alias("path"), "content", "owner", F.col("to_path").isNotNull().alias("came"))
+    last = files.where("owner is not null").groupBy("scope_id", "owner").agg(F.max(F.struct(F.split("path", "/").alias("walk"), "path")).alias("m"))
+    calm = last.join(plan.select("scope_id", F.col("page_id").alias("owner")).distinct(), ["scope_id", "owner"], "left_anti")
+    moved = moved.join(calm.select("scope_id", "owner", F.col("m.path").alias("path"), F.lit(True).alias("calm")), [*AT, "owner"], "left").withColumn("stays", F.col("came") | F.coalesce("calm", F.lit(False)))
+    writes = plan.where("action in ('create', 'update')").join(rendered, ["scope_id", "page_id"]).select("scope_id", F.col("to_path").alias("path"), "page_id", "content")
+    over = writes.select(*AT, "page_id")
+    left = moved.join(over, [moved[c] == over[c] for c in AT] + [~moved["stays"] | moved["owner"].isNull() | (moved["owner"] == over["page_id"])], "left_anti")
+    return left.select(*AT, "content").unionByName(writes.select(*AT, "content"))
 
 
 def merge_snapshots(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:

@@ -168,6 +168,16 @@ def test_pull_keeps_what_is_not_surely_deleted(spark):
     assert rows(done, "path") == [("delete_candidate.md",), ("orphaned.md",), ("unknown.md",)]
 
 
+def test_pages_that_share_a_path_keep_a_file_each(spark):
+    plan = [("1", "update", None, "p.md"), ("3", "deleted", "p.md", None), ("4", "rename", "old.md", "p.md"), ("5", "unknown", "p.md", None), ("6", "create", None, "q.md")]
+    plan = spark.createDataFrame([("s", *x) for x in plan], "scope_id string, page_id string, action string, from_path string, to_path string")
+    held = [("p.md", file(i, 1)) for i in "1235"] + [("old.md", file("4", 1)), ("q.md", file("7", 1)), ("r.md", file("7", 1)), ("q.md", "no page")]
+    mirror = spark.createDataFrame([("s", *x) for x in held], FILES)
+    done = sn.apply_pull_plan(mirror, plan, spark.createDataFrame([("s", "1", file("1", 2)), ("s", "6", file("6", 1))], "scope_id string, page_id string, content string"))
+    # 2 is left where it is, 3 deleted, 5 is unknown and in the way of 1; q.md is an old copy of 7.
+    assert rows(done, "path", "content") == sorted([("p.md", file("1", 2)), ("p.md", file("2", 1)), ("p.md", file("4", 1)), ("q.md", file("6", 1)), ("r.md", file("7", 1))])
+
+
 def test_parents_of_a_push(spark):
     path = "scope_id string, path string"
     files = ["wiki/a/b/c.md", "wiki/a/index.md", "wiki/index.md", "wiki/top.md", "wiki/e/f/g/h.md", "wiki/e/index.md", "wiki/e/f/g/index.md", "wiki2/x/y.md", "README.md", "wiki/q/r/s.md", None]
