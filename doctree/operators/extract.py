@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doctree.functions import text as tx
-from doctree.functions.tables import work_table
+from doctree.functions.tables import in_slices, work_table
 from doctree.operators.nodes import AT, nodes, tokens_of, unescape
 
 #: The macros that become admonitions, and their labels; the panel types of the newer form.
@@ -109,7 +109,12 @@ def construct_census(pages: DataFrame) -> DataFrame:
 
 def extract_blocks(pages: DataFrame) -> DataFrame:
     """(scope_id, page_id, ordinal, kind, level, lang, text) of headings, paragraphs, code, lists, quotes, tables, rules, images;
-    a block inside another is part of its text. Text that stands alone, in the body, a layout or a panel, is a paragraph."""
+    a block inside another is part of its text. Text that stands alone, in the body, a layout or a panel, is a paragraph. Bodies are
+    read in slices, so that rows of nodes are on disk for one slice at a time."""
+    return in_slices(pages.select(*AT, "body"), AT, "bodies", _blocks)
+
+
+def _blocks(pages: DataFrame) -> DataFrame:
     headings = [f"h{i}" for i in range(1, 7)]
     names = [*headings, "p", "pre", "ul", "ol", "blockquote", "table", "hr", "ac:image"]
     found = work_table(nodes(pages), "nodes")
